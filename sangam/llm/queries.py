@@ -17,8 +17,20 @@ def p6_collapsed(spark, sf):
     return collapse(table(spark, sf, "uploads"))
 
 
+def p5_found(spark, sf):
+    from .lookalikes import identical_pairs
+
+    return identical_pairs(table(spark, sf, "uploads"))
+
+
+def p5_forms(spark, sf):
+    from .lookalikes import normalised
+
+    return normalised(table(spark, sf, "uploads"))
+
+
 def queries():
-    return {f.__name__: f for f in (p6_found, p6_collapsed)}
+    return {f.__name__: f for f in (p5_found, p5_forms, p6_found, p6_collapsed)}
 
 
 def oracle_sql():
