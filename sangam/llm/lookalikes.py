@@ -122,6 +122,9 @@ class Lattice:
         known = self.memo.get(key := token + ("1" if latin_text else "0"))
         if known is not None:
             return known
+        # Script consistency with the text: where no letter binds the token to its script, keeping it there costs CHANGE.
+        loose = latin_text and len(token) > 1 and all(self.script(c) == "latn" or c in TWINS or c in NEAR for c in token)
+        stay = self.CHANGE if loose and any(c in TWINS for c in token) else 0.0
         near_too = any(self.script(c) == "latn" or c in TWINS for c in token) and len(token) > 1
         steps = []
         for c in token:
@@ -131,7 +134,7 @@ class Lattice:
         for options in steps:
             after = {}
             for o in options:
-                after[o] = max((s + self.score(prev, o) + (-2.0 if not latin_text and o != options[0] else 0.0), path + o) for prev, (s, path) in front.items())
+                after[o] = max((s + self.score(prev, o) + (-2.0 if not latin_text and o != options[0] else 0.0) + (stay if len(options) > 1 and o == options[0] else 0.0), path + o) for prev, (s, path) in front.items())
             front = after
         s, path = max((s + self.score(prev, ""), p) for prev, (s, p) in front.items())
         if len(token) == 1 and token in TWINS and latin_text:
