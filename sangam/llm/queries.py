@@ -29,8 +29,38 @@ def p5_forms(spark, sf):
     return normalised(table(spark, sf, "uploads"))
 
 
+def p8_found(spark, sf):
+    from .contamination import leaks
+
+    return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p8_report(spark, sf):
+    from .contamination import report
+
+    return report(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
+def p9_found(spark, sf):
+    from .repetition import scores
+
+    return scores(table(spark, sf, "documents")).where("repetitive").select("doc_id")
+
+
+def p9_scores(spark, sf):
+    from .repetition import scores
+
+    return scores(table(spark, sf, "documents"))
+
+
+def p9_unit_shares(spark, sf):
+    from .repetition import unit_shares
+
+    return unit_shares(table(spark, sf, "documents"))
+
+
 def queries():
-    return {f.__name__: f for f in (p5_found, p5_forms, p6_found, p6_collapsed)}
+    return {f.__name__: f for f in (p5_found, p5_forms, p6_found, p6_collapsed, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
 
 
 def oracle_sql():
