@@ -1,8 +1,10 @@
 """All queries of the core, by the name under which they are run."""
 
+from sangam.plans import problems
+
 
 def queries():
-    return {}
+    return problems.queries()
 
 
 def oracle_sql():
