@@ -29,6 +29,24 @@ def p5_forms(spark, sf):
     return normalised(table(spark, sf, "uploads"))
 
 
+def p7_pack(spark, sf):
+    from .packing import pack
+
+    return pack(table(spark, sf, "documents"), table(spark, sf, "pack_budgets"))
+
+
+def p7_pack_joint(spark, sf):
+    from .packing import pack
+
+    return pack(table(spark, sf, "documents"), table(spark, sf, "pack_budgets"), joint=True)
+
+
+def p7_summary(spark, sf):
+    from .packing import pack, summary
+
+    return summary(pack(table(spark, sf, "documents"), table(spark, sf, "pack_budgets")))
+
+
 def p8_found(spark, sf):
     from .contamination import leaks
 
@@ -60,7 +78,7 @@ def p9_unit_shares(spark, sf):
 
 
 def queries():
-    return {f.__name__: f for f in (p5_found, p5_forms, p6_found, p6_collapsed, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
+    return {f.__name__: f for f in (p5_found, p5_forms, p6_found, p6_collapsed, p7_pack, p7_pack_joint, p7_summary, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
 
 
 def oracle_sql():
