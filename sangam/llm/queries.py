@@ -17,6 +17,18 @@ def p6_collapsed(spark, sf):
     return collapse(table(spark, sf, "uploads"))
 
 
+def p1_found(spark, sf):
+    from .language import found
+
+    return found(table(spark, sf, "uploads"))
+
+
+def p1_languages(spark, sf):
+    from .language import languages
+
+    return languages(table(spark, sf, "uploads"))
+
+
 def p5_found(spark, sf):
     from .lookalikes import identical_pairs
 
@@ -78,7 +90,7 @@ def p9_unit_shares(spark, sf):
 
 
 def queries():
-    return {f.__name__: f for f in (p5_found, p5_forms, p6_found, p6_collapsed, p7_pack, p7_pack_joint, p7_summary, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p5_found, p5_forms, p6_found, p6_collapsed, p7_pack, p7_pack_joint, p7_summary, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
 
 
 def oracle_sql():
