@@ -13,7 +13,7 @@ import hashlib
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sangam.functions.words import words_key
@@ -24,14 +24,29 @@ FIELD_RE = r"^\s*[^:;\r\n]{1,60}:\s*\S[^;\r\n]*$"
 SCAN = "pid int, kind int, row_id long, first_id long, head boolean, runs long, dig_first binary, dig_last binary"
 
 
+def list_fields(text: Column) -> Column:
+    """The non-blank parts of a text between semicolons and line breaks."""
+    return F.filter(F.split(text, r"[;\r\n]+"), lambda p: F.length(F.trim(F.regexp_replace(p, r"\s+", " "))) > 0)
+
+
+def is_list(text: Column) -> Column:
+    """Whether a text is a list of at least two `name: value` fields."""
+    parts = list_fields(text)
+    return text.contains(":") & text.rlike(r"[;\n\r]") & (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(FIELD_RE))
+
+
+def list_key(text: Column) -> Column:
+    """The words of a list's fields, the fields in sorted order."""
+    return F.array_join(F.array_sort(F.transform(list_fields(text), words_key)), " ")
+
+
 def canonical(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row_id, key): the canonical record of every text that has a letter or digit."""
-    parts = F.filter(F.split("text", r"[;\r\n]+"), lambda p: F.length(F.trim(F.regexp_replace(p, r"\s+", " "))) > 0)
-    base = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).where(F.col("text").rlike(r"[\p{L}\p{N}]"))
-    is_list = F.col("text").contains(":") & F.col("text").rlike(r"[;\n\r]") & (F.size(parts) >= 2) & F.forall(parts, lambda p: p.rlike(FIELD_RE))
-    base = base.withColumn("is_list", is_list)
-    plain = base.where(~F.col("is_list")).select("row_id", words_key(F.col("text")).alias("key"))
-    lists = base.where("is_list").select("row_id", words_key(F.col("text")).alias("flat"), F.array_join(F.array_sort(F.transform(parts, words_key)), " ").alias("key"))
+    t = F.col("text")
+    base = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).where(t.rlike(r"[\p{L}\p{N}]"))
+    base = base.withColumn("is_list", is_list(t))
+    plain = base.where(~F.col("is_list")).select("row_id", words_key(t).alias("key"))
+    lists = base.where("is_list").select("row_id", words_key(t).alias("flat"), list_key(t).alias("key"))
     # A text with a list's words in a list's order, but without its separators, follows that list.
     alias = lists.where("flat <> key").groupBy(F.md5("flat").alias("dig")).agg(F.min("key").alias("to"))
     hit = plain.select("row_id", F.md5("key").alias("dig")).join(alias, "dig").select("row_id", "to")

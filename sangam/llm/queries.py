@@ -29,6 +29,18 @@ def p1_languages(spark, sf):
     return languages(table(spark, sf, "uploads"))
 
 
+def p3_found(spark, sf):
+    from .near_duplicates import similar_rows
+
+    return similar_rows(table(spark, sf, "uploads"))
+
+
+def p3_links(spark, sf):
+    from .near_duplicates import links
+
+    return links(table(spark, sf, "uploads"))
+
+
 def p5_found(spark, sf):
     from .lookalikes import identical_pairs
 
@@ -90,7 +102,7 @@ def p9_unit_shares(spark, sf):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_languages, p5_found, p5_forms, p6_found, p6_collapsed, p7_pack, p7_pack_joint, p7_summary, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_links, p5_found, p5_forms, p6_found, p6_collapsed, p7_pack, p7_pack_joint, p7_summary, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
 
 
 def oracle_sql():
