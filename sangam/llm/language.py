@@ -23,9 +23,11 @@ from .lookalikes import TWINS, fold
 
 CODES = ("en", "hi", "hi-Latn", "mr", "bn", "ta")
 NONE = len(CODES)
-SAMPLE, FIRST, CLEAN, NAMES = 1500, 600, 1000, 500
+SAMPLE, FIRST, CLEAN, NAMES = 1500, 700, 1800, 400
 #: A unit below SURE follows its neighbours; a text with no surer unit takes its best one above LEAST.
-SURE, LEAST = 0.6, 0.3
+SURE, LEAST = 0.6, 0.25
+#: That many words are never nothing but names.
+ENOUGH = 5
 RUN, LONG, PIECE, STRONG = 4, 16, 8, 0.9
 
 _twins = str.maketrans(TWINS)
@@ -112,7 +114,7 @@ def decide(probs: np.ndarray, words: list[int], whole: list[bool]) -> list[tuple
     sure = [c >= (SURE if w else STRONG) and probs[i, NONE] < 0.5 for i, (c, w) in enumerate(zip(conf, whole))]
     if not any(sure):
         i = int(conf.argmax())
-        return [(int(best[i]), float(conf[i]), sum(words))] if conf[i] >= LEAST and conf[i] > probs[i, NONE] else []
+        return [(int(best[i]), float(conf[i]), sum(words))] if conf[i] >= LEAST and (conf[i] > probs[i, NONE] or sum(words) >= ENOUGH) else []
     out: list[list] = []
     carry = 0
     for i, s in enumerate(sure):

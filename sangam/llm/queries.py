@@ -41,6 +41,24 @@ def p3_links(spark, sf):
     return links(table(spark, sf, "uploads"))
 
 
+def p4_found(spark, sf):
+    from .toxicity import scores
+
+    return scores(table(spark, sf, "uploads"), table(spark, sf, "review_labels")).where("toxic").select("row_id")
+
+
+def p4_scores(spark, sf):
+    from .toxicity import scores
+
+    return scores(table(spark, sf, "uploads"), table(spark, sf, "review_labels"))
+
+
+def p4_source_rates(spark, sf):
+    from .toxicity import scores, source_rates
+
+    return source_rates(scores(table(spark, sf, "uploads"), table(spark, sf, "review_labels")))
+
+
 def p5_found(spark, sf):
     from .lookalikes import identical_pairs
 
@@ -102,7 +120,7 @@ def p9_unit_shares(spark, sf):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_links, p5_found, p5_forms, p6_found, p6_collapsed, p7_pack, p7_pack_joint, p7_summary, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_links, p4_found, p4_scores, p4_source_rates, p5_found, p5_forms, p6_found, p6_collapsed, p7_pack, p7_pack_joint, p7_summary, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
 
 
 def oracle_sql():
