@@ -31,11 +31,13 @@ from sangam.session import written
 from .lookalikes import TWINS, fold
 
 MAX_VERDICTS = 20_000
-PRIOR, OFFSET, CLIP, UNSEEN = 30.0, 0.7, 5.0, -0.7
+PRIOR, OFFSET, CLIP, UNSEEN = 30.0, 1.0, 5.0, -1.0
+#: Weight of a pair beside its words.
+PAIR = 0.6
 #: A token needs that many toxic or neutral occurrences to have a score of its own.
 LEAST = 2
 #: A row is toxic where the chance of such a passage in neutral text is below 10 to minus this.
-SIGNIFICANT = 3.5
+SIGNIFICANT = 3.0
 
 _twins = str.maketrans(TWINS)
 # Signs written for letters.
@@ -155,7 +157,7 @@ def log_odds(toxic: Counter, neutral: dict, n_neutral: int) -> dict[str, float]:
         a = PRIOR * (t + n) / (nt + nn) + 0.01
         d = math.log((t + a) / (nt + PRIOR)) - math.log((n + a) / (nn + PRIOR))
         # shrink what rests on few occurrences
-        out[w] = max(-CLIP, min(CLIP, d * (t + 1.0) / (t + 2.0)))
+        out[w] = max(-CLIP, min(CLIP, d * (t / (t + 1.0) if d > 0 else n / (n + 1.0))))
     return out
 
 
@@ -177,7 +179,7 @@ def _learn(texts: list[list[str]], toxic_spans: list[list[tuple[int, int]]], cor
     else:
         total = tuple(sum(c.values()) for c in neu)
     words, pairs = (log_odds(t, c, n) for t, c, n in zip(tox, neu, total))
-    return {w: d - OFFSET for w, d in words.items()} | {p: 0.6 * d for p, d in pairs.items() if abs(d) > 0.3}
+    return {w: d - OFFSET for w, d in words.items()} | {p: PAIR * (d - math.copysign(OFFSET, d)) for p, d in pairs.items() if abs(d) > OFFSET}
 
 
 def _masks(texts, scores) -> dict[str, str]:
@@ -227,7 +229,7 @@ def _spans(m: Model, texts, bad, mend: bool) -> list[list[tuple[int, int]]]:
     for t, b in zip(texts, bad):
         found = m.passages(t) if t else []
         top = max((s for _, _, s in found), default=0.0)
-        keep = [(a, e) for a, e, s in found if s >= 0.5 * top and m.chance(s, len(t)) > 1.0]
+        keep = [(a, e) for a, e, s in found if s >= 0.5 * top and m.chance(s, len(t)) > (2.0 if mend else 1.0)]
         out.append(keep if b or (mend and top and m.chance(top, len(t)) > 6.0) else [])
     return out
 
