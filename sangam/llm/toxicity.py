@@ -37,7 +37,7 @@ PAIR = 0.6
 #: A token needs that many toxic or neutral occurrences to have a score of its own.
 LEAST = 2
 #: A row is toxic where the chance of such a passage in neutral text is below 10 to minus this.
-SIGNIFICANT = 3.0
+SIGNIFICANT = 3.5
 
 _twins = str.maketrans(TWINS)
 # Signs written for letters.
@@ -82,8 +82,8 @@ def tokens(text: str) -> list[str]:
 
 
 def elements(toks: list[str]) -> list[tuple[str, str]]:
-    """Each word with the pair that it ends."""
-    return [(b, a + " " + b) for a, b in zip(["", *toks], toks)]
+    """Each word with the pair that it ends (none for the first word)."""
+    return [(b, a + " " + b if a else "") for a, b in zip(["", *toks], toks)]
 
 
 class Model:
@@ -99,7 +99,7 @@ class Model:
         get = self.scores.get
         out, before = [], ""
         for t in toks:
-            out.append(get(t, UNSEEN) + get(before + " " + t, 0.0))
+            out.append(get(t, UNSEEN) + (get(before + " " + t, 0.0) if before else 0.0))
             before = t
         return out
 
@@ -171,7 +171,8 @@ def _learn(texts: list[list[str]], toxic_spans: list[list[tuple[int, int]]], cor
             inside[a:b] = [True] * (b - a)
         for (w, p), x in zip(elements(toks), inside):
             for k, t in ((0, w), (1, p)):
-                (tox if x else neu)[k][t] += 1
+                if t:
+                    (tox if x else neu)[k][t] += 1
     if corpus:
         counts, n = corpus
         neu = tuple({w: counts.get(w, 0) for w in tox[k].keys() | neu[k].keys()} for k in (0, 1))
@@ -246,7 +247,7 @@ def fit(rows: list[tuple[str, bool]], count=None) -> Model:
     m = fit_scores(texts, bad)
     if count:
         own = [m.clean(t) for t in texts]
-        vocabulary = {x for t in own for e in elements(t) for x in e}
+        vocabulary = {x for t in own for e in elements(t) for x in e if x}
         m = fit_scores(texts, bad, corpus=count(vocabulary, m.masks), start=m)
     m.cut = SIGNIFICANT
     return m
