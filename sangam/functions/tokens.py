@@ -79,18 +79,38 @@ def language3(tok: Column, lex: Lexicons = DEFAULT) -> Column:
 
 def reconstruct(tokens: Column) -> Column:
     """Tokens as a text: closing signs and quotes attach to the left, opening brackets to the right."""
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))))
 
-    def piece(t, i):
-        before = F.element_at(tokens, F.when(i > 0, i).otherwise(F.lit(1)))
-        opening, opened = t.isin("(", "[", "{"), before.isin("(", "[", "{")
-        return F.when(i == 0, t).when(is_punctuation(t), F.when(opening, F.concat(F.lit(" "), t)).otherwise(t)).when(opened, t).otherwise(F.concat(F.lit(" "), t))
+    def piece(t, last):
+        spaced = F.concat(F.lit(" "), t)
+        word = F.when(last.isin("(", "[", "{"), t).otherwise(spaced)
+        return F.when(last.isNull(), t).when(is_punctuation(t), F.when(t.isin("(", "[", "{"), spaced).otherwise(t)).otherwise(word)
 
-    return F.trim(F.array_join(F.transform(tokens, piece), ""))
+    return F.when(F.size(tokens) > 0, F.trim(F.array_join(F.zip_with(tokens, before, piece), ""))).otherwise(F.when(tokens.isNotNull(), ""))
+
+
+def staged(items: Column, *steps) -> Column:
+    """Fields of each element of an array, step by step: a step takes an element's fields and gives more of them.
+
+    Each step is a pass of its own, so that what a later field uses several times is computed once.
+    """
+    def run(items, step, old):
+        def one(x):
+            new = step(lambda n: x[n]) if old else step(x)
+            return F.struct(*[x[n].alias(n) for n in old], *[c.alias(n) for n, c in new.items()])
+
+        return F.transform(items, one)
+
+    names: list[str] = []
+    for step in steps:
+        items = run(items, step, tuple(names))
+        names += (step(lambda n: F.lit("")) if names else step(F.lit(""))).keys()
+    return items
 
 
 def map_tokens(text: Column, f, parity: bool = False, preserve_punctuation: bool = True) -> Column:
-    """Tokenize, change each token that is no punctuation, reconstruct. Tokens that become null are dropped."""
+    """Tokenize, change the tokens that are no punctuation, reconstruct. f: array of tokens to array of tokens."""
     toks = tokenize(text, parity)
     if not preserve_punctuation:
         toks = F.filter(toks, lambda t: ~is_punctuation(t))
-    return reconstruct(F.filter(F.transform(toks, lambda t: F.when(is_punctuation(t), t).otherwise(f(t))), lambda t: t.isNotNull()))
+    return reconstruct(F.zip_with(toks, f(toks), lambda t, o: F.when(is_punctuation(t), t).otherwise(o)))

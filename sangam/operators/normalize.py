@@ -22,20 +22,29 @@ def compress(t: Column, n: int = 2) -> Column:
     return F.regexp_replace(t, r"(.)\1{%d,}" % n, "$1" * n)
 
 
-def phonetic(t: Column, lex: Lexicons = DEFAULT, normalize_repetitions=True, normalize_phonetics=True, preserve_english_intensity=True, canonical=None, protected=PROTECTED, parity=False) -> Column:
-    """X-1: romanised Hindi to its canonical sound. In intended mode a word of the map is eligible whatever its label."""
+def phonetic(toks: Column, lex: Lexicons = DEFAULT, normalize_repetitions=True, normalize_phonetics=True, preserve_english_intensity=True, canonical=None, protected=PROTECTED, parity=False) -> Column:
+    """X-1 over an array of tokens: romanised Hindi to its canonical sound. In intended mode a word of the map is eligible
+    whatever its label."""
     canonical = CANONICAL if canonical is None else canonical
     safe = sorted(protected)
-    m = F.coalesce(lookup(canonical)[F.lower(t)], t) if canonical else t
-    capped = cap_runs(m) if normalize_repetitions else m
-    final = F.when(F.lower(capped).isin(safe), capped).otherwise(F.regexp_replace(capped, "(?<=[a-z]{3})aa$", "a")) if normalize_phonetics else capped
-    done = F.when(F.lower(m).isin(safe), m).otherwise(final)
-    lang = T.language4(t, lex)
-    hindi = lang == "HI_ROM"
-    if not parity and canonical:
-        hindi = hindi | F.lower(t).isin(sorted(canonical))
-    english = t if preserve_english_intensity or not normalize_repetitions else cap_runs(t)
-    return F.when(hindi, done).when(lang == "EN", english).otherwise(t)
+
+    def first(t):
+        lang = T.language4(t, lex)
+        hindi = lang == "HI_ROM"
+        if not parity and canonical:
+            hindi = hindi | F.lower(t).isin(sorted(canonical))
+        return {"t": t, "english": lang == "EN", "hindi": hindi, "m": F.coalesce(lookup(canonical)[F.lower(t)], t) if canonical else t}
+
+    def second(x):
+        return {"capped": cap_runs(x("m")) if normalize_repetitions else x("m")}
+
+    def third(x):
+        capped = x("capped")
+        final = F.when(F.lower(capped).isin(safe), capped).otherwise(F.regexp_replace(capped, "(?<=[a-z]{3})aa$", "a")) if normalize_phonetics else capped
+        english = x("t") if preserve_english_intensity or not normalize_repetitions else cap_runs(x("t"))
+        return {"out": F.when(x("hindi"), F.when(F.lower(x("m")).isin(safe), x("m")).otherwise(final)).when(x("english"), english).otherwise(x("t"))}
+
+    return F.transform(T.staged(toks, first, second, third), lambda x: x["out"])
 
 
 def match_case(source: Column, target: Column) -> Column:
@@ -45,24 +54,42 @@ def match_case(source: Column, target: Column) -> Column:
     return F.when(cased & (source == F.upper(source)), F.upper(target)).when(cased & (source == F.initcap(source)), title).otherwise(target)
 
 
-def language_aware(t: Column, lex: Lexicons = DEFAULT, normalize_english=True, normalize_hindi=True, normalize_unknown=False, expand_slang=False, preserve_sentiment_intensity=False, sentiment_repeat_limit=3, vowel_repeat_limit=1, variants=None, slang=None, parity=False) -> Column:
-    """X-2: spelling rules by language. In parity mode romanised Hindi passes unchanged, as its branch is never taken."""
+def language_aware(toks: Column, lex: Lexicons = DEFAULT, normalize_english=True, normalize_hindi=True, normalize_unknown=False, expand_slang=False, preserve_sentiment_intensity=False, sentiment_repeat_limit=3, vowel_repeat_limit=1, variants=None, slang=None, parity=False) -> Column:
+    """X-2 over an array of tokens: spelling rules by language. In parity mode romanised Hindi passes unchanged, as its branch
+    is never taken."""
     variants = (VARIANTS_PARITY if parity else VARIANTS) if variants is None else variants
     slang = SLANG if slang is None else slang
-    few = compress(t, sentiment_repeat_limit if preserve_sentiment_intensity else 2)
-    english = F.coalesce(lookup(slang)[F.lower(few)], few) if expand_slang and slang else few
     limit = min(sentiment_repeat_limit - 1, 2) if preserve_sentiment_intensity else vowel_repeat_limit
-    hindi = F.regexp_replace(few, r"([aeiouAEIOU])\1{%d,}" % max(limit, 2), "$1" * max(limit, 1)) if limit > 1 else few
-    low = F.lower(hindi)
-    fixed = low
-    for pattern, to in P.REPAIRS:
-        fixed = F.regexp_replace(fixed, pattern, to)
-    known = lookup(variants)[low] if variants else F.lit(None).cast("string")
-    hindi = F.when(known.isNotNull(), match_case(t, known)).when(low.isin(sorted(lex.hindi)), hindi).when(fixed != low, match_case(t, fixed)).otherwise(hindi)
-    lang = T.language4(t, lex)
-    is_hindi = F.lit(False) if parity else (lang == "HI_ROM") | ((lang == "UNK") & low.isin(sorted(variants)))
-    out = F.when(is_hindi, hindi if normalize_hindi else t).when(lang == "EN", english if normalize_english else t).when(lang == "UNK", few if normalize_unknown else t).otherwise(t)
-    return F.when(t.rlike(P.DIGITS) | t.rlike(P.ARTIFACT), t).otherwise(out)
+    words = sorted(lex.hindi)
+
+    def first(t):
+        return {"t": t, "few": compress(t, sentiment_repeat_limit if preserve_sentiment_intensity else 2), "lang": T.language4(t, lex), "same": t.rlike(P.DIGITS) | t.rlike(P.ARTIFACT)}
+
+    def second(x):
+        return {"low": F.lower(x("few")), "short": F.regexp_replace(x("few"), r"([aeiouAEIOU])\1{%d,}" % limit, "$1" * limit)}
+
+    def third(x):
+        fixed = x("short")
+        for pattern, to in P.REPAIRS:
+            fixed = F.regexp_replace(fixed, pattern, to)
+        known = F.coalesce(lookup(variants)[x("low")], lookup(variants)[F.lower(x("short"))]) if variants else F.lit(None).cast("string")
+        return {"known": known, "fixed": fixed}
+
+    def last(x):
+        t, few, low, short, lang = x("t"), x("few"), x("low"), x("short"), x("lang")
+        # canonical words of the lexicon keep their doubled vowels
+        hindi = F.when(x("known").isNotNull(), match_case(t, x("known"))).when(low.isin(words), few).when(F.lower(short).isin(words), match_case(t, F.lower(short))).otherwise(x("fixed"))
+        english = F.coalesce(lookup(slang)[low], few) if expand_slang and slang else few
+        is_hindi = F.lit(False) if parity else (lang == "HI_ROM") | ((lang == "UNK") & low.isin(sorted(variants)))
+        out = F.when(is_hindi, hindi if normalize_hindi else t).when(lang == "EN", english if normalize_english else t).when(lang == "UNK", few if normalize_unknown else t).otherwise(t)
+        return {"out": F.when(x("same"), t).otherwise(out)}
+
+    return F.transform(T.staged(toks, first, second, third, last), lambda x: x["out"])
+
+
+def one(f, t: Column, **kw) -> Column:
+    """A function over arrays of tokens for a single token."""
+    return F.element_at(f(F.array(t), **kw), 1)
 
 
 def canonical_key(t: Column) -> Column:
@@ -89,4 +116,4 @@ def process(df: DataFrame, f, text_col: str = "text", output_col: str = "process
     text = F.col(text_col)
     if parity:
         text = F.coalesce(text, F.lit("nan"))
-    return df.withColumn(output_col, T.map_tokens(T.nfkc(text), lambda t: f(t, **kw), parity))
+    return df.withColumn(output_col, T.map_tokens(T.nfkc(text), lambda toks: f(toks, **kw), parity))
