@@ -3,7 +3,7 @@
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import patterns as P
@@ -108,9 +108,13 @@ def staged(items: Column, *steps) -> Column:
     return items
 
 
-def map_tokens(text: Column, f, parity: bool = False, preserve_punctuation: bool = True) -> Column:
-    """Tokenize, change the tokens that are no punctuation, reconstruct. f: array of tokens to array of tokens."""
-    toks = tokenize(text, parity)
+def map_tokens(df: DataFrame, text: Column, output_col: str, f, parity: bool = False, preserve_punctuation: bool = True) -> DataFrame:
+    """Tokenize, change the tokens that are no punctuation, reconstruct. f: array of tokens to array of tokens.
+
+    Each step is a column of its own: an expression that several others use would be computed by each of them.
+    """
+    d = df.withColumn("__text", text).withColumn("__toks", tokenize(F.col("__text"), parity))
     if not preserve_punctuation:
-        toks = F.filter(toks, lambda t: ~is_punctuation(t))
-    return reconstruct(F.zip_with(toks, f(toks), lambda t, o: F.when(is_punctuation(t), t).otherwise(o)))
+        d = d.withColumn("__toks", F.filter("__toks", lambda t: ~is_punctuation(t)))
+    d = d.withColumn("__out", F.zip_with("__toks", f(F.col("__toks")), lambda t, o: F.when(is_punctuation(t), t).otherwise(o)))
+    return d.withColumn(output_col, reconstruct(F.col("__out"))).drop("__text", "__toks", "__out")

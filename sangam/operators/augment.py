@@ -139,10 +139,10 @@ def join_pieces(pieces: list[str], marker: str = "▁") -> str:
 
 def subword_sampling(
     df: DataFrame, id_col: str, text_col: str = "text", output_col: str = "processed_text", lex: Lexicons = DEFAULT, sampler=split_by_hash, hindi_dropout_prob=0.3, english_dropout_prob=0.05,
-    perturb_devanagari=False, min_token_length=5, subword_marker="▁", random_seed=42, boundary_multiplier=1.5, stable_span_multiplier=0.7, unknown_multiplier=1.0,
+    perturb_devanagari=False, min_token_length=5, subword_marker="▁", random_seed=42, boundary_multiplier=1.5, stable_span_multiplier=0.7, unknown_multiplier=1.0, normalized: bool = False,
 ) -> DataFrame:
     """X-6: words are cut into pieces with a chance that depends on their language and on the labels around them."""
-    d = df.withColumn("__t", T.tokenize(T.nfkc(F.col(text_col)))).withColumn("__l", F.transform("__t", lambda t: T.language4(t, lex)))
+    d = df.withColumn("__t", T.tokenize(F.col(text_col) if normalized else T.nfkc(F.col(text_col)))).withColumn("__l", F.transform("__t", lambda t: T.language4(t, lex)))
     d = d.withColumn("__m", context_multiplier(F.col("__l"), boundary_multiplier, stable_span_multiplier, unknown_multiplier))
     ok = lambda t: ~t.rlike(P.DIGITS) & ~T.is_punctuation(t) & (F.length(t) >= min_token_length) & (F.lit(perturb_devanagari) | ~T.has_devanagari(t))
     base = lambda x: F.when(x.isin("HI_ROM", "HI_DEV"), hindi_dropout_prob).otherwise(english_dropout_prob)

@@ -55,8 +55,8 @@ def transliteration_tokens(toks: Column, lex: Lexicons = DEFAULT, source_scheme=
     return want, conv
 
 
-def transliteration(df: DataFrame, text_col: str = "text", output_col: str = "processed_text", **kw) -> DataFrame:
-    d = df.withColumn("__toks", T.tokenize(T.nfkc(F.col(text_col))))
+def transliteration(df: DataFrame, text_col: str = "text", output_col: str = "processed_text", normalized: bool = False, **kw) -> DataFrame:
+    d = df.withColumn("__toks", T.tokenize(F.col(text_col) if normalized else T.nfkc(F.col(text_col))))
     _, conv = transliteration_tokens(F.col("__toks"), **kw)
     d = d.withColumn("__conv", conv).withColumn("__out", F.zip_with("__toks", "__conv", lambda t, c: F.coalesce(c, t)))
     return d.withColumn(output_col, T.reconstruct(F.col("__out"))).drop("__toks", "__conv", "__out")
@@ -78,7 +78,7 @@ def unify_word(word: str, target="devanagari", scheme="itrans", validate=True, t
     return roman
 
 
-def script_unification(df: DataFrame, text_col: str = "text", output_col: str = "processed_text", lex: Lexicons = DEFAULT, target_script="devanagari", roman_scheme="itrans", require_lexicon_match=True, roman_post_map=None, preserve_scheme_differences=False, round_trip_validate=True, round_trip_threshold=2, allow_language_fallback=True) -> DataFrame:
+def script_unification(df: DataFrame, text_col: str = "text", output_col: str = "processed_text", lex: Lexicons = DEFAULT, target_script="devanagari", roman_scheme="itrans", require_lexicon_match=True, roman_post_map=None, preserve_scheme_differences=False, round_trip_validate=True, round_trip_threshold=2, allow_language_fallback=True, normalized: bool = False) -> DataFrame:
     """X-3: romanised Hindi to Devanagari, or Devanagari to roman; all other tokens pass."""
     if target_script not in ("devanagari", "roman"):
         raise ValueError(f"target_script {target_script!r} is neither devanagari nor roman")
@@ -86,16 +86,16 @@ def script_unification(df: DataFrame, text_col: str = "text", output_col: str =
         raise ValueError(f"roman_scheme {roman_scheme!r} is none of hk, iast, itrans")
     source = "HI_ROM" if target_script == "devanagari" else "HI_DEV"
     gate = lambda t: F.lower(t).isin(sorted(lex.hindi)) | F.lit(not require_lexicon_match or allow_language_fallback)
-    d = df.withColumn("__toks", T.tokenize(T.nfkc(F.col(text_col))))
+    d = df.withColumn("__toks", T.tokenize(F.col(text_col) if normalized else T.nfkc(F.col(text_col))))
     want = F.transform("__toks", lambda t: F.when((T.language4(t, lex) == source) & gate(t) & ~T.is_punctuation(t), t))
     conv = _words(want, lambda w: unify_word(w, target_script, roman_scheme, round_trip_validate, round_trip_threshold, preserve_scheme_differences, roman_post_map))
     d = d.withColumn("__conv", conv).withColumn("__out", F.zip_with("__toks", "__conv", lambda t, c: F.coalesce(c, t)))
     return d.withColumn(output_col, T.reconstruct(F.col("__out"))).drop("__toks", "__conv", "__out")
 
 
-def balanced_tokenization(df: DataFrame, targets: Column, text_col: str = "text", output_col: str = "processed_text", lex: Lexicons = DEFAULT, transliterate_unknown=True) -> DataFrame:
+def balanced_tokenization(df: DataFrame, targets: Column, text_col: str = "text", output_col: str = "processed_text", lex: Lexicons = DEFAULT, transliterate_unknown=True, normalized: bool = False) -> DataFrame:
     """X-5: lexicon spellings, and a spelling by rule for Hindi-like words outside it."""
-    d = df.withColumn("__toks", T.tokenize(T.nfkc(F.col(text_col))))
+    d = df.withColumn("__toks", T.tokenize(F.col(text_col) if normalized else T.nfkc(F.col(text_col))))
     d = d.withColumn("__bal", F.transform("__toks", lambda t: F.when(T.is_punctuation(t), t).otherwise(balanced(t, targets, lex))))
     if transliterate_unknown:
         want = F.transform("__bal", lambda t: F.when((T.language4(t, lex) == "HI_ROM") & ~F.lower(t).isin(sorted(lex.english)), canonical_key(t)))

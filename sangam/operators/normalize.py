@@ -109,11 +109,11 @@ def balanced(t: Column, targets: Column, lex: Lexicons = DEFAULT, parity=False)
     return F.when(t.rlike(P.DIGITS), t).when(english, short).otherwise(F.coalesce(found, short))
 
 
-def process(df: DataFrame, f, text_col: str = "text", output_col: str = "processed_text", parity: bool = False, **kw) -> DataFrame:
-    """T-10: a table with the text changed token by token. Null stays null (in parity mode it is the text nan)."""
+def process(df: DataFrame, f, text_col: str = "text", output_col: str = "processed_text", parity: bool = False, normalized: bool = False, **kw) -> DataFrame:
+    """T-10: a table with the text changed token by token; normalized: it is composed already. Null stays null (in parity mode it is the text nan)."""
     if text_col not in df.columns:
         raise ValueError(f"no column {text_col!r}; there are {df.columns}")
     text = F.col(text_col)
     if parity:
         text = F.coalesce(text, F.lit("nan"))
-    return df.withColumn(output_col, T.map_tokens(T.nfkc(text), lambda toks: f(toks, **kw), parity))
+    return T.map_tokens(df, text if normalized else T.nfkc(text), output_col, lambda toks: f(toks, **kw), parity)

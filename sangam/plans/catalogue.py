@@ -15,7 +15,7 @@ from sangam.plans import pipeline as PL
 from sangam.plans import problems
 from sangam.plans import sqltext as Q
 from sangam.plans.profile import profile  # noqa: F401  (part of the surface)
-from sangam.session import table
+from sangam.session import spread, table
 from sangam.sources import cache, corpora, lexicons
 
 CATALOGUE: dict = {}
@@ -30,7 +30,7 @@ def query(sql: str | None = None):
 
 
 def docs(spark, sf):
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def paired(spark, sf):

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sangam.functions import tokens as T
 from sangam.functions.lexicon import DEFAULT, Lexicons
 from sangam.operators import augment as A
 from sangam.operators import convert as C
@@ -105,7 +106,7 @@ class Pipeline:
         return {"enabled": list(self.enabled), "order": list(self.sequence), "module_configs": dict(self.configs), "output_mode": self.output_mode, "enable_analysis": self.analysis_on, "allow_conflicts": self.allow_conflicts, "random_seed": self.random_seed}
 
     def _transform(self, df: DataFrame, m: str, col: str) -> DataFrame:
-        kw = self.configs.get(m, {})
+        kw = {"normalized": True} | self.configs.get(m, {})
         if m == "phonetic_normalization":
             return N.process(df, N.phonetic, col, col, lex=self.lexicons, **kw)
         if m == "language_aware_normalization":
@@ -123,7 +124,8 @@ class Pipeline:
         """P-5/P-6: output_col, and analysis_<module> columns made from the same transformed text."""
         if text_col not in df.columns:
             raise ValueError(f"no column {text_col!r}; there are {df.columns}")
-        out = df.withColumn(output_col, F.col(text_col))
+        # composed once; what the modules write is composed already
+        out = df.withColumn(output_col, T.nfkc(F.col(text_col)) if self.sequence else F.col(text_col))
         if self.output_mode != "analysis":
             for m in self.sequence:
                 if MODULES[m][0] == TRANSFORMATION:
@@ -137,7 +139,7 @@ class Pipeline:
 
     def trace(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """P-8: a column trace of (module, before, after) for each transformation, in order."""
-        out, steps = df.withColumn("processed_text", F.col(text_col)), []
+        out, steps = df.withColumn("processed_text", T.nfkc(F.col(text_col))), []
         for m in self.sequence:
             if MODULES[m][0] == TRANSFORMATION:
                 k = f"__before_{len(steps)}"
