@@ -10,7 +10,7 @@ The item index is broadcast while it has at most MAX_INDEX windows, which is che
 are joined by a shuffle, with the same result.
 
 Defined results: null, empty and short texts (under SPAN words) contain nothing; a pair is given once however often its
-passages occur; repeated ids give one row.
+passages occur; repeated ids give one row; rows without an id are left out.
 """
 
 import numpy as np
@@ -37,7 +37,7 @@ def _windows_df(df: DataFrame, id_col: str, text_col: str, name: str) -> DataFra
             low, exact, row = _windows(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(low.view(np.int64)), pa.array(exact.view(np.int64))], names=[name, "low", "exact"])
 
-    return df.select(F.col(id_col).cast("long").alias(name), sh.word_hashes(F.col(text_col)).alias("w")).mapInArrow(explode, f"{name} long, low long, exact long")
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias(name), sh.word_hashes(F.col(text_col)).alias("w")).mapInArrow(explode, f"{name} long, low long, exact long")
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text", max_index: int = MAX_INDEX) -> DataFrame:
@@ -65,7 +65,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
             found = np.unique(np.stack([np.repeat(row, n), item[at]]), axis=1)
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(found[0])), pa.array(found[1], pa.int64())], names=["doc_id", "item_id"])
 
-    hits = docs.select(F.col(doc_id).cast("long").alias("doc_id"), sh.word_hashes(F.col(text_col)).alias("w")).mapInArrow(find, "doc_id long, item_id long")
+    hits = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), sh.word_hashes(F.col(text_col)).alias("w")).mapInArrow(find, "doc_id long, item_id long")
     return hits.distinct()
 
 

@@ -6,7 +6,7 @@ several partitions, sorted on disk where needed, and scanned once; runs that cro
 summary row per partition (the only thing the driver gets: fixed size, as many as there are partitions).
 
 Defined results: null texts and texts without letter or digit belong to no group; empty input gives no rows; repeated
-ids count as rows; extra columns are ignored.
+ids count as rows; rows without an id are left out; extra columns are ignored.
 """
 
 import hashlib
@@ -43,7 +43,7 @@ def list_key(text: Column) -> Column:
 def canonical(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row_id, key): the canonical record of every text that has a letter or digit."""
     t = F.col("text")
-    base = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).where(t.rlike(r"[\p{L}\p{N}]"))
+    base = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).where(t.rlike(r"[\p{L}\p{N}]") & F.col("row_id").isNotNull())
     base = base.withColumn("is_list", is_list(t))
     plain = base.where(~F.col("is_list")).select("row_id", words_key(t).alias("key"))
     lists = base.where("is_list").select("row_id", words_key(t).alias("flat"), list_key(t).alias("key"))

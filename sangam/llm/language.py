@@ -7,7 +7,7 @@ numbers, emoji and accented foreign words; invented names taken from tags stand
 
 The sample is bounded by SAMPLE rows of each declared language; everything else covers every row and whole texts.
 
-Defined results: a null, blank or word-free text has no language (no row); repeated ids are rows of their own; a table
+Defined results: a null, blank or word-free text has no language (no row); repeated ids are rows of their own; rows without an id are left out; a table
 without usable declarations gives no rows at all, since nothing can be learnt.
 """
 
@@ -180,7 +180,7 @@ def languages(df: DataFrame, id_col: str = "row_id", text_col: str = "text", lan
             cols = list(zip(*rows)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.float64(), pa.int32()))], names=[x.split()[0] for x in OUT.split(", ")])
 
-    return df.select(F.col(id_col).cast("long").alias("row_id"), F.col(lang_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, OUT)
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.col(lang_col).alias("d"), F.col(text_col).alias("t")).mapInArrow(run, OUT)
 
 
 def found(df: DataFrame, **kw) -> DataFrame:

@@ -6,7 +6,7 @@ looks the same. Then every token that holds look-alike letters of another script
 Latin twin), and Viterbi picks the path with the best script-consistent character n-gram score. Case, punctuation, the
 number of blanks and compatibility characters that look different (dots as one character, superscripts) stay.
 
-Defined results: null stays null, empty stays empty; texts of any length are handled whole, token by token.
+Defined results: null stays null, empty stays empty; rows without an id have no partners; texts of any length are handled whole, token by token.
 """
 
 import math
@@ -122,10 +122,10 @@ class Lattice:
         known = self.memo.get(key := token + ("1" if latin_text else "0"))
         if known is not None:
             return known
+        near_too = any(self.script(c) == "latn" for c in token)
         # Script consistency with the text: where no letter binds the token to its script, keeping it there costs CHANGE.
-        loose = latin_text and len(token) > 1 and all(self.script(c) == "latn" or c in TWINS or c in NEAR for c in token)
+        loose = latin_text and len(token) > 1 and all(self.script(c) == "latn" or c in TWINS or near_too and c in NEAR for c in token)
         stay = self.CHANGE if loose and any(c in TWINS for c in token) else 0.0
-        near_too = any(self.script(c) == "latn" or c in TWINS for c in token) and len(token) > 1
         steps = []
         for c in token:
             twin = TWINS.get(c) or (NEAR.get(c) if near_too else None)
@@ -149,7 +149,7 @@ class Lattice:
         text = fold(text)
         if not _lookalike.search(text):
             return text
-        bound = sum(1 for c in text if "Ͱ" <= c < "԰" and c not in TWINS and c not in NEAR)
+        bound = sum(1 for c in text if "Ͱ" <= c < "԰" and c not in TWINS)
         latin_text = bound <= sum(1 for c in text if "A" <= c <= "z" and c.isalpha())
         return _token.sub(lambda m: self.best(m.group(), latin_text) if _lookalike.search(m.group()) else m.group(), text)
 
@@ -181,7 +181,7 @@ def identical_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     """
     counts = bigram_counts(df, text_col)
     t = F.col(text_col)
-    rows = df.where(t.isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.unhex(F.md5(form_col(t, counts))).alias("f"), F.unhex(F.md5(t)).alias("t"))
+    rows = df.where(t.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.unhex(F.md5(form_col(t, counts))).alias("f"), F.unhex(F.md5(t)).alias("t"))
     rows = written(rows, "p5-forms")
     several = rows.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("f")
     members = written(rows.join(several, "f", "left_semi"), "p5-members")

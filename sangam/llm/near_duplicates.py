@@ -16,7 +16,7 @@ Similarity is the Jaccard index of the sets of words, at least 3/4, of texts wit
 
 Sets, not rows, are compared: copies meet once, and pairs of rows are made from pairs of sets at the very end.
 
-Defined results: null, empty and short texts (under 12 different words) have no partners; texts with equal word sets are
+Defined results: null, empty and short texts (under 12 different words) and rows without an id have no partners; texts with equal word sets are
 partners unless they are copies up to formatting (problem 6) or look the same (problem 5), as any other pair is.
 """
 
@@ -46,7 +46,7 @@ BROADCAST_IDS = 1_000_000
 def base_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(row_id, c1, c2, o1, o2, s1, w): hashes of the word set, of the words in order, of a list's sorted fields; the set."""
     t = F.col(text_col)
-    words = df.select(F.col(id_col).cast("long").alias("row_id"), words_col(t).alias("words"), F.when(is_list(t), F.xxhash64(list_key(t))).alias("s1")).where(F.size("words") >= LEAST)
+    words = df.select(F.col(id_col).cast("long").alias("row_id"), words_col(t).alias("words"), F.when(is_list(t), F.xxhash64(list_key(t))).alias("s1")).where((F.size("words") >= LEAST) & F.col("row_id").isNotNull())
     rows = words.select("row_id", "s1", F.xxhash64("words").alias("o1"), F.array_sort(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") >= LEAST)
     return rows.select("row_id", F.xxhash64("w").alias("c1"), F.xxhash64(F.lit("2"), F.col("w")).alias("c2"), "o1", "s1", "w")
 
@@ -83,10 +83,10 @@ def _key(parts: list[np.ndarray], salt: int) -> np.ndarray:
     return h
 
 
-def _entries(column, counts: np.ndarray, total: int, hot: np.ndarray | None):
+def _entries(column, counts: np.ndarray, total: int, hot: np.ndarray | None, limit: int = HOT):
     """(key, row, roles, n per row, sketch per row) of a batch; roles: 1 searches (longer set), 2 is searched, 3 both.
 
-    hot: counts of keys by bin, to make keys in bins over HOT deeper by one word.
+    hot: counts of keys by bin, to make keys in bins over `limit` deeper by one word.
     """
     values, off, row = sh.flat(column)
     n = np.diff(off)
@@ -127,7 +127,7 @@ def _entries(column, counts: np.ndarray, total: int, hot: np.ndarray | None):
             done = (load <= SHARD) | (level == DEEPEST)
             key = _key(parts, 2)
             if hot is not None and level < DEEPEST + 1:
-                done = (done | must) & ~((hot[_bin(key)] > HOT) & ~must & (level <= DEEPEST)) if level < DEEPEST else done
+                done = (done | must) & ~((hot[_bin(key)] > limit) & ~must & (level <= DEEPEST)) if level < DEEPEST else done
             if done.any():
                 roles = np.where(pos < q[rows[done]] + level - 1, 3, 1)
                 emit(short[rows[done]], roles, key[done])
@@ -153,11 +153,11 @@ def _entries(column, counts: np.ndarray, total: int, hot: np.ndarray | None):
     return key, rows.astype(np.int64), roles.astype(np.int64), n, sketch
 
 
-def key_counts(base: DataFrame, counts: np.ndarray, total: int, hot) -> np.ndarray:
+def key_counts(base: DataFrame, counts: np.ndarray, total: int, hot, limit: int) -> np.ndarray:
     def count(batches):
         own = np.zeros(BINS, np.int64)
         for b in batches:
-            own += np.bincount(_bin(_entries(b.column(0), counts, total, hot)[0]), minlength=BINS)
+            own += np.bincount(_bin(_entries(b.column(0), counts, total, hot, limit)[0]), minlength=BINS)
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own[at])], names=["bin", "n"])
 
@@ -219,7 +219,7 @@ def _match(key, c, sketch, meta):
     """Candidate pairs (ids) among the entries of whole shards."""
     n, role = meta >> 2, meta & 3
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (sketch[1:] != sketch[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (c[1:] != c[:-1]) | (sketch[1:] != sketch[:-1]) | (meta[1:] != meta[:-1])
     key, c, sketch, n, role = (x[new] for x in (key, c, sketch, n, role))
     shard = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1 if len(key) else key.astype(np.int64)
     size = np.bincount(shard)
@@ -272,21 +272,21 @@ def _trees(batches):
         yield run(held)
 
 
-def candidates(base: DataFrame, partitions: int) -> DataFrame:
+def candidates(base: DataFrame, partitions: int, limit: int = HOT) -> DataFrame:
     """(ca, cb): ids (c1) of word sets whose sketches lie within the radius in some shard. May hold a pair twice."""
     counts = word_counts(base)
     total = max(1, base.count())
-    hot, blocks = None, key_counts(base, counts, total, None)
-    if (blocks > HOT).any():
+    hot, blocks = None, key_counts(base, counts, total, None, limit)
+    if (blocks > limit).any():
         hot = blocks
-        blocks = key_counts(base, counts, total, hot)
-    side = np.ceil(blocks / HOT).astype(np.int64)
+        blocks = key_counts(base, counts, total, hot, limit)
+    side = np.ceil(blocks / limit).astype(np.int64)
     side[side < 1] = 1
     grid = None if side.max() == 1 else side
 
     def make(batches):
         for b in batches:
-            key, row, roles, n, sketch = _entries(b.column(1), counts, total, hot)
+            key, row, roles, n, sketch = _entries(b.column(1), counts, total, hot, limit)
             c = b.column(0).to_numpy(zero_copy_only=False)[row]
             block = np.zeros(len(key), np.int32)
             if grid is not None:

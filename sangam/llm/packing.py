@@ -11,7 +11,7 @@ Only a document longer than the capacity is split: into full containers and one
 other piece.
 
 Defined results: null, empty and blank texts may have 0 tokens and are put into the first container as pieces of
-length 0; repeated ids are rows of their own; capacities that are null or below 1 are ignored; a capacity over MAX_CAPACITY is refused.
+length 0; repeated ids are rows of their own; rows without an id are left out; capacities that are null or below 1 are ignored; a capacity over MAX_CAPACITY is refused.
 """
 
 import base64
@@ -113,7 +113,7 @@ def plan(histogram: dict[int, int], permitted: list[int], overhead: int = OVERHE
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, tokens, salt), written: tokenizing is the dear part and is done once."""
-    t = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(n_tokens(F.col(text_col), tokenizer), F.lit(0)).cast("long").alias("tokens"))
+    t = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(n_tokens(F.col(text_col), tokenizer), F.lit(0)).cast("long").alias("tokens"))
     return written(t.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "p7-tokens")
 
 

@@ -123,5 +123,34 @@ def queries():
     return {f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_links, p4_found, p4_scores, p4_source_rates, p5_found, p5_forms, p6_found, p6_collapsed, p7_pack, p7_pack_joint, p7_summary, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
 
 
+def _words(x: str) -> str:
+    """The words of x joined by a blank."""
+    return f"trim(regexp_replace(regexp_replace(lower({x}), '\\p{{P}}+', '', 'g'), '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
+
+
+FIELD = "'\\s*[^:;\\r\\n]{1,60}:\\s*\\S[^;\\r\\n]*'"
+P6 = f"""WITH u AS (SELECT row_id, text, {_words('text')} AS flat, list_filter(regexp_split_to_array(text, '[;\\r\\n]+'), lambda p: length(trim(regexp_replace(p, '\\s+', ' ', 'g'))) > 0) AS parts
+  FROM uploads WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')),
+ l AS (SELECT row_id, flat, contains(text, ':') AND regexp_matches(text, '[;\\n\\r]') AND len(parts) >= 2 AND len(list_filter(parts, lambda p: NOT regexp_full_match(p, {FIELD}))) = 0 AS is_list,
+  array_to_string(list_sort(list_transform(parts, lambda p: {_words('p')})), ' ') AS sorted FROM u),
+ alias AS (SELECT flat, min(sorted) AS target FROM l WHERE is_list AND flat <> sorted GROUP BY flat),
+ k AS (SELECT row_id, CASE WHEN is_list THEN sorted ELSE coalesce(target, l.flat) END AS k FROM l LEFT JOIN alias USING (flat)),
+ g AS (SELECT row_id, min(row_id) OVER (PARTITION BY k) AS first_row_id FROM k)"""
+
+
+def _grams(key: str, n: int, source: str) -> str:
+    """(key, i, g): each run of n words of a text."""
+    words = f"list_filter(string_split({_words('text')}, ' '), lambda x: x <> '')"
+    return f"SELECT {key}, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {key}, {words} AS w FROM {source} WHERE text IS NOT NULL))"
+
+
 def oracle_sql():
-    return {}
+    eight = f"WITH d AS ({_grams('doc_id', 12, 'documents')}), e AS ({_grams('item_id', 12, 'eval_items')}), leak AS (SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g))"
+    nine = f"WITH r AS ({_grams('doc_id', 4, 'documents')}), s AS (SELECT doc_id, count(*) AS n, count(DISTINCT g) AS d FROM r GROUP BY doc_id)"
+    return {
+        "p6_found": f"{P6} SELECT first_row_id, row_id FROM g WHERE row_id <> first_row_id",
+        "p6_collapsed": f"{P6} SELECT first_row_id, count(*) AS copies FROM g GROUP BY first_row_id",
+        "p8_found": f"{eight} SELECT doc_id, item_id FROM leak",
+        "p8_report": f"{eight} SELECT item_id, benchmark, count(*) AS n_docs FROM leak JOIN eval_items USING (item_id) GROUP BY item_id, benchmark",
+        "p9_found": f"{nine} SELECT doc_id FROM s WHERE n + 3 >= 20 AND 1 - d / n >= 0.35",
+    }

@@ -9,7 +9,7 @@ Thresholding is deterministic and loses nothing: a document whose share of repea
 s >= 0.35 lies below that bound at 0.35; below it, the share itself decides.
 
 Defined results: a null or empty text has 0 words and share 0; a text of fewer than 4 words has no run and score 0; no
-document is skipped, whatever its length.
+document is skipped, whatever its length; rows without an id are left out.
 """
 
 import numpy as np
@@ -82,7 +82,7 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             flag = (llr <= limit) & (n >= LEAST_WORDS) & (share >= SHARE)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(share), pa.array(llr), pa.array(flag)], names=["doc_id", "n_words", "share", "llr", "repetitive"])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), sh.word_hashes(F.col(text_col)).alias("w")).mapInArrow(score, "doc_id long, n_words long, share double, llr double, repetitive boolean")
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), sh.word_hashes(F.col(text_col)).alias("w")).mapInArrow(score, "doc_id long, n_words long, share double, llr double, repetitive boolean")
 
 
 def unit_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

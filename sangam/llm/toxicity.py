@@ -14,7 +14,7 @@ text.
 
 Defined results: a null, blank or word-free text scores 0; rows reviewed twice count as toxic or neutral by majority (a
 tie is left out), null verdicts are left out; without verdicts of both kinds no row is toxic and all scores are 0; a null
-source is a source of its own.
+source is a source of its own; rows without an id are left out.
 """
 
 import math
@@ -261,7 +261,7 @@ def token_rows(df: DataFrame, id_col: str = "row_id", text_col: str = "text", so
             toks = [None if t is None else " ".join(tokens(t)) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(toks, pa.string())], names=["row_id", "source", "toks"])
 
-    t = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("t"))
+    t = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("t"))
     return written(t.mapInArrow(run, "row_id long, source string, toks string"), "p4-tokens")
 
 
