@@ -71,3 +71,49 @@ def leave_one_out(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> D
 def top_rows(df: DataFrame, id_col: str, k: int) -> DataFrame:
     """The first k rows by id: the deterministic form of a row limit (C-9)."""
     return df.orderBy(id_col).limit(k)
+
+
+# What gives a control token away.
+SWITCH_SIGNS = ("SWITCH", "DEV:", "TR:", "<EN", "<HI", "<UNK")
+
+
+def has_switch_marker(tokens: Column) -> Column:
+    """C-3: whether any token of an array is a control marker."""
+    return F.exists(tokens, lambda t: t.rlike("|".join(SWITCH_SIGNS)))
+
+
+def mean_pool(vectors: Column, mask: Column, dim: int) -> Column:
+    """C-2: the mean of the vectors whose mask is 1, by at least 1e-9."""
+    zero = F.array_repeat(F.lit(0.0), dim)
+    pairs = F.zip_with(vectors, mask, lambda v, m: F.transform(v, lambda x: x.cast("double") * m))
+    total = F.aggregate(pairs, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    n = F.greatest(F.aggregate(mask, F.lit(0.0), lambda s, m: s + m), F.lit(1e-9))
+    return F.transform(total, lambda x: x / n)
+
+
+def encode(df: DataFrame, text_col: str, encoder, output_col: str = "vector") -> DataFrame:
+    """C-8: encoder (a list of texts to a list of vectors) over Arrow batches; it is loaded once per worker by itself. Null
+    texts get no vector."""
+    import pandas as pd
+
+    @F.pandas_udf("array<double>")
+    def run(s: pd.Series) -> pd.Series:
+        known = s[s.notna()].tolist()
+        vectors = iter(encoder(known) if known else [])
+        return pd.Series([list(map(float, next(vectors))) if h else None for h in s.notna()], index=s.index, dtype=object)
+
+    return df.withColumn(output_col, run(F.col(text_col)))
+
+
+def summarize(df: DataFrame, id_col: str, text_col: str, encoder, sample_limit: int = 1000) -> dict:
+    """C-9: averages over the first sample_limit rows by id, and the report of leave-one-out centroids on coerced labels."""
+    rows = encode(top_rows(df, id_col, sample_limit), text_col, encoder)
+    label = label_or_sentiment(F.col("label") if "label" in df.columns else F.lit(None), F.col("sentiment") if "sentiment" in df.columns else F.lit(None))
+    rows = rows.withColumn("__y", label).persist()
+    try:
+        conf = confusion(leave_one_out(rows, id_col, "vector", "__y"), "true_label", "pred_label")
+        rep = report(conf)
+        stats = rows.where("vector is not null").agg(F.count("*").alias("n"), F.avg(norm("vector")).alias("mean_norm"), F.avg(F.length(text_col)).alias("mean_chars")).first().asDict()
+        return stats | summary(rep, conf).first().asDict() | {"per_class": [r.asDict() for r in rep.orderBy("label").collect()], "confusion": [r.asDict() for r in conf.orderBy("true_label", "pred_label").collect()]}
+    finally:
+        rows.unpersist()

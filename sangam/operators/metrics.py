@@ -309,3 +309,31 @@ def silhouette(df: DataFrame, vec_col: str, label_col: str, block: int = 2000, m
         b = s.min(1)
         total.append(np.where(size[own] > 1, (b - a) / np.maximum(a, b), 0.0))
     return float(np.concatenate(total).mean())
+
+
+def centroid_bootstrap(df: DataFrame, vec_col: str, label_col: str, a, b, rounds: int = 1000, seed: int = 0) -> DataFrame:
+    """M-10: the distance between the centroids of two labels with a 95 % interval, by the Poisson bootstrap."""
+
+    def sums(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        r = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        s, n = {}, {}
+        for batch in batches:
+            x, y = np.array(batch.column(0).to_pylist(), float), np.array(batch.column(1).to_pylist())
+            for side, label in enumerate((a, b)):
+                own = x[y == label] if len(x) else x
+                for part in np.array_split(own, max(1, len(own) // 1000)) if len(own) else ():
+                    w = r.poisson(1.0, (rounds, len(part)))
+                    s[side] = s.get(side, 0) + w @ part
+                    n[side] = n.get(side, 0) + w.sum(1)
+        for side in s:
+            d = s[side].shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rounds * d, side), pa.int32()), pa.array(np.repeat(np.arange(rounds), d), pa.int32()), pa.array(np.tile(np.arange(d), rounds), pa.int32()), pa.array(s[side].ravel()), pa.array(np.repeat(n[side].astype(float), d))], names=["side", "k", "d", "s", "n"])
+
+    rows = df.where(F.col(vec_col).isNotNull() & F.col(label_col).isin(a, b)).select(vec_col, label_col)
+    g = rows.mapInArrow(sums, "side int, k int, d int, s double, n double").groupBy("side", "k", "d").agg((F.sum("s") / F.sum("n")).alias("v"))
+    both = g.groupBy("k", "d").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
+    dist = both.groupBy("k").agg(F.sqrt(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))).alias("crd"))
+    return dist.agg(F.percentile("crd", F.lit(0.025)).alias("low"), F.percentile("crd", F.lit(0.975)).alias("high"), F.avg("crd").alias("mean"))

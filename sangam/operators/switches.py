@@ -144,3 +144,22 @@ def transitions(df: DataFrame, text_col: str, lex: Lexicons = DEFAULT) -> DataFr
     langs = F.filter(F.transform(labelled(F.col(text_col), lex), lambda x: x["lang"]), lambda x: x.isNotNull() & (x != "UNK"))
     pairs = df.select(langs.alias("l")).select(F.explode(F.arrays_zip(F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))).alias("a"), F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))).alias("b"))).alias("p"))
     return pairs.where("p.a <> p.b").groupBy(F.col("p.a").alias("from_label"), F.col("p.b").alias("to_label")).agg(F.count("*").alias("n"))
+
+
+def tagging_stats(df: DataFrame, text_col: str, lex: Lexicons = DEFAULT, tag_unknown: bool = True) -> DataFrame:
+    """A-1c: (total_tokens, content_tokens, tagged_tokens, boundaries, coverage, density) of a table. An aggregation, so that
+    retried tasks do not count twice."""
+    langs = F.transform(labelled(F.col(text_col), lex), lambda x: x["lang"])
+    rows = df.where(F.col(text_col).isNotNull()).select(langs.alias("l")).select(F.size("l").alias("total"), F.filter("l", lambda x: x.isNotNull()).alias("c"))
+    before = F.concat(F.array(F.lit(None).cast("string")), F.slice("c", 1, F.greatest(F.size("c") - 1, F.lit(0))))
+    changes = F.when(F.size("c") > 1, F.size(F.filter(F.zip_with("c", before, lambda a, b: b.isNotNull() & (a != b)), lambda x: x))).otherwise(0)
+    tagged = F.size(F.filter("c", lambda x: F.lit(tag_unknown) | (x != "UNK")))
+    a = rows.select("total", F.size("c").alias("n"), tagged.alias("t"), changes.alias("s")).agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(v) for k, v in (("total", "total_tokens"), ("n", "content_tokens"), ("t", "tagged_tokens"), ("s", "boundaries"))])
+    return a.withColumn("coverage", F.round(F.col("tagged_tokens") / F.greatest("content_tokens", F.lit(1)), 4)).withColumn("density", F.round(F.col("boundaries") / F.greatest(F.col("content_tokens") - 1, F.lit(1)), 4))
+
+
+def switch_stats(df: DataFrame, text_col: str, lex: Lexicons = DEFAULT) -> DataFrame:
+    """A-2c: (total_tokens, content_tokens, switches, density): changes between known tokens, unknown ones transparent."""
+    n = tagging_stats(df, text_col, lex).select("total_tokens", "content_tokens")
+    s = transitions(df, text_col, lex).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("switches"))
+    return n.join(s).withColumn("density", F.round(F.col("switches") / F.greatest(F.col("content_tokens") - 1, F.lit(1)), 4))

@@ -133,7 +133,7 @@ def spri_corpus(spark, sf):
     return M.retention_corpus(paired(spark, sf), "text", "processed_text")
 
 
-@query()
+@query("""WITH u AS (SELECT job_id, row_no, max(lower(trim(lang))) AS lang FROM uploads WHERE lang <> '' GROUP BY 1, 2) SELECT a.lang AS from_lang, b.lang AS to_lang, count(*) AS n FROM u a JOIN u b ON a.job_id = b.job_id AND b.row_no = a.row_no + 1 GROUP BY 1, 2""")
 def job_row_switches(spark, sf):
     """Changes of the declared language between consecutive rows of an upload, by an equi-join on the next row's place."""
     u = table(spark, sf, "uploads").select("job_id", "row_no", F.lower(F.trim("lang")).alias("lang")).where("lang <> ''").groupBy("job_id", "row_no").agg(F.max("lang").alias("lang"))
@@ -399,7 +399,7 @@ def lexicon_layers(spark, sf):
     return lexicons.layered(table(spark, sf, "lexicon"))
 
 
-@query()
+@query("""WITH j AS (SELECT rec_id, job_id, saved_at, coalesce(body->>'$.status.state', body->>'$.status') AS status FROM job_records WHERE json_valid(body)) SELECT job_id, arg_max(status, {'a': saved_at, 'b': rec_id}) AS status, count(*) AS n_records FROM j GROUP BY job_id""")
 def job_status(spark, sf):
     return corpora.latest_status(table(spark, sf, "job_records"))
 
@@ -437,6 +437,24 @@ def composite_score(spark, sf):
     return h.join(crd).join(st).select(r6((clip(F.col("h")) + 1 - clip(F.col("euclidean") / 2) + clip((F.col("mean_cosine") + 1) / 2)) / 3, "score"))
 
 
+@query(f"""WITH {Q.hier()}, k AS (SELECT doc_id, lang4, lag(lang4) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM hier WHERE content),
+ a AS (SELECT (SELECT count(*) FROM hier) AS total_tokens, count(*) AS content_tokens, count(*) AS tagged_tokens, count(*) FILTER (lang4 <> last) AS boundaries FROM k)
+ SELECT *, round(tagged_tokens / greatest(content_tokens, 1), 4) AS coverage, round(boundaries / greatest(content_tokens - 1, 1), 4) AS density FROM a""")
+def tagging_stats(spark, sf):
+    return S.tagging_stats(docs(spark, sf), "text")
+
+
+@query(f"""WITH {Q.hier()}, k AS (SELECT lang4, lag(lang4) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM hier WHERE content AND lang4 <> 'UNK'),
+ a AS (SELECT (SELECT count(*) FROM hier) AS total_tokens, (SELECT count(*) FROM hier WHERE content) AS content_tokens, count(*) FILTER (lang4 <> last) AS switches FROM k) SELECT *, round(switches / greatest(content_tokens - 1, 1), 4) AS density FROM a""")
+def switch_stats(spark, sf):
+    return S.switch_stats(docs(spark, sf), "text")
+
+
+@query()
+def centroid_bootstrap(spark, sf):
+    return M.centroid_bootstrap(vectors(spark, sf), "embedding", "label", 0, 1)
+
+
 @query()
 def bootstrap_h_f(spark, sf):
     return M.bootstrap_mean(M.fertility(docs(spark, sf), "doc_id", "text"), "h_f")

@@ -235,3 +235,31 @@ def test_nested_round_trip(spark):
     assert build(bodies[rec[1].config_hash]) == body["config"]["pipeline_config"] and rec[1].config_hash == rec[7].config_hash
     assert set(rec) == {1, 6, 7}
     assert nested.occurrences(df.limit(0)).count() == 0
+
+
+def test_small_statistics(spark):
+    df = texts(spark, "yaar movie bahut good", "yaar ! ! !", None, "")
+    t = S.tagging_stats(df.where("doc_id = 0"), "text", LEX).first()
+    assert (t.content_tokens, t.boundaries, t.coverage, t.density) == (4, 3, 1.0, 1.0)
+    assert S.tagging_stats(df.where("doc_id = 1"), "text", LEX).first().coverage == 1.0
+    assert S.tagging_stats(df.limit(0), "text", LEX).first().total_tokens == 0
+    assert S.switch_stats(df, "text", LEX).first().switches == 3
+
+
+def test_pooling_and_markers(spark):
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 4.0], [9.0, 9.0]], [1, 1, 0], ["[SWITCH_EN_HI]", "a"]), ([[1.0, 1.0]], [0], ["a"])], "v array<array<double>>, m array<int>, t array<string>")
+    got = df.select(C.mean_pool(F.col("v"), F.col("m"), 2), C.has_switch_marker(F.col("t"))).collect()
+    assert [list(r) for r in got] == [[[2.0, 3.0], True], [[0.0, 0.0], False]]
+
+
+def test_summary_with_an_encoder(spark):
+    df = spark.createDataFrame([(i, "aa" if i % 2 else "bbbb", float(i % 2), None) for i in range(10)] + [(10, None, None, "positive")], "doc_id long, text string, label double, sentiment string")
+    r = C.summarize(df, "doc_id", "text", lambda ts: [[float("a" in t), float("b" in t)] for t in ts])
+    assert r["accuracy"] == 1.0 and r["n"] == 10 and r["macro_f1"] == 1.0
+
+
+def test_centroid_bootstrap(spark):
+    x = np.random.default_rng(1).normal(size=(60, 3)) + np.repeat([[0, 0, 0], [2, 0, 0]], 30, axis=0)
+    df = spark.createDataFrame([([float(v) for v in r], i // 30) for i, r in enumerate(x)], "v array<double>, y int")
+    b = M.centroid_bootstrap(df, "v", "y", 0, 1, rounds=200).first()
+    assert b.low < np.linalg.norm(x[:30].mean(0) - x[30:].mean(0)) < b.high

@@ -65,3 +65,16 @@ def test_streams(spark, tmp_path):
     q = ST.language_rates(stream()).writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {(r.lang, r.n) for r in spark.table("rates").collect()} == {("HI", 4), ("EN", 2)}
+
+
+def test_tracking(spark, tmp_path):
+    from sangam.sources.tracking import Tracker
+
+    t = Tracker(spark, str(tmp_path / "runs"))
+    t.start("r1", "profile", job_id="j")
+    t.params("r1", modules="P2")
+    t.metrics("r1", {"a": {"b": 1.5}, "ok": True})
+    t.artifact("r1", "config", {"x": 1})
+    t.end("r1", "failed")
+    assert [tuple(r) for r in t.runs().collect()] == [("r1", "failed", "profile")]
+    assert {(r.kind, r.key) for r in t.facts().collect()} == {("param", "modules"), ("metric", "a.b"), ("artifact", "config")}
