@@ -5,6 +5,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,7 +53,30 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+_shipped: set = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the package to the Python workers, once per application: they need not find it on their own path."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = os.path.dirname(os.path.abspath(__file__))
+    shared = shared_dir(spark)
+    folder = shared.split(":", 1)[1].replace("//", "", 1) if shared.startswith("file:") else tempfile.mkdtemp(prefix="sangam-")
+    os.makedirs(folder, exist_ok=True)
+    path = os.path.join(folder, f"sangam-{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in names:
+                if n.endswith(".py"):
+                    z.write(os.path.join(at, n), os.path.relpath(os.path.join(at, n), os.path.dirname(root)))
+    sc.addPyFile(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
