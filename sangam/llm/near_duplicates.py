@@ -44,11 +44,16 @@ BROADCAST_IDS = 1_000_000
 
 
 def base_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row_id, c1, c2, o1, o2, s1, w): hashes of the word set, of the words in order, of a list's sorted fields; the set."""
+    """(row_id, c1, c2, o1, s1, w), written: hashes of the word set, of the words in order, of a list's sorted fields; the set.
+
+    Short texts are dropped after writing: a filter on the words before it would make them a second time.
+    """
     t = F.col(text_col)
-    words = df.select(F.col(id_col).cast("long").alias("row_id"), words_col(t).alias("words"), F.when(is_list(t), F.xxhash64(list_key(t))).alias("s1")).where((F.size("words") >= LEAST) & F.col("row_id").isNotNull())
-    rows = words.select("row_id", "s1", F.xxhash64("words").alias("o1"), F.array_sort(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("w")).where(F.size("w") >= LEAST)
-    return rows.select("row_id", F.xxhash64("w").alias("c1"), F.xxhash64(F.lit("2"), F.col("w")).alias("c2"), "o1", "s1", "w")
+    words = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), words_col(t).alias("words"), F.when(is_list(t), F.xxhash64(list_key(t))).alias("s1"))
+    rows = words.select("row_id", "s1", F.xxhash64("words").alias("o1"), F.array_sort(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("set"))
+    rows = rows.select("row_id", "s1", "o1", F.when(F.size("set") >= LEAST, F.col("set")).alias("w"))
+    rows = rows.select("row_id", F.xxhash64("w").alias("c1"), F.xxhash64(F.lit("2"), F.col("w")).alias("c2"), "o1", "s1", "w")
+    return written(rows, "p3-base").where("w is not null")
 
 
 def _bin(h: np.ndarray) -> np.ndarray:
@@ -328,7 +333,7 @@ def similar_sets(base: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame
 
 def similar_rows(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """(row_id_a, row_id_b): pairs over the threshold that are neither copies up to formatting nor look the same."""
-    base = written(base_rows(df, id_col, text_col), "p3-base")
+    base = base_rows(df, id_col, text_col)
     partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     pairs, rows = similar_sets(base, partitions)
     pairs = written(pairs, "p3-pairs")
@@ -359,7 +364,7 @@ def similar_rows(df: DataFrame, id_col: str = "row_id", text_col: str = "text")
 
 def links(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """(row_id, class_id, n_links): one row per row of the table with enough words; its set, and the other sets similar to it."""
-    base = written(base_rows(df, id_col, text_col), "p3-base")
+    base = base_rows(df, id_col, text_col)
     pairs, _ = similar_sets(base, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     pairs = written(pairs, "p3-pairs")
     n = pairs.select(F.col("ca").alias("c1"), F.col("ca2").alias("c2")).unionByName(pairs.select(F.col("cb").alias("c1"), F.col("cb2").alias("c2"))).groupBy("c1", "c2").agg(F.count("*").alias("n_links"))
