@@ -94,7 +94,8 @@ def augment(
 
         return pd.Series(variants(ids, toks, labels))
 
-    d = d.withColumn("__v", draw(F.col(id_col).cast("string"), "__t", "__l"))
+    # marked so that no filter inferred from the explosion draws a second time
+    d = d.withColumn("__v", draw.asNondeterministic()(F.col(id_col).cast("string"), "__t", "__l"))
     made = d.withColumn("__x", F.explode("__v")).withColumn(output_col, T.reconstruct(F.col("__x"))).withColumn("is_augmented", F.lit(True)).drop("__t", "__l", "__v", "__x")
     if not preserve_original:
         return made

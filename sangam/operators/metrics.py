@@ -70,27 +70,32 @@ def histogram(df: DataFrame, x: str, lo: float, hi: float, bins: int) -> DataFra
 
 def switch_flags(text: Column, lex: Lexicons = DEFAULT) -> Column:
     """array<boolean> (M-17): a token whose label differs from its direct neighbour's before it, both known."""
-    langs = F.transform(T.split_words(text, lower=False), lambda t: T.language3(t, lex))
+    return label_changes(F.transform(T.split_words(text, lower=False), lambda t: T.language3(t, lex)))
+
+
+def label_changes(langs: str | Column) -> Column:
+    """Flags of an array of labels; give a column of the table, as its value is used several times."""
+    langs = F.col(langs) if isinstance(langs, str) else langs
     before = F.concat(F.array(F.lit("UNK")), F.slice(langs, 1, F.greatest(F.size(langs) - 1, F.lit(0))))
     return F.when(F.size(langs) > 0, F.zip_with(langs, before, lambda a, b: (a != b) & (a != "UNK") & (b != "UNK"))).otherwise(F.array().cast("array<boolean>"))
 
 
 def switch_points(df: DataFrame, id_col: str, text_col: str, lex: Lexicons = DEFAULT) -> DataFrame:
     """(id, n_tokens, n_switches)."""
-    f = df.where(F.col(text_col).isNotNull()).select(id_col, switch_flags(F.col(text_col), lex).alias("f"))
+    l = df.where(F.col(text_col).isNotNull()).select(id_col, F.transform(T.split_words(F.col(text_col), lower=False), lambda t: T.language3(t, lex)).alias("l"))
+    f = l.select(id_col, label_changes("l").alias("f"))
     return f.select(id_col, F.size("f").alias("n_tokens"), F.size(F.filter("f", lambda x: x)).alias("n_switches"))
 
 
 def retention(df: DataFrame, orig_col: str, proc_col: str, lex: Lexicons = DEFAULT, tolerance: float = 0.15) -> DataFrame:
-    """M-20 per row: (n_orig, n_matched, ratio) of rows whose original has switches; first-fit one-to-one matching."""
-
-    def places(c):
-        f = switch_flags(F.col(c), lex)
-        return F.filter(F.transform(f, lambda x, i: F.when(x, i / F.size(f))), lambda x: x.isNotNull())
+    """M-20 per row: (n_orig, n_matched, ratio); first-fit one-to-one matching. Rows whose original has no switch have a null
+    ratio and are no part of the metric; they are not filtered out here, as such a filter would be pushed down and compute
+    all it rests on a second time."""
 
-    rows = df.select(F.coalesce(orig_col, F.lit("")).alias("o"), F.coalesce(proc_col, F.lit("")).alias("p")).select(switch_flags(F.col("o"), lex).alias("fo"), switch_flags(F.col("p"), lex).alias("fp"))
+    langs = lambda c: F.transform(T.split_words(F.coalesce(c, F.lit("")), lower=False), lambda t: T.language3(t, lex))
+    rows = df.select(langs(orig_col).alias("lo"), langs(proc_col).alias("lp")).select(label_changes("lo").alias("fo"), label_changes("lp").alias("fp"))
     at = lambda f: F.filter(F.transform(F.col(f), lambda x, i: F.when(x, i / F.size(F.col(f)))), lambda x: x.isNotNull())
-    rows = rows.select(at("fo").alias("a"), at("fp").alias("b")).where(F.size("a") > 0)
+    rows = rows.select(at("fo").alias("a"), at("fp").alias("b"))
     start = F.struct(F.col("b").alias("free"), F.lit(0).alias("hit"))
 
     def step(s, x):
@@ -101,12 +106,12 @@ def retention(df: DataFrame, orig_col: str, proc_col: str, lex: Lexicons = DEFAU
         return F.when(first > 0, F.struct(rest.alias("free"), (s["hit"] + 1).alias("hit"))).otherwise(F.struct(free.alias("free"), s["hit"].alias("hit")))
 
     hit = F.aggregate("a", start, step, lambda s: s["hit"])
-    return rows.select(F.size("a").alias("n_orig"), hit.alias("n_matched")).withColumn("ratio", F.col("n_matched") / F.col("n_orig"))
+    return rows.select(F.size("a").alias("n_orig"), hit.alias("n_matched")).withColumn("ratio", F.when(F.col("n_orig") > 0, F.col("n_matched") / F.col("n_orig")))
 
 
 def retention_corpus(df: DataFrame, orig_col: str, proc_col: str, lex: Lexicons = DEFAULT) -> DataFrame:
     r = retention(df, orig_col, proc_col, lex)
-    return r.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("n_orig"), F.lit(0)).alias("n_orig"), F.coalesce(F.sum("n_matched"), F.lit(0)).alias("n_matched"), F.avg("ratio").alias("mean_ratio"), (F.sum("n_matched") / F.sum("n_orig")).alias("spri"))
+    return r.agg(F.count("ratio").alias("n_rows"), F.coalesce(F.sum("n_orig"), F.lit(0)).alias("n_orig"), F.coalesce(F.sum("n_matched"), F.lit(0)).alias("n_matched"), F.avg("ratio").alias("mean_ratio"), F.try_divide(F.sum("n_matched"), F.sum("n_orig")).alias("spri"))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:

@@ -109,6 +109,15 @@ def positions(df: DataFrame, id_col: str, text_col: str, lex: Lexicons = DEFAULT
     return rows.select("id", "pos", "x.tok", "x.lang", "x.lang4", near.alias("near"), "x.run", "switches", "content")
 
 
+def document_switches(df: DataFrame, id_col: str, text_col: str, lex: Lexicons = DEFAULT) -> DataFrame:
+    """(id, switches, content) of every text with a token: the totals of positions(), without its rows."""
+    skip = lambda t: T.is_punctuation(t) | t.rlike(P.DIGITS) | t.rlike("^(?:" + P.PROTECTED + ")$") | t.rlike(P.PROPER)
+    d = df.select(F.col(id_col).alias("id"), T.tokenize(F.col(text_col)).alias("t")).where(F.size("t") > 0)
+    d = d.select("id", F.transform(F.filter("t", lambda t: ~skip(t)), lambda t: T.language4(t, lex)).alias("l"))
+    pairs = F.zip_with(F.slice("l", 2, F.greatest(F.size("l"), F.lit(1))), F.slice("l", 1, F.greatest(F.size("l") - 1, F.lit(0))), lambda a, b: a != b)
+    return d.select("id", F.size(F.filter(pairs, lambda x: x)).alias("switches"), F.size("l").alias("content"))
+
+
 def density(switches: Column, content: Column) -> Column:
     """G-4: changes between content tokens by content tokens less one; 0 below two."""
     return F.when(content >= 2, switches / (content - 1)).otherwise(0.0)

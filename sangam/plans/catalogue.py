@@ -15,7 +15,7 @@ from sangam.plans import pipeline as PL
 from sangam.plans import problems
 from sangam.plans import sqltext as Q
 from sangam.plans.profile import profile  # noqa: F401  (part of the surface)
-from sangam.session import spread, table
+from sangam.session import shuffle_width, spread, table
 from sangam.sources import cache, corpora, lexicons
 
 CATALOGUE: dict = {}
@@ -35,8 +35,10 @@ def docs(spark, sf):
 
 def paired(spark, sf):
     """Uploads beside the output of the modules for them: text is the original, processed_text the result."""
-    out = table(spark, sf, "pipeline_output").select("out_id", "row_id", "processed_text")
-    return out.join(table(spark, sf, "uploads").select("row_id", "text"), "row_id")
+    # the join's own shuffle, in as many partitions as there are cores, since what follows it is work per row
+    n = max(shuffle_width(spark), spark.sparkContext.defaultParallelism)
+    out = table(spark, sf, "pipeline_output").select("out_id", "row_id", "processed_text").repartition(n, "row_id")
+    return out.join(table(spark, sf, "uploads").select("row_id", "text").repartition(n, "row_id"), "row_id")
 
 
 def r6(c, name=None):
@@ -93,7 +95,7 @@ def switch_points_by_doc(spark, sf):
 
 @query(f"WITH {Q.POSITIONS} SELECT doc_id, any_value(switches) AS switches, any_value(content) AS content, round(any_value(CASE WHEN content >= 2 THEN switches / (content - 1) ELSE 0 END), 6) AS density FROM pos_all GROUP BY doc_id")
 def switch_density(spark, sf):
-    p = S.positions(docs(spark, sf), "doc_id", "text").where("pos = 0")
+    p = S.document_switches(docs(spark, sf), "doc_id", "text")
     return p.select(F.col("id").alias("doc_id"), "switches", "content", r6(S.density(F.col("switches"), F.col("content")), "density"))
 
 
