@@ -1,7 +1,9 @@
 """Problem 4: abusive, hateful or sexual passages, by maximum-scoring segment search.
 
 Tokens are words freed of disguise: look-alike letters, digits and signs for letters, separated or repeated letters,
-masked letters. Each word and each pair of neighbouring words has a log-odds (toxic against neutral) with an informative
+masked letters. @ $ and a leading ! that touch a word are its letters. Two readings are open until the words are learnt:
+@name is a mention unless it reads as a toxic word in a-, and the last ! of a disguised word is a mark unless the word
+reads as a toxic one in -i. Each word and each pair of neighbouring words has a log-odds (toxic against neutral) with an informative
 Dirichlet prior, learnt from human verdicts; further rounds learn only from the passages that the round before found, so
 that the neutral rest of a toxic text, and mistaken verdicts, count for what they are, and hold them against the counts
 of the whole corpus. A linear scan (Ruzzo and Tompa)
@@ -42,7 +44,10 @@ SIGNIFICANT = 3.5
 _twins = str.maketrans(TWINS)
 # Signs written for letters.
 _LEET = str.maketrans("013457@$", "oieastas")
-_drop = re.compile(r"(?:https?://|www\.)\S+|(?<!\w)[#@][\w‌‍]+:?")
+_drop = re.compile(r"(?:https?://|www\.)\S+|(?<!\w)#[\w‌‍]+:?")
+# A name has no other sign inside and no $ behind it; such are words.
+_mention = re.compile(r"(?<!\w)@[\w‌‍]+(?![\w‌‍]|\$|[*#@!]+\w):?")
+_name = re.compile(r"@\w+")
 _mark = "ऀ-ःऺ-ॏॢॣঁ-ঃ়-্ஂா-்"
 _spaced = re.compile(rf"(?<!\S)[^\W\d_][{_mark}]?(?:\s+(?:[^\W\d_]|[{_mark}])+(?!\S)(?<=\s..)|\s+(?:[^\W\d_]|[{_mark}])(?!\S)){{2,}}")
 _apart = re.compile(r"(?<![^\W_])[^\W\d_][.\-_*~|][^\W\d_]")
@@ -60,10 +65,12 @@ def _joined(word: str) -> str:
 
 
 def tokens(text: str) -> list[str]:
-    """Words in order, freed of disguise; masked letters are left as *."""
+    """Words in order, freed of disguise; masked letters are left as *, open readings as @... and ...! (see unmasked)."""
     if not text.isascii():
         text = fold(text).translate(_twins)
     text = _drop.sub(" ", text.lower())
+    if "@" in text:
+        text = _mention.sub(lambda m: f" {m.group().rstrip(':')} " if m.group().isascii() else " ", text)
     if _apart.search(text):
         text = " ".join(map(_joined, text.split()))
     text = _spaced.sub(lambda m: "".join(m.group().split()), text)
@@ -72,15 +79,36 @@ def tokens(text: str) -> list[str]:
         return found
     out = []
     for w in found:
-        if _sign.search(w):
-            w = w.rstrip("!*#@$_").lstrip("!#@$_").replace("#", "*").replace("!", "i")
-            if not w or w.isdigit() or w.strip("*_0123456789") == "":
+        if not w.isalpha() and _sign.search(w):
+            bare = w.strip("!*#@$_")
+            if not bare or bare.isdigit() or bare.strip("*_0123456789") == "":
                 continue
-            w = _runs.sub(r"\1", w.translate(_LEET))
+            if _name.fullmatch(w):
+                w = _runs.sub(r"\1", w.translate(_LEET))
+                if len(w) > 2:
+                    out.append("@" + w[1:])
+                continue
+            own = w.lstrip("#_").rstrip("!*#_")
+            end = w.rstrip("*#_").endswith("!") and _sign.search(own)
+            w = _runs.sub(r"\1", own.replace("#", "*").replace("!", "i").translate(_LEET))
+            if end and w[-1] != "i":
+                w += "!"
         out.append(w)
     return out
 
 
+def unmasked(toks: list[str], masks: dict[str, str]) -> list[str]:
+    """Tokens with the masked spellings that are known, without mentions, and without the marks behind other words."""
+    out = []
+    for t in toks:
+        if "*" in t or t[:1] == "@" or t[-1:] == "!":
+            t = masks.get(t) or ("" if t[:1] == "@" else masks.get(t[:-1] + "i") or masks.get(t[:-1], t[:-1]) if t[-1:] == "!" else t)
+            if not t:
+                continue
+        out.append(t)
+    return out
+
+
 def elements(toks: list[str]) -> list[tuple[str, str]]:
     """Each word with the pair that it ends (none for the first word)."""
     return [(b, a + " " + b if a else "") for a, b in zip(["", *toks], toks)]
@@ -93,7 +121,7 @@ class Model:
         self.scores, self.masks, self.lam, self.k, self.cut = scores or {}, masks or {}, lam, k, cut
 
     def clean(self, toks: list[str]) -> list[str]:
-        return [self.masks.get(t, t) if "*" in t else t for t in toks]
+        return unmasked(toks, self.masks)
 
     def line(self, toks: list[str]) -> list[float]:
         get = self.scores.get
@@ -184,13 +212,17 @@ def _learn(texts: list[list[str]], toxic_spans: list[list[tuple[int, int]]], cor
 
 
 def _masks(texts, scores) -> dict[str, str]:
-    """Masked spellings of words that score as toxic."""
+    """Masked spellings of words that score as toxic, and those with an open reading."""
     out = {}
     for w, s in sorted(scores.items(), key=lambda x: x[1]):
         if s > 0.8 and " " not in w and "*" not in w and len(w) > 2:
             for i in range(len(w)):
                 out[w[:i] + "*" + w[i + 1 :]] = w
                 out.setdefault(w[:i] + "*" + w[i:], w)
+            if w[0] == "a":
+                out["@" + w[1:]] = w
+            if w[-1] == "i":
+                out[w[:-1] + "!"] = w
     return out
 
 
@@ -214,7 +246,7 @@ def fit_scores(texts: list[list[str]], bad: list[bool], rounds: int = 2, corpus=
     """Scores, masks and the extreme-value law from texts with verdicts; start: a model whose passages to begin with."""
     m = start or Model()
     own = [m.clean(t) for t in texts]
-    spans = [[(0, len(t))] if b else [] for t, b in zip(texts, bad)] if not start else _spans(m, own, bad, True)
+    spans = [[(0, len(t))] if b else [] for t, b in zip(own, bad)] if not start else _spans(m, own, bad, True)
     for r in range(rounds):
         m.scores = _learn(own, spans, corpus)
         m.masks = _masks(own, m.scores)
@@ -272,16 +304,16 @@ def corpus_counts(rows: DataFrame, vocabulary: set[str], masks: dict[str, str]):
 
     def run(batches):
         total = np.zeros(len(names) + 1, np.int64)
-        get, mask = index.get, masks.get
+        get = index.get
         for b in batches:
             at = []
             for t in b.column(0).to_pylist():
                 if t:
                     before = ""
                     toks = t.split(" ")
+                    if "*" in t or "@" in t or "!" in t:
+                        toks = unmasked(toks, masks)
                     total[-1] += len(toks)
-                    if "*" in t:
-                        toks = [mask(x, x) if "*" in x else x for x in toks]
                     for x in toks:
                         if (i := get(x)) is not None:
                             at.append(i)

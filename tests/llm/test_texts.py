@@ -138,6 +138,18 @@ def test_disguise(text, want):
     assert TX.tokens(text) == want
 
 
+@pytest.mark.parametrize("text, want", [("$3x", ["sex"]), ("$3xy now", ["sexy", "now"]), ("$3w3r,", ["sewer"]), ("@$$h0l3", ["ashole"]), ("l33ch3$.", ["leches"]), ("k@chr@ hain", ["kachra", "hain"]), ("70pl3$$**", ["toples"]), ("!d10t", ["idiot"]), ("idiot! $50 50$ $$ @ !!", ["idiot"])])
+def test_disguise_at_the_edges(text, want):
+    assert TX.tokens(text) == want
+
+
+def test_open_readings():
+    m = TX.Model({}, TX._masks([], {"ashlel": 2.0, "harami": 2.0, "ghar": -2.0}))
+    assert m.clean(TX.tokens("@shl33l @raj99: @limusa! log")) == ["ashlel", "log"]
+    assert m.clean(TX.tokens("h@r@m! h@r@m!! gh@r! idiot!")) == ["harami", "harami", "ghar", "idiot"]
+    assert m.clean(TX.tokens("@sh*el @@raj **h@r@m!**")) == ["ashlel", "harami"]
+
+
 def brute_segments(line):
     """Maximal segments by their definition: the best segment, then the same left and right of it."""
     if not line or max(line) <= 0:
