@@ -228,7 +228,7 @@ def _masks(texts, scores) -> dict[str, str]:
 
 def _calibrate(m: Model, neutral: list[list[str]]) -> None:
     """lam from the scores of neutral tokens (the root of E exp(lam s) = 1), k from the passages of neutral texts."""
-    s = np.array([x for toks in neutral[:4000] for x in m.line(toks)]) if neutral else np.zeros(0)
+    s = np.array([x for toks in neutral for x in m.line(toks)]) if neutral else np.zeros(0)
     if not len(s) or s.max() <= 0 or s.mean() >= 0:
         return
     lo, hi = 1e-6, 20.0
@@ -236,7 +236,7 @@ def _calibrate(m: Model, neutral: list[list[str]]) -> None:
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if np.mean(np.exp(np.minimum(mid * s, 500))) < 1 else (lo, mid)
     m.lam = lo
-    best = [(max((x[2] for x in m.passages(t)), default=0.0), len(t)) for t in neutral[:4000] if t]
+    best = [(max((x[2] for x in m.passages(t)), default=0.0), len(t)) for t in neutral if t]
     # P(best <= x) = exp(-k n exp(-lam x)): each text gives -1 / (n exp(-lam x)) to the likelihood
     rate = np.mean([n * math.exp(-m.lam * x) for x, n in best])
     m.k = float(min(10.0, max(1e-4, 1.0 / max(rate, 1e-9))))

@@ -150,6 +150,18 @@ def test_open_readings():
     assert m.clean(TX.tokens("@sh*el @@raj **h@r@m!**")) == ["ashlel", "harami"]
 
 
+def test_calibration_uses_all_neutral_texts():
+    r = random.Random(0)
+    scores = {"calm": -1.0, "rude": 1.0}
+    neutral = [[r.choices(["calm", "rude"], [9, 1 + i // 3000])[0] for _ in range(12)] for i in range(6000)]
+    laws = []
+    for texts in (neutral, neutral[::-1]):
+        m = TX.Model(scores)
+        TX._calibrate(m, texts)
+        laws.append((m.lam, m.k))
+    assert np.allclose(*laws, rtol=1e-6)
+
+
 def brute_segments(line):
     """Maximal segments by their definition: the best segment, then the same left and right of it."""
     if not line or max(line) <= 0:
