@@ -454,7 +454,8 @@ def switch_stats(spark, sf):
 
 @query()
 def centroid_bootstrap(spark, sf):
-    return M.centroid_bootstrap(vectors(spark, sf), "embedding", "label", 0, 1)
+    """All vectors, on two sides as in composite_score."""
+    return M.centroid_bootstrap(vectors(spark, sf).withColumn("k", F.col("label") % 2), "embedding", "k", 0, 1)
 
 
 @query()

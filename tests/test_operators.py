@@ -263,3 +263,15 @@ def test_centroid_bootstrap(spark):
     df = spark.createDataFrame([([float(v) for v in r], i // 30) for i, r in enumerate(x)], "v array<double>, y int")
     b = M.centroid_bootstrap(df, "v", "y", 0, 1, rounds=200).first()
     assert b.low < np.linalg.norm(x[:30].mean(0) - x[30:].mean(0)) < b.high
+
+
+def test_centroid_bootstrap_covers_the_table(spark):
+    from sangam.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    v = catalogue.vectors(spark, sf).withColumn("k", F.col("label") % 2)
+    crd = M.centroid_distance(v, "embedding", "k").first().euclidean
+    b = catalogue.queries()["centroid_bootstrap"](spark, sf).first()
+    assert b.low < b.mean < b.high
+    want = M.centroid_bootstrap(v, "embedding", "k", 0, 1).first()
+    assert abs(b.mean - want.mean) < 1e-6 and b.low < crd * 1.5 and b.high > crd
