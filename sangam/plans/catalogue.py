@@ -15,7 +15,7 @@ from sangam.plans import pipeline as PL
 from sangam.plans import problems
 from sangam.plans import sqltext as Q
 from sangam.plans.profile import profile  # noqa: F401  (part of the surface)
-from sangam.session import shuffle_width, spread, table
+from sangam.session import shuffle_width, spread, table, written
 from sangam.sources import cache, corpora, lexicons
 
 CATALOGUE: dict = {}
@@ -421,15 +421,60 @@ def _sides(spark, sf):
 
 @query(f"WITH {PAIR} SELECT round(eb, 6) AS entropy_before, round(ea, 6) AS entropy_after, round((ea - eb) / abs(eb) * 100, 6) AS entropy_change, vb AS vocab_before, va AS vocab_after, round((va - vb) / abs(vb) * 100, 6) AS vocab_change FROM m")
 def compare_profiles(spark, sf):
+    """The two metrics that have SQL. All sections with the composite: compare_sections."""
     pct = lambda a, b: r6((F.col(b) - F.col(a)) / F.abs(F.col(a)) * 100, "x")
     return _sides(spark, sf).select(r6("eb", "entropy_before"), r6("ea", "entropy_after"), pct("eb", "ea").alias("entropy_change"), F.col("vb").alias("vocab_before"), F.col("va").alias("vocab_after"), pct("vb", "va").alias("vocab_change"))
 
 
+def _measured(pairs, v, out_col, vec_col):
+    """All sections of a profile of (text, out_col) and of vectors (embedding, vec_col), with its composite."""
+    one = lambda df: (r.asDict() if (r := df.first()) else {})
+    mi = lambda c: one(M.term_label_mi(pairs, c, "y").agg(F.avg("mi").alias("m")))["m"]
+    before, after = mi("text"), mi(out_col)
+    x = {"entropy": one(M.token_entropy(pairs, out_col))["entropy"], "vocab_size": one(M.vocabulary_size(pairs, out_col))["vocab_size"], "mi": after}
+    x |= {f"fertility_{k}": n for k, n in one(M.fertility(pairs, "out_id", out_col).agg(*M.distribution("h_f"))).items()}
+    x |= one(M.retention_corpus(pairs, "text", out_col).select("mean_ratio", "spri"))
+    spectral = one(M.spectrum(v, vec_col))
+    x |= {k: spectral.get(k) for k in ("spectral_entropy", "condition_number", "decay")}
+    x |= {f"crd_{k}": n for k, n in one(M.centroid_distance(v, vec_col, "k").select("euclidean", "cosine")).items()}
+    x |= {k: n for k, n in one(M.stability(v, "embedding", vec_col)).items() if k != "n"}
+    terms = {"delta_mi": before - after if None not in (before, after) else None, "fertility_entropy": x["fertility_mean"], "crd": x.get("crd_euclidean"), "stability": x["mean_cosine"], "spectral_entropy": x["spectral_entropy"], "spri": x["spri"]}
+    mpp = M.composite(terms, None, spectral.get("embedding_dim"))
+    return {k: None if n is None else float(n) for k, n in (x | {"mpp": mpp["score"]}).items()}, mpp
+
+
+def _profiled(spark, sf):
+    """Uploads beside their results with the label, written since every section reads them; vectors beside the next one."""
+    u = table(spark, sf, "uploads").select("row_id", C.label_or_sentiment(F.col("label"), F.col("sentiment")).alias("y"))
+    v = vectors(spark, sf).withColumn("k", F.col("label") % 2)
+    nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
+    return written(paired(spark, sf).join(u, "row_id"), "m22-pairs"), v.join(nxt, "vec_id")
+
+
+@query()
+def composite_six_terms(spark, sf):
+    """M-22 whole: the composite of all six terms, each as scaled."""
+    pairs, v = _profiled(spark, sf)
+    _, mpp = _measured(pairs, v, "processed_text", "after")
+    return spark.createDataFrame([(mpp["score"], *mpp["terms"].values())], "score double, " + ", ".join(f"{k} double" for k in mpp["terms"]))
+
+
+@query()
+def compare_sections(spark, sf):
+    """M-23 whole: each metric of all sections and the composite, of texts and vectors left as they are (baseline) and as
+    processed (candidate), with the change in percent; better is for the composite only."""
+    pairs, v = _profiled(spark, sf)
+    (old, _), (new, _) = _measured(pairs, v, "text", "embedding"), _measured(pairs, v, "processed_text", "after")
+    change = M.compare(old, new)
+    better = lambda k: new[k] > old[k] if k == "mpp" and None not in (old[k], new[k]) else None
+    return spark.createDataFrame([(k, old[k], new.get(k), change[k], better(k)) for k in old], "metric string, baseline double, candidate double, change double, better boolean")
+
+
 @query(f"""WITH {Q.FERTILITY}, {VEC}, c AS (SELECT (label % 2)::INT AS k, d, avg(x) AS v FROM vecs GROUP BY 1, 2), crd AS (SELECT sqrt(sum((a.v - b.v) * (a.v - b.v))) AS crd FROM c a JOIN c b ON a.d = b.d AND a.k = 0 AND b.k = 1),
  s AS (SELECT greatest(-1, least(1, sum(a.x * b.x) / (sqrt(sum(a.x * a.x)) * sqrt(sum(b.x * b.x)) + 1e-12))) AS c FROM vecs a JOIN vecs b ON b.vec_id = a.vec_id + 1 AND a.d = b.d GROUP BY a.vec_id),
  m AS (SELECT (SELECT avg(h_f) FROM hf) AS h, (SELECT crd FROM crd) AS crd, (SELECT avg(c) FROM s) AS st) SELECT round((greatest(0, least(1, h)) + 1 - greatest(0, least(1, crd / 2)) + greatest(0, least(1, (st + 1) / 2))) / 3, 6) AS score FROM m""")
 def composite_score(spark, sf):
-    """The composite of the three terms at hand without a model: balance, centroid distance, stability."""
+    """The three terms that have SQL: balance, centroid distance, stability. All six: composite_six_terms."""
     h = M.fertility(docs(spark, sf), "doc_id", "text").agg(F.avg("h_f").alias("h"))
     v = vectors(spark, sf).withColumn("k", F.col("label") % 2)
     crd = M.centroid_distance(v, "embedding", "k").select("euclidean")

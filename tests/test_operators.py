@@ -275,3 +275,19 @@ def test_centroid_bootstrap_covers_the_table(spark):
     assert b.low < b.mean < b.high
     want = M.centroid_bootstrap(v, "embedding", "k", 0, 1).first()
     assert abs(b.mean - want.mean) < 1e-6 and b.low < crd * 1.5 and b.high > crd
+
+
+def test_whole_composite_and_comparison(spark):
+    from sangam.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    q = catalogue.queries()
+    x = q["composite_six_terms"](spark, sf).first().asDict()
+    score = x.pop("score")
+    assert set(x) == set(M.TERMS) and None not in x.values() and abs(score - np.mean(list(x.values()))) < 1e-9
+    c = {r.metric: r for r in q["compare_sections"](spark, sf).collect()}
+    assert {"entropy", "vocab_size", "mi", "fertility_mean", "spri", "spectral_entropy", "crd_euclidean", "mean_cosine", "mpp"} <= set(c)
+    assert c["spri"].baseline == 1.0 and abs(c["mean_cosine"].baseline - 1) < 1e-6 and abs(c["mpp"].candidate - score) < 1e-6
+    assert c["mpp"].better == (c["mpp"].candidate > c["mpp"].baseline)
+    two = q["compare_profiles"](spark, sf).first()
+    assert abs(c["entropy"].change - two.entropy_change) < 1e-4 and abs(c["vocab_size"].change - two.vocab_change) < 1e-4
