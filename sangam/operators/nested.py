@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sangam.session import written
+
 # The fields that hold arrays of objects, and the roots that are flattened.
 ARRAYS = ("rules", "examples", "layers", "entries", "schemes", "fallbacks", "stages", "steps", "checks", "history", "notes")
 ROOTS = ("pipeline_config", "status")
@@ -120,8 +122,21 @@ def occurrences(df: DataFrame, id_col: str = "rec_id", body_col: str = "body") -
 
 
 def elements(occ: DataFrame) -> DataFrame:
-    """(rec_id, path, parent_path) of the elements of arrays of objects."""
-    return occ.where("is_element").select("rec_id", "path", "parent_path")
+    """(rec_id, path, parent_path) of the elements of arrays of objects.
+
+    Each record's root hash is expanded through the links between different objects, one level of nesting a round, so
+    the rows are as many rounds away as the deepest object lies; the walk gives no row by itself."""
+    step = F.expr("substring(path, length(owner_path) + 1)").alias("step")
+    met = written(occ.select(F.when(F.col("owner_hash").isNull(), F.col("rec_id")).alias("rec_id"), "root", F.col("owner_hash").alias("parent_hash"), step, "is_element", F.col("hash").alias("child_hash")), "p2-met")
+    links = written(met.where("parent_hash is not null").select("parent_hash", "step", "is_element", "child_hash").distinct(), "p2-links")
+    level = met.where("parent_hash is null").select("rec_id", F.col("root").alias("path"), F.lit("$").alias("inside"), F.col("child_hash").alias("hash"))
+    found = level.select("rec_id", "path", F.col("inside").alias("parent_path")).limit(0)
+    while True:
+        path = F.concat("path", "step")
+        level = written(level.select("rec_id", "path", "inside", "hash").join(links, F.col("hash") == F.col("parent_hash")).select("rec_id", path.alias("path"), F.col("inside").alias("parent_path"), "is_element", F.when(F.col("is_element"), path).otherwise(F.col("inside")).alias("inside"), F.col("child_hash").alias("hash")), "p2-level")
+        if level.isEmpty():
+            return found
+        found = found.unionByName(level.where("is_element").select("rec_id", "path", "parent_path"))
 
 
 def objects(occ: DataFrame) -> DataFrame:

@@ -291,3 +291,15 @@ def test_whole_composite_and_comparison(spark):
     assert c["mpp"].better == (c["mpp"].candidate > c["mpp"].baseline)
     two = q["compare_profiles"](spark, sf).first()
     assert abs(c["entropy"].change - two.entropy_change) < 1e-4 and abs(c["vocab_size"].change - two.vocab_change) < 1e-4
+
+
+def test_elements_come_from_the_objects(spark, monkeypatch):
+    body = '{"pipeline_config": {"rules": [{"name": "a", "steps": [{"x": 1}, 5, {"x": 1}]}, {"name": "a", "steps": [{"x": 1}, 5, {"x": 1}]}], "grid": [[{"notes": {"y": 1}}], [{"notes": {"y": 1}}]]}, "status": {"history": [{"k": {"checks": [{}, {}]}}]}}'
+    df = spark.createDataFrame([(1, body), (2, body), (2, body), (3, "{"), (4, '{"status": {}}')], "rec_id long, body string")
+    occ = nested.occurrences(df)
+    walked = occ.where("is_element").select("rec_id", "path", "parent_path")
+    got = nested.elements(occ)
+    assert got.count() == 33 and not got.exceptAll(walked).count() and not walked.exceptAll(got).count()
+    # without hashes that tell objects apart the rows are others
+    monkeypatch.setattr(nested, "written", lambda df, name: df.withColumn("parent_hash", F.lit("none")) if name == "p2-links" else df)
+    assert nested.elements(nested.occurrences(df)).count() == 0
