@@ -20,7 +20,7 @@ from sangam.functions.words import words_key
 from sangam.session import shuffle_width, written
 
 #: One field of a list: a name without colon or semicolon, a colon, a value.
-FIELD_RE = r"^\s*[^:;\r\n]{1,60}:\s*\S[^;\r\n]*$"
+FIELD_RE = r"^[^:;\r\n]+:\s*\S[^;\r\n]*$"
 SCAN = "pid int, kind int, row_id long, first_id long, head boolean, runs long, dig_first binary, dig_last binary"
 
 

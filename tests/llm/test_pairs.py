@@ -143,3 +143,11 @@ def test_lookalike_pairs(spark):
     assert len(got) == len(set(got)) and set(got) == {(1, 2), (1, 3), (1, 5), (2, 5), (3, 5), (8, 9), (10, 11)}
     assert LA.identical_pairs(table(spark, rows).limit(0)).count() == 0
     assert LA.normalised(table(spark, rows)).count() == len(rows)
+
+
+@pytest.mark.parametrize("n", [60, 61, 5000])
+def test_names_of_fields_have_any_length(spark, n):
+    name = ("long name " * n)[:n].rstrip().ljust(n, "e")
+    rows = [(1, f"{name}: x; b: y"), (2, f"b: y; {name}: x"), (3, f"b: z; {name}: x")]
+    got = {r.row_id: r.first_row_id for r in FD.copies(spark.createDataFrame(rows, "row_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
