@@ -125,7 +125,7 @@ def pieces_from(model_file: str, nbest: int = 64, alpha: float = 0.1):
         if "m" not in hold:
             hold["m"] = sentencepiece.SentencePieceProcessor(model_file=model_file)
         m = hold["m"]
-        options = m.nbest_encode_as_pieces(word, min(nbest, 16)) or [m.encode_as_pieces(word)]
+        options = m.nbest_encode_as_pieces(word, nbest) or [m.encode_as_pieces(word)]
         weights = [(k + 1) ** -alpha for k in range(len(options))]
         return r.choices(options, weights)[0]
 

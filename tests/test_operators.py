@@ -303,3 +303,19 @@ def test_elements_come_from_the_objects(spark, monkeypatch):
     # without hashes that tell objects apart the rows are others
     monkeypatch.setattr(nested, "written", lambda df, name: df.withColumn("parent_hash", F.lit("none")) if name == "p2-links" else df)
     assert nested.elements(nested.occurrences(df)).count() == 0
+
+
+def test_pieces_from_asks_for_all_candidates(monkeypatch):
+    import sys
+    import types
+
+    class Processor:
+        def __init__(self, model_file):
+            pass
+
+        def nbest_encode_as_pieces(self, word, n):
+            return [[str(k)] for k in range(n)]
+
+    monkeypatch.setitem(sys.modules, "sentencepiece", types.SimpleNamespace(SentencePieceProcessor=Processor))
+    draw = A.pieces_from("m", 64, 0.0)
+    assert max(int(draw("word", random.Random(k))[0]) for k in range(300)) >= 48
