@@ -1,4 +1,4 @@
-"""Corpus metrics (M-1 to M-25) as aggregations. Each works from per-row arrays or one token count, so the largest shuffle
+"""Corpus metrics (M-1 to M-23; M-18 and its alias M-19 are in augment; without the histogram of M-8) as aggregations. Each works from per-row arrays or one token count, so the largest shuffle
 is that of distinct tokens; results that leave Spark are of fixed size."""
 
 import math
@@ -284,7 +284,7 @@ def bootstrap_mean(df: DataFrame, x: str, rounds: int = 1000, seed: int = 0) ->
                 n += w.sum(1)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds), pa.int32()), pa.array(s), pa.array(n)], names=["k", "s", "n"])
 
-    m = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double")).mapInArrow(sums, "k int, s double, n double").groupBy("k").agg((F.sum("s") / F.sum("n")).alias("m"))
+    m = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double")).mapInArrow(sums, "k int, s double, n double").groupBy("k").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
     point = df.agg(F.avg(x).alias("mean"), F.count(x).alias("n"))
     return m.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).join(point).select("mean", "low", "high", "n")
 
@@ -338,7 +338,7 @@ def centroid_bootstrap(df: DataFrame, vec_col: str, label_col: str, a, b, rounds
             yield pa.RecordBatch.from_arrays([pa.array(np.full(rounds * d, side), pa.int32()), pa.array(np.repeat(np.arange(rounds), d), pa.int32()), pa.array(np.tile(np.arange(d), rounds), pa.int32()), pa.array(s[side].ravel()), pa.array(np.repeat(n[side].astype(float), d))], names=["side", "k", "d", "s", "n"])
 
     rows = df.where(F.col(vec_col).isNotNull() & F.col(label_col).isin(a, b)).select(vec_col, label_col)
-    g = rows.mapInArrow(sums, "side int, k int, d int, s double, n double").groupBy("side", "k", "d").agg((F.sum("s") / F.sum("n")).alias("v"))
+    g = rows.mapInArrow(sums, "side int, k int, d int, s double, n double").groupBy("side", "k", "d").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("v"))
     both = g.groupBy("k", "d").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
     dist = both.groupBy("k").agg(F.sqrt(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))).alias("crd"))
     return dist.agg(F.percentile("crd", F.lit(0.025)).alias("low"), F.percentile("crd", F.lit(0.975)).alias("high"), F.avg("crd").alias("mean"))

@@ -1,4 +1,4 @@
-"""The validated, ordered pipeline over text operators (P-1 to P-11).
+"""The validated, ordered pipeline over text operators (P-1 to P-11 without P-9).
 
 A pipeline is plan-time Python: it checks and orders the modules, then adds one projection after the other to the table.
 """

@@ -1,9 +1,10 @@
-"""The whole profile of an (original, processed) corpus (M-24): one driver dict of fixed size, each section kept apart from
-the others' failures."""
+"""The profile of an (original, processed) corpus (M-24): one driver dict of fixed size, each section kept apart from the
+others' failures. Without silhouette (M-11), Proxy-SPRC (M-18) and the histogram of M-8."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sangam.functions import tokens as T
 from sangam.functions.lexicon import DEFAULT, Lexicons
 from sangam.operators import metrics as M
 
@@ -13,8 +14,9 @@ def _one(df: DataFrame) -> dict:
     return r.asDict() if r else {}
 
 
-def profile(df: DataFrame, id_col: str, orig_col: str, proc_col: str, label_col: str | None = None, lex: Lexicons = DEFAULT, orig_vec: str | None = None, proc_vec: str | None = None, weights: dict | None = None, progress=None) -> dict:
-    """Sections: information, fertility, retention, spectral, stability, composite. A missing label or vector leaves its section out."""
+def profile(df: DataFrame, id_col: str, orig_col: str, proc_col: str, label_col: str | None = None, lex: Lexicons = DEFAULT, orig_vec: str | None = None, proc_vec: str | None = None, weights: dict | None = None, progress=None, sides: DataFrame | None = None) -> dict:
+    """Sections: information, fertility, retention, spectral, stability, crd, composite. A missing label or vector leaves its
+    section out. sides: (label, vector) of the distinct words of two languages, labels 0 and 1, for crd (M-9, M-10, M-12)."""
     if orig_col not in df.columns or proc_col not in df.columns:
         raise ValueError(f"no column {orig_col!r} or {proc_col!r}")
     out: dict = {}
@@ -37,16 +39,30 @@ def profile(df: DataFrame, id_col: str, orig_col: str, proc_col: str, label_col:
         return r
 
     def fertility():
-        return {k: _one(M.fertility(df, id_col, c, lex).agg(*M.distribution("h_f"))) for k, c in (("before", orig_col), ("after", proc_col))}
+        r = {}
+        for k, c in (("before", orig_col), ("after", proc_col)):
+            h = M.fertility(df, id_col, c, lex)
+            words = df.select(F.explode(F.transform(T.split_words(F.col(c), lower=False), lambda t: T.language3(t, lex))).alias("lang"))
+            r[k] = _one(h.agg(*M.distribution("h_f"))) | {"histogram": [x.n for x in M.histogram(h, "h_f", 0.0, 1.0, 10).orderBy("bin").collect()], "languages": {x.lang: x["count"] for x in words.groupBy("lang").count().collect()}}
+        return r | {"bootstrap": _one(M.bootstrap_mean(h, "h_f"))}
+
+    def retention():
+        return _one(M.retention_corpus(df, orig_col, proc_col, lex)) | {"bootstrap": _one(M.bootstrap_mean(M.retention(df, orig_col, proc_col, lex), "ratio"))}
+
+    def crd():
+        r = _one(M.centroid_distance(sides, "vector", "label").select("euclidean", "cosine"))
+        return r | {"bootstrap": _one(M.centroid_bootstrap(sides, "vector", "label", 0, 1)), "cohesion": {x.label: x.cohesion for x in M.cohesion(sides, "vector", "label").collect()}}
 
     section("information", 20, information)
     section("fertility", 35, fertility)
-    section("retention", 55, lambda: _one(M.retention_corpus(df, orig_col, proc_col, lex)))
+    section("retention", 55, retention)
     if proc_vec:
         section("spectral", 70, lambda: _one(M.spectrum(df, proc_vec)))
     if orig_vec and proc_vec:
         section("stability", 82, lambda: _one(M.stability(df, orig_vec, proc_vec)))
+    if sides is not None:
+        section("crd", 90, crd)
     got = lambda s, k: out.get(s, {}).get(k)
-    values = {"delta_mi": got("information", "delta_mi"), "fertility_entropy": (got("fertility", "after") or {}).get("mean"), "stability": got("stability", "mean_cosine"), "spectral_entropy": got("spectral", "spectral_entropy"), "spri": got("retention", "spri")}
+    values = {"delta_mi": got("information", "delta_mi"), "fertility_entropy": (got("fertility", "after") or {}).get("mean"), "crd": got("crd", "euclidean"), "stability": got("stability", "mean_cosine"), "spectral_entropy": got("spectral", "spectral_entropy"), "spri": got("retention", "spri")}
     section("composite", 100, lambda: M.composite(values, weights, got("spectral", "embedding_dim")))
     return out

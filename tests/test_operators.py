@@ -319,3 +319,13 @@ def test_pieces_from_asks_for_all_candidates(monkeypatch):
     monkeypatch.setitem(sys.modules, "sentencepiece", types.SimpleNamespace(SentencePieceProcessor=Processor))
     draw = A.pieces_from("m", 64, 0.0)
     assert max(int(draw("word", random.Random(k))[0]) for k in range(300)) >= 48
+
+
+def test_profile_has_its_sections(spark):
+    df = spark.createDataFrame([(1, "the ghar is bahut good", "the ghar is good"), (2, "please check ghar", "please check ghar")], "doc_id long, text string, proc string")
+    sides = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.2]), (1, [0.0, 1.0]), (1, [0.1, 1.0])], "label int, vector array<double>")
+    r = profile(df, "doc_id", "text", "proc", lex=LEX, sides=sides)
+    assert not [s for s in r.values() if "error" in s]
+    assert sum(r["fertility"]["before"]["languages"].values()) == 8 and sum(r["fertility"]["after"]["histogram"]) == r["fertility"]["after"]["n"]
+    assert {"low", "high"} <= set(r["fertility"]["bootstrap"]) & set(r["retention"]["bootstrap"]) & set(r["crd"]["bootstrap"])
+    assert set(r["crd"]["cohesion"]) == {0, 1} and r["composite"]["terms"]["crd"] is not None
