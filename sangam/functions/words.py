@@ -1,6 +1,5 @@
 """Words of a text: lower-cased, punctuation (categories P*) deleted, split at Unicode white space."""
 
-import re
 import sys
 import unicodedata
 
@@ -29,5 +28,3 @@ def py_words(text: str) -> list[str]:
         _PUNCT.update((i, None) for i in range(sys.maxunicode + 1) if unicodedata.category(chr(i))[0] == "P")
     return text.lower().translate(_PUNCT).split()
 
-
-FIELD = re.compile(r"\s*[^:;\r\n]{1,60}:\s*\S")

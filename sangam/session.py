@@ -27,9 +27,12 @@ def session(cores: int | str = "*", **conf) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor can read: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that every executor can read: spark.checkpoint.dir. Where it is unset, a local session gets a temporary
+    folder; on a cluster that would be one machine's folder, so there the setting is asked for."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         d = "file://" + tempfile.mkdtemp(prefix="sangam-")
         atexit.register(shutil.rmtree, d[7:], True)
         spark.conf.set("spark.checkpoint.dir", d)
@@ -39,16 +42,29 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df to a table in the shared folder and read it back: a cut of the lineage that survives lost executors.
 
-    The table stays until the session's Python process ends, because the returned frame is lazy.
+    The table stays until the session ends, because the returned frame is lazy; then the file system it lies on drops it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if path.startswith("file:"):
-        atexit.register(shutil.rmtree, path.split(":", 1)[1].replace("//", "", 1), True)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int) -> bool:
+    """Whether df has at most `most` rows, counted without reading on beyond that."""
+    return df.limit(most + 1).count() <= most
+
+
+def width(df: DataFrame, per: int = 32 << 20) -> int:
+    """Partitions for a shuffle of a table as it is read: one for each `per` bytes of its files, at least the session's.
+
+    Frames whose size Spark doesn't know (it then assumes the largest number) get the session's."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_width(df.sparkSession), -(-size // per) if size < 1 << 50 else 0)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,9 +79,8 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(sc.applicationId)
     root = os.path.dirname(os.path.abspath(__file__))
-    shared = shared_dir(spark)
-    folder = shared.split(":", 1)[1].replace("//", "", 1) if shared.startswith("file:") else tempfile.mkdtemp(prefix="sangam-")
-    os.makedirs(folder, exist_ok=True)
+    folder = tempfile.mkdtemp(prefix="sangam-")  # of the driver only: addPyFile sends the file to the executors
+    atexit.register(shutil.rmtree, folder, True)
     path = os.path.join(folder, f"sangam-{uuid.uuid4().hex}.zip")
     with zipfile.ZipFile(path, "w") as z:
         for at, _, names in os.walk(root):
