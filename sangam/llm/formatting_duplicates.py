@@ -11,16 +11,19 @@ ids count as rows; rows without an id are left out; extra columns are ignored.
 
 import hashlib
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sangam.functions.words import words_key
-from sangam.session import shuffle_width, written
+from sangam.session import width, written
 
 #: One field of a list: a name without colon or semicolon, a colon, a value.
 FIELD_RE = r"^[^:;\r\n]+:\s*\S[^;\r\n]*$"
+#: Lists whose order a plain text may follow are broadcast up to this number and size; beyond they are joined, in SALTS parts.
+ALIASES, ALIAS_BYTES, SALTS = 200_000, 64 << 20, 16
 SCAN = "pid int, kind int, row_id long, first_id long, head boolean, runs long, dig_first binary, dig_last binary"
 
 
@@ -41,19 +44,27 @@ def list_key(text: Column) -> Column:
 
 
 def canonical(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row_id, key): the canonical record of every text that has a letter or digit."""
+    """(row_id, key, dig): the canonical record of every text that has a letter or digit, and its digest.
+
+    Words are taken from each text once; what follows reads the written records.
+    """
     t = F.col("text")
     base = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("text")).where(t.rlike(r"[\p{L}\p{N}]") & F.col("row_id").isNotNull())
-    base = base.withColumn("is_list", is_list(t))
-    plain = base.where(~F.col("is_list")).select("row_id", words_key(t).alias("key"))
-    lists = base.where("is_list").select("row_id", words_key(t).alias("flat"), list_key(t).alias("key"))
+    rec = base.select("row_id", words_key(t).alias("flat"), F.when(is_list(t), list_key(t)).alias("sorted"))
+    rec = written(rec.select("row_id", F.coalesce("sorted", "flat").alias("key"), F.unhex(F.md5("flat")).alias("dig"), F.col("sorted").isNotNull().alias("is_list"), F.coalesce(F.col("flat") != F.col("sorted"), F.lit(False)).alias("turned")), "p6-records")
     # A text with a list's words in a list's order, but without its separators, follows that list.
-    alias = lists.where("flat <> key").groupBy(F.md5("flat").alias("dig")).agg(F.min("key").alias("to"))
-    hit = plain.select("row_id", F.md5("key").alias("dig")).join(alias, "dig").select("row_id", "to")
-    if not hit.isEmpty():
-        hit = written(hit, "p6-alias")
-        plain = plain.join(hit, "row_id", "left").select("row_id", F.coalesce("to", "key").alias("key"))
-    return plain.unionByName(lists.select("row_id", "key"))
+    alias = written(rec.where("turned").groupBy("dig").agg(F.min("key").alias("to")), "p6-alias")
+    n, size = alias.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("to")), F.lit(0))).first()
+    if n and (n > ALIASES or size > ALIAS_BYTES):  # too many to send: first those that any text asks for, then salted
+        asked = rec.where("not is_list").select("dig").distinct()
+        hit = alias.join(asked, "dig").select("dig", "to", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        rec = rec.withColumn("salt", F.pmod(F.xxhash64("row_id"), F.lit(SALTS)).cast("int")).join(hit, ["dig", "salt"], "left")
+    elif n:
+        rec = rec.join(F.broadcast(alias), "dig", "left")
+    else:
+        return rec.select("row_id", "key", F.unhex(F.md5("key")).alias("dig"))
+    key = F.when(F.col("is_list"), F.col("key")).otherwise(F.coalesce("to", "key"))
+    return rec.select("row_id", key.alias("key")).withColumn("dig", F.unhex(F.md5("key")))
 
 
 def _scan(batches):
@@ -63,24 +74,21 @@ def _scan(batches):
     last_key = first_key = None
     first_id, runs = 0, 0
     for b in batches:
-        if not b.num_rows:
+        n = b.num_rows
+        if not n:
             continue
         keys, ids = b.column("key"), b.column("row_id").to_numpy(zero_copy_only=False)
-        new = pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)).to_numpy(zero_copy_only=False)
-        head0 = keys[0].as_py()
-        starts = [head0 != last_key, *new.tolist()]
+        head = keys[0].as_py()
+        new = np.append(head != last_key, pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)).astype(bool)
         if first_key is None:
-            first_key = head0
-        firsts, heads = [], []
-        for i, s in enumerate(starts):
-            if s:
-                first_id, runs = int(ids[i]), runs + 1
-            firsts.append(first_id)
-            heads.append(runs == 1)
-        last_key = keys[-1].as_py()
-        n = len(ids)
+            first_key = head
+        # the place of the run's first row in this batch, -1 for a run that began before it
+        at = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+        firsts = np.where(at >= 0, ids[at], first_id)
+        run = runs + np.cumsum(new)
+        first_id, runs, last_key = int(firsts[-1]), int(run[-1]), keys[-1].as_py()
         yield pa.RecordBatch.from_arrays(
-            [pa.array([pid] * n, pa.int32()), pa.array([0] * n, pa.int32()), pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(heads, pa.bool_()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
+            [pa.array(np.full(n, pid, np.int32)), pa.array(np.zeros(n, np.int32)), pa.array(ids, pa.int64()), pa.array(firsts, pa.int64()), pa.array(run == 1), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())],
             names=["pid", "kind", "row_id", "first_id", "head", "runs", "dig_first", "dig_last"],
         )
     if first_key is not None:
@@ -94,21 +102,21 @@ def _scan(batches):
 def copies(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
     """(row_id, first_row_id) of every row with a letter or digit; first_row_id is the smallest id of its group."""
     spark = df.sparkSession
-    rec = canonical(df, id_col, text_col).withColumn("dig", F.unhex(F.md5("key"))).withColumn("pre", F.substring("key", 1, 24))
+    rec = canonical(df, id_col, text_col).withColumn("pre", F.substring("key", 1, 24))
     order = ["pre", "dig", "row_id"]
-    runs = rec.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).select("row_id", "key")
+    runs = rec.repartitionByRange(width(df), *order).sortWithinPartitions(*order).select("row_id", "key")
     scan = written(runs.mapInArrow(_scan, SCAN), "p6-runs")
-    carry, before = {}, None
+    carry, before = [], None
     for s in scan.where("kind = 1").select("pid", "first_id", "runs", "dig_first", "dig_last").orderBy("pid").collect():
         joins = before is not None and before[0] == s.dig_first
         if joins:
-            carry[s.pid] = before[1]
+            carry.append((s.pid, before[1]))
         before = (s.dig_last, before[1] if joins and s.runs == 1 else s.first_id)
     rows = scan.where("kind = 0")
     first = F.col("first_id")
-    if carry:
-        at = F.create_map(*[F.lit(x) for kv in carry.items() for x in kv])
-        first = F.when(F.col("head"), F.coalesce(at[F.col("pid")], first)).otherwise(first)
+    if carry:  # at most one row per partition
+        rows = rows.join(F.broadcast(spark.createDataFrame(carry, "pid int, begun long")), "pid", "left")
+        first = F.when(F.col("head"), F.coalesce("begun", first)).otherwise(first)
     return rows.select("row_id", first.cast("long").alias("first_row_id"))
 
 

@@ -128,7 +128,7 @@ def _words(x: str) -> str:
     return f"trim(regexp_replace(regexp_replace(lower({x}), '\\p{{P}}+', '', 'g'), '[\\s\\x1c-\\x1f\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
 
 
-FIELD = "'\\s*[^:;\\r\\n]{1,60}:\\s*\\S[^;\\r\\n]*'"
+FIELD = "'\\s*[^:;\\r\\n]+:\\s*\\S[^;\\r\\n]*'"
 P6 = f"""WITH u AS (SELECT row_id, text, {_words('text')} AS flat, list_filter(regexp_split_to_array(text, '[;\\r\\n]+'), lambda p: length(trim(regexp_replace(p, '\\s+', ' ', 'g'))) > 0) AS parts
   FROM uploads WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')),
  l AS (SELECT row_id, flat, contains(text, ':') AND regexp_matches(text, '[;\\n\\r]') AND len(parts) >= 2 AND len(list_filter(parts, lambda p: NOT regexp_full_match(p, {FIELD}))) = 0 AS is_list,

@@ -45,7 +45,7 @@ def corpus(seed, n=150, vocabulary=400, hot=8, long=False):
 
 def fields(t):
     p = [x for x in re.split(r"[;\r\n]+", t) if x.strip()]
-    if len(p) < 2 or not re.search(r"[;\r\n]", t) or not all(re.fullmatch(r"\s*[^:;\r\n]{1,60}:\s*\S[^;\r\n]*", x) for x in p):
+    if len(p) < 2 or not re.search(r"[;\r\n]", t) or not all(re.fullmatch(r"\s*[^:;\r\n]+:\s*\S[^;\r\n]*", x) for x in p):
         return None
     return " ".join(sorted(" ".join(py_words(x)) for x in p))
 
@@ -113,6 +113,14 @@ def test_formatting_duplicates(spark):
     assert FD.copies(table(spark, rows).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [0, FD.ALIASES])
+def test_orders_of_lists_by_broadcast_and_by_join(spark, monkeypatch, most):
+    monkeypatch.setattr(FD, "ALIASES", most)
+    rows = [(2, "b: y; a: x"), (2, "a: x; b: y"), (2, "other text"), (3, "b y a x"), (4, "B Y, A X"), (5, "b y x a")]
+    got = sorted(tuple(r) for r in FD.copies(spark.createDataFrame(rows, "row_id long, text string")).collect())
+    assert got == [(2, 2), (2, 2), (2, 2), (3, 2), (4, 2), (5, 5)]
+
+
 def test_a_third_of_all_rows_in_one_group_spans_partitions(spark):
     rows = [(i, "Same  text" if i % 3 == 0 else f"text {i}") for i in range(3000)]
     got = FD.collapse(table(spark, rows).select("row_id", "text"))
