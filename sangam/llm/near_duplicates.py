@@ -14,9 +14,14 @@ Similarity is the Jaccard index of the sets of words, at least 3/4, of texts wit
    its own tree, which is sent to every block of searching sets.
 4. Candidates are verified on the word sets themselves.
 
-Sets, not rows, are compared: copies meet once, and pairs of rows are made from pairs of sets at the very end.
+Trees are built where their shard's sets meet, after a shuffle, and not broadcast as a whole: together they grow with the
+table, and no bound holds for them. What is broadcast has one: bin counts, heavy keys, up to BROADCAST_IDS ids.
 
-Defined results: null, empty and short texts (under 12 different words) and rows without an id have no partners; texts with equal word sets are
+Sets, not rows, are compared: copies meet once. Rows of one set, canonical record and form are a class; links are found
+between classes, and pairs of rows are made from them at the very end.
+
+Defined results: null, empty and short texts (under 12 different words) and rows without an id have no partners; rows with
+one id and one text count once, those with one id and several texts as one row each; texts with equal word sets are
 partners unless they are copies up to formatting (problem 6) or look the same (problem 5), as any other pair is.
 """
 
@@ -24,10 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from sangam.functions.words import words_col
-from sangam.session import written
+from sangam.session import few, width, written
 
 from . import shingles as sh
 from .formatting_duplicates import is_list, list_key
@@ -41,18 +45,20 @@ SHARD, HOT, DEEPEST = 96, 8192, 4
 LONG = 97
 #: Ids up to this many are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Heavy keys (16 bytes each) that are sent to the tasks, and set ids that a task remembers.
+MOST_HEAVY, SEEN = 1 << 20, 1 << 19
 
 
 def base_rows(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(row_id, c1, c2, o1, s1, w), written: hashes of the word set, of the words in order, of a list's sorted fields; the set.
+    """(row_id, h, c1, c2, o1, s1, w), written: hashes of the text, of the word set, of the words in order, of a list's sorted fields; the set.
 
     Short texts are dropped after writing: a filter on the words before it would make them a second time.
     """
     t = F.col(text_col)
-    words = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), words_col(t).alias("words"), F.when(is_list(t), F.xxhash64(list_key(t))).alias("s1"))
-    rows = words.select("row_id", "s1", F.xxhash64("words").alias("o1"), F.array_sort(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("set"))
-    rows = rows.select("row_id", "s1", "o1", F.when(F.size("set") >= LEAST, F.col("set")).alias("w"))
-    rows = rows.select("row_id", F.xxhash64("w").alias("c1"), F.xxhash64(F.lit("2"), F.col("w")).alias("c2"), "o1", "s1", "w")
+    words = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.xxhash64(t).alias("h"), words_col(t).alias("words"), F.when(is_list(t), F.xxhash64(F.split(list_key(t), " "))).alias("s1"))
+    rows = words.select("row_id", "h", "s1", F.xxhash64("words").alias("o1"), F.array_sort(F.array_distinct(F.transform("words", lambda w: F.xxhash64(w)))).alias("set"))
+    rows = rows.select("row_id", "h", "s1", "o1", F.when(F.size("set") >= LEAST, F.col("set")).alias("w"))
+    rows = rows.select("row_id", "h", F.xxhash64("w").alias("c1"), F.xxhash64(F.lit("2"), F.col("w")).alias("c2"), "o1", "s1", "w")
     return written(rows, "p3-base").where("w is not null")
 
 
@@ -88,10 +94,15 @@ def _key(parts: list[np.ndarray], salt: int) -> np.ndarray:
     return h
 
 
-def _entries(column, counts: np.ndarray, total: int, hot: np.ndarray | None, limit: int = HOT):
+def _among_keys(key: np.ndarray, heavy: np.ndarray) -> np.ndarray:
+    """Which keys are in the sorted array `heavy`."""
+    return heavy[np.minimum(np.searchsorted(heavy, key), len(heavy) - 1)] == key if len(heavy) else np.zeros(len(key), bool)
+
+
+def _entries(column, counts: np.ndarray, total: int, heavy: np.ndarray):
     """(key, row, roles, n per row, sketch per row) of a batch; roles: 1 searches (longer set), 2 is searched, 3 both.
 
-    hot: counts of keys by bin, to make keys in bins over `limit` deeper by one word.
+    heavy: the sorted keys that hold too many sets and are made deeper by one word.
     """
     values, off, row = sh.flat(column)
     n = np.diff(off)
@@ -131,8 +142,8 @@ def _entries(column, counts: np.ndarray, total: int, hot: np.ndarray | None, lim
                 return
             done = (load <= SHARD) | (level == DEEPEST)
             key = _key(parts, 2)
-            if hot is not None and level < DEEPEST + 1:
-                done = (done | must) & ~((hot[_bin(key)] > limit) & ~must & (level <= DEEPEST)) if level < DEEPEST else done
+            if len(heavy) and level < DEEPEST:
+                done = (done | must) & ~(_among_keys(key, heavy) & ~must)
             if done.any():
                 roles = np.where(pos < q[rows[done]] + level - 1, 3, 1)
                 emit(short[rows[done]], roles, key[done])
@@ -158,15 +169,53 @@ def _entries(column, counts: np.ndarray, total: int, hot: np.ndarray | None, lim
     return key, rows.astype(np.int64), roles.astype(np.int64), n, sketch
 
 
-def key_counts(base: DataFrame, counts: np.ndarray, total: int, hot, limit: int) -> np.ndarray:
-    def count(batches):
+def heavy_keys(sets: DataFrame, counts: np.ndarray, total: int, heavy: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, their entries), sorted by key: the shards of more than `limit` entries, counted exactly.
+
+    A table of BINS sums over the hashed keys, of fixed size, finds the bins that may hold one; only keys of such bins are
+    counted one by one, by a shuffle. At most MOST_HEAVY keys come back, the largest ones: a shard that is not among them
+    holds less than 1 / MOST_HEAVY of all entries.
+    """
+
+    def bins(batches):
         own = np.zeros(BINS, np.int64)
+        seen = Seen()
         for b in batches:
-            own += np.bincount(_bin(_entries(b.column(0), counts, total, hot, limit)[0]), minlength=BINS)
+            own += np.bincount(_bin(_entries(seen.new(b).column(1), counts, total, heavy)[0]), minlength=BINS)
         at = np.flatnonzero(own)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(own[at])], names=["bin", "n"])
 
-    return _collect_bins(base.select("w").mapInArrow(count, "bin int, n long"))
+    over = _collect_bins(sets.select("c1", "w").mapInArrow(bins, "bin int, n long")) > limit
+    if not over.any():
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def keys(batches):
+        seen = Seen()
+        for b in batches:
+            key = _entries(seen.new(b).column(1), counts, total, heavy)[0]
+            key, n = np.unique(key[over[_bin(key)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    many = sets.select("c1", "w").mapInArrow(keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") > limit)
+    got = many.orderBy(F.desc("n"), "key").limit(MOST_HEAVY).toArrow()
+    key, n = got.column("key").to_numpy().view(np.uint64), got.column("n").to_numpy()
+    order = np.argsort(key)
+    return key[order], n[order]
+
+
+class Seen:
+    """Drops the sets of a task that came before in it. It holds SEEN ids and then starts anew, so that copies of one set,
+    however many, give few entries; the shards drop what is left of them."""
+
+    def __init__(self):
+        self.ids = np.zeros(0, np.int64)
+
+    def new(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        c = batch.column(0).to_numpy(zero_copy_only=False)
+        own, first = np.unique(c, return_index=True)
+        fresh = ~_among_keys(own, self.ids)
+        self.ids = np.union1d(self.ids if len(self.ids) < SEEN else self.ids[:0], own[fresh])
+        return batch if fresh.all() and len(own) == len(c) else batch.take(pa.array(np.sort(first[fresh])))
 
 
 class Forest:
@@ -260,8 +309,18 @@ def _trees(batches):
         pairs = _match(whole, c, sketch.view(np.uint64), meta)
         return pa.RecordBatch.from_arrays([pa.array(pairs[0], pa.int64()), pa.array(pairs[1], pa.int64())], names=["ca", "cb"])
 
+    last = None
     for b in batches:
         x = [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
+        # copies of a set stand in a row: one is kept, so that memory holds different sets only
+        new = np.zeros(len(x[0]), bool)
+        for y, before in zip(x, last or [None] * 5):
+            new |= np.append(before is None or y[0] != before, y[1:] != y[:-1]) if len(y) else new
+        if len(new):
+            last = [y[-1] for y in x]
+        x = [y[new] for y in x]
+        if not len(x[0]):
+            continue
         held.append(x)
         have += len(x[0])
         if have >= 50_000:
@@ -281,21 +340,24 @@ def candidates(base: DataFrame, partitions: int, limit: int = HOT) -> DataFrame:
     """(ca, cb): ids (c1) of word sets whose sketches lie within the radius in some shard. May hold a pair twice."""
     counts = word_counts(base)
     total = max(1, base.count())
-    hot, blocks = None, key_counts(base, counts, total, None, limit)
-    if (blocks > limit).any():
-        hot = blocks
-        blocks = key_counts(base, counts, total, hot, limit)
-    side = np.ceil(blocks / limit).astype(np.int64)
-    side[side < 1] = 1
-    grid = None if side.max() == 1 else side
+    none = np.zeros(0, np.uint64)
+    heavy, big, n_big = none, *heavy_keys(base, counts, total, none, limit)
+    if len(big):
+        heavy = big
+        big, n_big = heavy_keys(base, counts, total, heavy, limit)
+    side = -(-n_big // limit)
 
     def make(batches):
+        seen = Seen()
         for b in batches:
-            key, row, roles, n, sketch = _entries(b.column(1), counts, total, hot, limit)
+            b = seen.new(b)
+            key, row, roles, n, sketch = _entries(b.column(1), counts, total, heavy)
             c = b.column(0).to_numpy(zero_copy_only=False)[row]
             block = np.zeros(len(key), np.int32)
-            if grid is not None:
-                s = grid[_bin(key)]
+            if len(big):
+                s = np.ones(len(key), np.int64)
+                at = np.minimum(np.searchsorted(big, key), len(big) - 1)
+                s[big[at] == key] = side[at][big[at] == key]
                 mine = (sh.scramble(c.view(np.uint64)) % s.astype(np.uint64)).astype(np.int64)
                 parts = []
                 for role in (1, 2):  # searching sets go to every block row, searched ones to every block column
@@ -314,8 +376,7 @@ def candidates(base: DataFrame, partitions: int, limit: int = HOT) -> DataFrame:
 
 def _among(df: DataFrame, col: str, ids: DataFrame) -> DataFrame:
     """Rows whose `col` is among the ids: by broadcast while they are few, which is counted, else by a shuffle."""
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if few else ids, col, "left_semi")
+    return df.join(F.broadcast(ids) if few(ids, BROADCAST_IDS) else ids, col, "left_semi")
 
 
 def similar_sets(base: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
@@ -331,43 +392,94 @@ def similar_sets(base: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame
     return pairs.select("ca", "ca2", "cb", "cb2", (F.col("both") / (F.size("wa") + F.size("wb") - F.col("both"))).alias("similarity")), rows
 
 
-def similar_rows(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
-    """(row_id_a, row_id_b): pairs over the threshold that are neither copies up to formatting nor look the same."""
+def classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(base rows, members, class links), written.
+
+    members: (row_id, class_id, size) of every row that may have a partner: rows of one word set, one canonical record
+    (problem 6) and one form (problem 5) are a class, named by its smallest row. class links: (class_a, class_b, similarity)
+    of the classes whose rows are partners, each pair once.
+    """
     base = base_rows(df, id_col, text_col)
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    pairs, rows = similar_sets(base, partitions)
+    pairs, rows = similar_sets(base, width(df))
     pairs = written(pairs, "p3-pairs")
+    own = base.select("row_id", "h", "c1", "c2", "o1", "s1")
     # sets whose rows have their words in several orders
-    orders = base.groupBy("c1", "c2").agg(F.min("o1").alias("lo"), F.max("o1").alias("hi")).where("lo <> hi").select("c1", "c2")
-    inner = base.select("row_id", "c1", "c2", "o1", "s1").join(orders, ["c1", "c2"], "left_semi")
-    # the canonical record of problem 6: a list's sorted fields, also for a text with a list's words in its order
-    inner = inner.withColumn("k6", F.coalesce(F.min("s1").over(W.partitionBy("c1", "c2", "o1")), F.col("o1")))
-    inner = written(inner.select("row_id", "c1", "c2", "k6"), "p3-inner")
+    orders = written(base.groupBy("c1", "c2").agg(F.min("o1").alias("lo"), F.max("o1").alias("hi")).where("lo <> hi").select("c1", "c2"), "p3-orders")
+    inner = own.join(F.broadcast(orders) if few(orders, BROADCAST_IDS) else orders, ["c1", "c2"], "left_semi")
     used = pairs.select(F.col("ca").alias("c1")).union(pairs.select("cb")).distinct()
-    rows = written(_among(rows.select("row_id", "c1", "c2"), "c1", used), "p3-used")
-    ids = written(rows.select("row_id").union(inner.select("row_id")).distinct(), "p3-ids")
+    rows = written(_among(rows.select("row_id", "h", "c1", "c2", "o1", "s1"), "c1", used).unionByName(inner).distinct(), "p3-used")
+    # the canonical record of problem 6: a list's sorted fields, also for a text with a list's words in its order
+    turned = written(rows.where("s1 is not null").groupBy("c1", "c2", "o1").agg(F.min("s1").alias("m1")), "p3-turned")
+    k6 = F.coalesce("s1", "m1", "o1").alias("k6")
+    rows = rows.join(F.broadcast(turned) if few(turned, BROADCAST_IDS) else turned, ["c1", "c2", "o1"], "left").select("row_id", "h", "c1", "c2", k6)
     t = df.select(F.col(id_col).cast("long").alias("row_id"), F.col(text_col).alias("t"))
-    forms = written(_among(t, "row_id", ids).select("row_id", F.unhex(F.md5(form_col(F.col("t"), bigram_counts(df, text_col)))).alias("f")), "p3-forms")
-    rows, inner = rows.join(forms, "row_id"), inner.join(forms, "row_id")
-    a = rows.select(F.col("row_id").alias("a"), F.col("c1").alias("ca"), F.col("c2").alias("ca2"), F.col("f").alias("fa"))
-    b = rows.select(F.col("row_id").alias("b"), F.col("c1").alias("cb"), F.col("c2").alias("cb2"), F.col("f").alias("fb"))
-    across = pairs.join(a, ["ca", "ca2"]).join(b, ["cb", "cb2"]).where("fa <> fb")
-    left = inner.select("c1", "c2", F.col("row_id").alias("a"), F.col("k6").alias("ka"), F.col("f").alias("fa"))
-    right = inner.select("c1", "c2", F.col("row_id").alias("b"), F.col("k6").alias("kb"), F.col("f").alias("fb"))
-    # different records only: two records of a set are joined, not its rows with each other
-    keys = inner.select("c1", "c2", "k6").distinct()
-    kk = keys.withColumnRenamed("k6", "ka").join(keys.withColumnRenamed("k6", "kb"), ["c1", "c2"]).where("ka < kb")
-    within = kk.join(left, ["c1", "c2", "ka"]).join(right, ["c1", "c2", "kb"]).where("fa <> fb")
-    out = across.select("a", "b").unionByName(within.select("a", "b"))
-    return out.select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b"))
+    ids = written(rows.select("row_id").distinct(), "p3-ids")
+    forms = written(_among(t, "row_id", ids).select("row_id", F.xxhash64("t").alias("h"), F.unhex(F.md5(form_col(F.col("t"), bigram_counts(df, text_col)))).alias("f")), "p3-forms")
+    return base, written(rows.join(forms.distinct(), ["row_id", "h"]).drop("h"), "p3-members"), pairs
+
+
+def class_links(members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes with their sizes, links between them), from members and pairs of sets."""
+    cls = written(members.groupBy("c1", "c2", "k6", "f").agg(F.min("row_id").alias("class_id"), F.count("*").alias("size")), "p3-classes")
+    a = cls.select(F.col("c1").alias("ca"), F.col("c2").alias("ca2"), F.col("class_id").alias("a"), F.col("f").alias("fa"), F.col("k6").alias("ka"))
+    b = cls.select(F.col("c1").alias("cb"), F.col("c2").alias("cb2"), F.col("class_id").alias("b"), F.col("f").alias("fb"), F.col("k6").alias("kb"))
+    across = pairs.join(a, ["ca", "ca2"]).join(b, ["cb", "cb2"]).where("fa <> fb").select("a", "b", "similarity")
+    # classes of one set whose records differ, as sets of several orders have them
+    several = cls.groupBy("c1", "c2").agg(F.min("k6").alias("lo"), F.max("k6").alias("hi")).where("lo <> hi").select(F.col("c1").alias("ca"), F.col("c2").alias("ca2"))
+    left = a.join(several, ["ca", "ca2"], "left_semi")
+    within = left.join(b, (F.col("ca") == F.col("cb")) & (F.col("ca2") == F.col("cb2"))).where("ka < kb and fa <> fb").select("a", "b", F.lit(1.0).alias("similarity"))
+    both = across.unionByName(within).select(F.least("a", "b").alias("class_a"), F.greatest("a", "b").alias("class_b"), "similarity")
+    return cls, written(both, "p3-links")
+
+
+def similar_rows(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
+    """(row_id_a, row_id_b): pairs over the threshold that are neither copies up to formatting nor look the same."""
+    _, members, pairs = classes(df, id_col, text_col)
+    cls, both = class_links(members, pairs)
+    rows = members.join(cls, ["c1", "c2", "k6", "f"]).select("row_id", "class_id")
+    a, b = rows.withColumnsRenamed({"row_id": "a", "class_id": "class_a"}), rows.withColumnsRenamed({"row_id": "b", "class_id": "class_b"})
+    return both.join(a, "class_a").join(b, "class_b").select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b"))
 
 
 def links(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> DataFrame:
-    """(row_id, class_id, n_links): one row per row of the table with enough words; its set, and the other sets similar to it."""
-    base = base_rows(df, id_col, text_col)
-    pairs, _ = similar_sets(base, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    pairs = written(pairs, "p3-pairs")
-    n = pairs.select(F.col("ca").alias("c1"), F.col("ca2").alias("c2")).unionByName(pairs.select(F.col("cb").alias("c1"), F.col("cb2").alias("c2"))).groupBy("c1", "c2").agg(F.count("*").alias("n_links"))
-    first = base.groupBy("c1", "c2").agg(F.min("row_id").alias("class_id"))
-    classes = first.join(n, ["c1", "c2"], "left")
-    return base.select("row_id", "c1", "c2").join(classes, ["c1", "c2"]).select("row_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    """(row_id, class_id, group_id, n_links, n_partners): one row for each id with enough words.
+
+    class_id: the smallest row of its class; n_links: the classes similar to it; n_partners: their rows, so that the sum
+    over all rows is twice the number of pairs of similar_rows; group_id: the smallest class that a chain of links leads to.
+    """
+    base, members, pairs = classes(df, id_col, text_col)
+    cls, both = class_links(members, pairs)
+    ways = both.select(F.col("class_a").alias("class_id"), F.col("class_b").alias("other")).unionByName(both.select(F.col("class_b").alias("class_id"), F.col("class_a").alias("other")))
+    size = cls.select(F.col("class_id").alias("other"), "size")
+    n = ways.join(size, "other").groupBy("class_id").agg(F.count("*").alias("n_links"), F.sum("size").alias("n_partners"))
+    groups = components(both.select("class_a", "class_b"))
+    per = cls.join(n, "class_id", "left").join(groups, "class_id", "left")
+    linked = members.join(per, ["c1", "c2", "k6", "f"]).select("row_id", "class_id", F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("n_partners", F.lit(0)).alias("n_partners"))
+    # rows of sets that are like no other: their copies are a class
+    alone = base.select("row_id", "c1", "c2").join(members.select("c1", "c2").distinct(), ["c1", "c2"], "left_anti").distinct()
+    first = alone.groupBy("c1", "c2").agg(F.min("row_id").alias("class_id"))
+    none = F.lit(0).cast("long")
+    return linked.unionByName(alone.join(first, ["c1", "c2"]).select("row_id", "class_id", F.col("class_id").alias("group_id"), none.alias("n_links"), none.alias("n_partners")))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(class_id, group_id): the smallest id that each end of an edge is connected to.
+
+    Rounds of large and small stars (Kiveris et al. 2014): every node hands its larger neighbours, then its smaller ones,
+    to the smallest of them, until each component is one star. Nothing but a count reaches the driver, and a node with many
+    neighbours loses them within few rounds.
+    """
+    a, b = edges.columns
+    now = written(edges.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).where("u <> v").distinct(), "p3-edges")
+    while True:
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = written(both.join(low, "u").where("v > u").select(F.col("m").alias("u"), "v").where("u <> v").distinct(), "p3-large")
+        least = large.groupBy("v").agg(F.min("u").alias("m"))
+        small = large.join(least, "v").select(F.col("m").alias("a"), F.explode(F.array("u", "v")).alias("b")).where("a <> b")
+        after = written(small.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), "p3-small")
+        if after.count() == now.count() and after.exceptAll(now).isEmpty():
+            break
+        now = after
+    stars = now.select(F.col("v").alias("class_id"), F.col("u").alias("group_id"))
+    return stars.unionByName(now.select(F.col("u").alias("class_id"), F.col("u").alias("group_id")).distinct())

@@ -83,8 +83,35 @@ def test_near_duplicates_edges(spark):
     rows = [(1, None), (2, ""), (3, "short text"), (4, long), (5, long + " more"), (None, base), (6, base), (6, base), (7, base + " extra"), (8, base.upper())]
     assert {tuple(r) for r in ND.similar_rows(table(spark, rows)).collect()} == {(4, 5), (6, 7), (7, 8)}
     assert ND.similar_rows(table(spark, rows).limit(0)).count() == 0
-    got = {r.row_id: (r.class_id, r.n_links) for r in ND.links(table(spark, rows)).collect()}
-    assert got == {4: (4, 1), 5: (5, 1), 6: (6, 1), 8: (6, 1), 7: (7, 1)}
+    got = {r.row_id: (r.class_id, r.group_id, r.n_links, r.n_partners) for r in ND.links(table(spark, rows)).collect()}
+    assert got == {4: (4, 4, 1, 1), 5: (5, 4, 1, 1), 6: (6, 6, 1, 1), 8: (8, 6, 1, 1), 7: (7, 6, 2, 2)}
+
+
+def test_lists_and_plain_texts_of_one_record_are_no_near_duplicates(spark):
+    f = [f"name{i}: word{i} more{i}" for i in range(8)]
+    plain = " ".join(x.replace(":", "") for x in f)
+    rows = [(1, plain), (2, "; ".join(reversed(f))), (3, "; ".join(f[3:] + f[:3])), (4, plain + " end")]
+    assert {tuple(r) for r in ND.similar_rows(table(spark, rows)).collect()} == {(1, 4), (2, 4), (3, 4)}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_links_add_up_to_the_pairs(spark, seed):
+    rows = corpus(seed, n=100, vocabulary=40 * seed)
+    rows += [(1000 + i, t) for i, t in rows[:30]]
+    pairs = brute_pairs(rows)
+    got = {r.row_id: r for r in ND.links(table(spark, rows)).collect()}
+    partners = defaultdict(set)
+    for a, b in pairs:
+        partners[a].add(b)
+        partners[b].add(a)
+    assert {i: r.n_partners for i, r in got.items()} == {i: len(partners[i]) for i in got} and set(partners) <= set(got)
+    group = {i: r.group_id for i, r in got.items()}
+    top = {i: i for i in got}
+    find = lambda x: x if top[x] == x else find(top[x])
+    for a, b in pairs | {(min(i, r.class_id), max(i, r.class_id)) for i, r in got.items()}:
+        a, b = sorted((find(a), find(b)))
+        top[b] = a
+    assert group == {i: find(i) for i in got}
 
 
 def test_forest_finds_what_a_scan_finds():
