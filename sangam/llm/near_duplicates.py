@@ -421,9 +421,10 @@ def classes(df: DataFrame, id_col: str = "row_id", text_col: str = "text") -> tu
 def class_links(members: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(classes with their sizes, links between them), from members and pairs of sets."""
     cls = written(members.groupBy("c1", "c2", "k6", "f").agg(F.min("row_id").alias("class_id"), F.count("*").alias("size")), "p3-classes")
+    # lists of one record have different words where a mark without a blank joins two fields, so records are compared here too
     a = cls.select(F.col("c1").alias("ca"), F.col("c2").alias("ca2"), F.col("class_id").alias("a"), F.col("f").alias("fa"), F.col("k6").alias("ka"))
     b = cls.select(F.col("c1").alias("cb"), F.col("c2").alias("cb2"), F.col("class_id").alias("b"), F.col("f").alias("fb"), F.col("k6").alias("kb"))
-    across = pairs.join(a, ["ca", "ca2"]).join(b, ["cb", "cb2"]).where("fa <> fb").select("a", "b", "similarity")
+    across = pairs.join(a, ["ca", "ca2"]).join(b, ["cb", "cb2"]).where("fa <> fb and ka <> kb").select("a", "b", "similarity")
     # classes of one set whose records differ, as sets of several orders have them
     several = cls.groupBy("c1", "c2").agg(F.min("k6").alias("lo"), F.max("k6").alias("hi")).where("lo <> hi").select(F.col("c1").alias("ca"), F.col("c2").alias("ca2"))
     left = a.join(several, ["ca", "ca2"], "left_semi")

@@ -3,8 +3,10 @@
 Lengths are measured in tokens of a public tokenizer. The plan needs only how many pieces have each length (at most as
 many numbers as the largest capacity, whatever the corpus), so it is made once and exactly, over all documents: lengths
 in falling order, each into the fullest open container that still takes it; where none does, the permitted length with the
-least cost per token it can still hold is opened; at the end each container shrinks to the least permitted length that
-holds its contents. Documents then look up their container by their rank among the documents of equal length. Ranks
+least cost per token that the pieces still to be packed put into it is opened; at the end each container shrinks to the
+least permitted length that holds its contents. A container of length p costs p + overhead + p * p * quadratic: its
+tokens, used or not, a fixed part, and what grows with the length of a sequence (attention). One budget alone minimises
+its number of containers (quadratic 0); packed jointly, the lengths compete with quadratic 1 / ATTENTION. Documents then look up their container by their rank among the documents of equal length. Ranks
 come from salted groups, so a length shared by a third of all documents is no hot group.
 
 Only a document longer than the capacity is split: into full containers and one remainder, which is packed like any
@@ -30,7 +32,11 @@ from sangam.session import written
 TOKENIZER = os.environ.get("SANGAM_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
 # Fixed value: the pattern that splits a text before the merges of the rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-MAX_CAPACITY, SALTS, OVERHEAD = 1 << 20, 64, 8
+MAX_CAPACITY, OVERHEAD = 1 << 20, 8
+#: The length at which attention costs as much as everything else, in joint packing.
+ATTENTION = 4096
+#: A rank group holds about so many documents.
+PER_SALT = 200_000
 
 _encoders: dict = {}
 
@@ -64,13 +70,14 @@ class Group:
         self.count, self.length, self.left, self.items = count, length, left, items
 
 
-def plan(histogram: dict[int, int], permitted: list[int], overhead: int = OVERHEAD) -> list[Group]:
+def plan(histogram: dict[int, int], permitted: list[int], overhead: int = OVERHEAD, quadratic: float = 0.0) -> list[Group]:
     """Best-fit over lengths in falling order, taken in bulk. histogram: pieces by length; permitted: container lengths."""
     permitted = sorted(permitted)
-    rest = sum(s * n for s, n in histogram.items())
     open_at: dict[int, list[Group]] = {}
     lefts: list[int] = []  # sorted: the free lengths of open containers
     done: list[Group] = []
+    rest = {s: n for s, n in histogram.items() if s > 0 and n > 0}
+    sizes = sorted(rest)  # those still to be packed
 
     def put(g: Group):
         if g.left == 0:
@@ -81,8 +88,21 @@ def plan(histogram: dict[int, int], permitted: list[int], overhead: int = OVERHE
             open_at[g.left] = [g]
             bisect.insort(lefts, g.left)
 
-    for s in sorted((x for x in histogram if x > 0), reverse=True):
-        n = histogram[s]
+    def fill(p: int) -> int:
+        """The tokens that a new container of length p gets from the pieces at hand, the longest that fits each time."""
+        free, at = p, bisect.bisect_right(sizes, p) - 1
+        while at >= 0:
+            s = sizes[at]
+            free -= s * min(free // s, rest[s])
+            at = min(at, bisect.bisect_right(sizes, free)) - 1
+        return p - free
+
+    def cost(p: int) -> float:
+        return (p + overhead + quadratic * p * p) / fill(p)
+
+    while sizes:
+        s = sizes[-1]
+        n = rest[s]
         while n:
             at = bisect.bisect_left(lefts, s)
             if at < len(lefts):
@@ -96,13 +116,16 @@ def plan(histogram: dict[int, int], permitted: list[int], overhead: int = OVERHE
                 if m < g.count:
                     put(Group(g.count - m, g.length, g.left, g.items))
                 put(Group(m, g.length, left - k * s, [*g.items, (s, k)]))
-                n, rest = n - m * k, rest - m * k * s
+                n -= m * k
                 continue
-            c = min((p for p in permitted if p >= s), key=lambda p: ((p + overhead) / min(p, rest), p))
+            rest[s] = n
+            able = [p for p in permitted if p >= s]
+            c = min(able, key=lambda p: (cost(p), p)) if len(able) > 1 else able[0]
             k = min(c // s, n)
             m = n // k
             put(Group(m, c, c - k * s, [(s, k)]))
-            n, rest = n - m * k, rest - m * k * s
+            n -= m * k
+        sizes.pop()
     done += [g for gs in open_at.values() for g in gs]
     for g in done:
         used = g.length - g.left
@@ -112,9 +135,9 @@ def plan(histogram: dict[int, int], permitted: list[int], overhead: int = OVERHE
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """(doc_id, tokens, salt), written: tokenizing is the dear part and is done once."""
+    """(doc_id, tokens), written: tokenizing is the dear part and is done once."""
     t = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(n_tokens(F.col(text_col), tokenizer), F.lit(0)).cast("long").alias("tokens"))
-    return written(t.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")), "p7-tokens")
+    return written(t, "p7-tokens")
 
 
 def pack_counts(counts: DataFrame, capacities: dict[int, int], joint: bool = False, overhead: int = OVERHEAD) -> DataFrame:
@@ -129,6 +152,9 @@ def pack_counts(counts: DataFrame, capacities: dict[int, int], joint: bool = Fal
     schema = "budget_id int, doc_id long, piece long, start long, tokens long, container string, length int"
     if not budgets:
         return spark.createDataFrame([], schema)
+    # ranks are given within a length and a salt; there are as many salts as keep a length of all documents in small groups
+    salts = max(64, -(-counts.count() // PER_SALT))
+    counts = counts.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     each = F.explode(F.array(*[F.struct(F.lit(b).alias("b"), F.lit(c).cast("long").alias("c")) for b, c in budgets.items()])).alias("x")
     rows = counts.select("doc_id", "tokens", "salt", each).select("doc_id", "tokens", "salt", F.col("x.b").alias("budget_id"), F.col("x.c").alias("c"))
     over = F.col("tokens") > F.col("c")
@@ -143,7 +169,7 @@ def pack_counts(counts: DataFrame, capacities: dict[int, int], joint: bool = Fal
     for b, c in budgets.items():
         allowed = sorted({x for x in capacities.values() if x <= c})
         base, table = 0, []
-        for g in plan(hist[b], allowed, overhead):
+        for g in plan(hist[b], allowed, overhead, 1 / ATTENTION if joint else 0.0):
             table += [(s, k, base, g.count, g.length) for s, k in g.items]
             base += g.count
         table.sort(key=lambda x: -x[0])

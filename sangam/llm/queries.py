@@ -95,6 +95,12 @@ def p8_found(spark, sf):
     return leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
 
 
+def p8_scores(spark, sf):
+    from .contamination import scores
+
+    return scores(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 def p8_report(spark, sf):
     from .contamination import report
 
@@ -120,7 +126,7 @@ def p9_unit_shares(spark, sf):
 
 
 def queries():
-    return {f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_links, p4_found, p4_scores, p4_source_rates, p5_found, p5_forms, p6_found, p6_collapsed, p7_pack, p7_pack_joint, p7_summary, p8_found, p8_report, p9_found, p9_scores, p9_unit_shares)}
+    return {f.__name__: f for f in (p1_found, p1_languages, p3_found, p3_links, p4_found, p4_scores, p4_source_rates, p5_found, p5_forms, p6_found, p6_collapsed, p7_pack, p7_pack_joint, p7_summary, p8_found, p8_scores, p8_report, p9_found, p9_scores, p9_unit_shares)}
 
 
 def _words(x: str) -> str:

@@ -2,14 +2,18 @@
 
 Every run of four words is hashed into one of BINS bins, apart for runs that already occurred earlier in the document.
 Two multinomials over these features are counted over all documents: the raw corpus, and the trusted target, i.e. the
-documents without any repeated run. A document's score is the mean log-ratio target / raw of its features.
+documents without any repeated run. A document's score is the mean log-ratio target / raw of its features, so its length
+plays no part; single ratios are held within -CLIP and CLIP, so that no rare or frequent bin outweighs the others.
 
-Thresholding is deterministic and loses nothing: a document whose share of repeated runs is s scores at most
-(1 - s) * (largest ratio of a new run) + s * (largest ratio of a repeated run seen in the corpus), so every document with
-s >= 0.35 lies below that bound at 0.35; below it, the share itself decides.
+Every document is thresholded by its score. As repeated runs score near -CLIP and new ones near 0, a score bounds the share s of
+repeated runs: it lies between (1 - s) * (least ratio of a new run) + s * (least of a repeated one) and the same with the
+largest. At or below `low` the share is certainly SHARE or more, and the document is repetitive; above `high` it is
+certainly less, and it is not; low and high follow from the ratios alone. Only for a score between them (`checked`) the exact
+share is looked at.
 
 Defined results: a null or empty text has 0 words and share 0; a text of fewer than 4 words has no run and score 0; no
-document is skipped, whatever its length; rows without an id are left out.
+document is skipped, whatever its length; rows without an id are left out; where all documents are repetitive nothing is
+trusted, the ratios say nothing and every document is checked.
 """
 
 import numpy as np
@@ -21,7 +25,7 @@ from sangam.functions.words import words_key
 
 from . import shingles as sh
 
-BINS, RUN, SHARE, LEAST_WORDS = 2048, 4, 0.35, 20
+BINS, RUN, SHARE, LEAST_WORDS, CLIP = 2048, 4, 0.35, 20, 3.0
 
 
 def _features(column):
@@ -55,23 +59,26 @@ def ratios(df: DataFrame, text_col: str) -> np.ndarray:
         raw[k], target[k] = r, t
     a = 0.5
     out = np.log((target + a) / (target.sum() + 2 * a * BINS)) - np.log((raw + a) / (raw.sum() + 2 * a * BINS))
+    out = np.clip(out, -CLIP, CLIP)
     out[raw == 0] = np.nan
     return out
 
 
-def bound(w: np.ndarray) -> float:
-    """The score that no document with a share of SHARE or more exceeds."""
+def bounds(w: np.ndarray) -> tuple[float, float]:
+    """(low, high): documents that score at most `low` have a share of SHARE or more, those above `high` less."""
     new, again = w[:BINS], w[BINS:]
     if np.isnan(again).all() or np.isnan(new).all():
-        return np.inf
-    a, b = np.nanmax(new), np.nanmax(again)
-    return max((1 - s) * a + s * b for s in (SHARE, 1.0)) + 1e-9
+        return -np.inf, np.inf
+    # a score is linear in the share, so its extremes over a range of shares are at the ends of the range
+    high = max((1 - s) * np.nanmax(new) + s * np.nanmax(again) for s in (SHARE, 1.0))
+    low = min((1 - s) * np.nanmin(new) + s * np.nanmin(again) for s in (0.0, SHARE))
+    return low - 1e-9, high + 1e-9
 
 
 def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_words, share, llr, repetitive) of every document."""
+    """(doc_id, n_words, share, llr, checked, repetitive) of every document."""
     w = ratios(df, text_col)
-    limit, w = bound(w), np.nan_to_num(w)
+    (low, high), w = bounds(w), np.nan_to_num(w)
 
     def score(batches):
         for b in batches:
@@ -79,10 +86,11 @@ def scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             runs = np.bincount(row, minlength=len(n))
             llr = np.bincount(row, weights=w[f], minlength=len(n)) / np.maximum(runs, 1)
             share = np.bincount(row[again], minlength=len(n)) / np.maximum(runs, 1)
-            flag = (llr <= limit) & (n >= LEAST_WORDS) & (share >= SHARE)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(share), pa.array(llr), pa.array(flag)], names=["doc_id", "n_words", "share", "llr", "repetitive"])
+            checked = (llr >= low) & (llr <= high)
+            flag = (n >= LEAST_WORDS) & ((llr < low) | (checked & (share >= SHARE)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(share), pa.array(llr), pa.array(checked), pa.array(flag)], names=["doc_id", "n_words", "share", "llr", "checked", "repetitive"])
 
-    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), sh.word_hashes(F.col(text_col)).alias("w")).mapInArrow(score, "doc_id long, n_words long, share double, llr double, repetitive boolean")
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), sh.word_hashes(F.col(text_col)).alias("w")).mapInArrow(score, "doc_id long, n_words long, share double, llr double, checked boolean, repetitive boolean")
 
 
 def unit_shares(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -58,6 +58,30 @@ def test_leaks(spark, most):
     assert CT.leaks(docs(spark, d), docs(spark, items, "item_id").limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("most", [1_000_000, 0])
+@pytest.mark.parametrize("share", [0.4, 1.0])
+def test_leaks_of_a_share_of_each_item(spark, most, share):
+    d, items = random_docs(2)
+    items = items + [(500 + k, " ".join(t.split()[:n])) for k, (_, t) in enumerate(d) if t and len(t.split()) > 90 for n in (30, 60, 90)]
+    got = {tuple(r) for r in CT.leaks(docs(spark, d), docs(spark, items, "item_id"), max_index=most, share=share).collect()}
+    want = set()
+    for i, t in items:
+        n = len(py_words(t or ""))
+        least = max(12, -(-int(share * 100) * n // 100))
+        runs = set(windows(t, least))
+        want |= {(k, i) for k, x in d if k is not None and runs & set(windows(x, least))}
+    assert want and got == want
+
+
+def test_containment_is_exact_and_estimated(spark):
+    d, items = random_docs(1)
+    got = {(r.doc_id, r.item_id): r for r in CT.scores(docs(spark, d), docs(spark, items, "item_id")).collect()}
+    for (k, i), r in got.items():
+        x, y = ({w for j, t in rows if j == key for w in windows(t, 5)} for rows, key in ((d, k), (items, i)))
+        assert abs(r.containment - len(x & y) / len(y)) < 1e-9 and 0 < r.estimate <= 1
+    assert got and abs(sum(r.estimate - r.containment for r in got.values())) / len(got) < 0.1
+
+
 def test_repetition(spark):
     d, _ = random_docs(2)
     got = {r.doc_id: r for r in RP.scores(docs(spark, d)).collect()}
@@ -75,16 +99,30 @@ def test_repetition(spark):
     assert units[2] == (0, 0) and abs(units[1][0] - 1 / 3) < 1e-9 and abs(units[3][1] - 1 / 3) < 1e-9
 
 
-def test_bound_of_the_ratio_is_safe():
+def test_bounds_of_the_ratio_are_safe():
     r = np.random.default_rng(0)
-    w = r.normal(0, 1, 2 * RP.BINS)
-    w[RP.BINS :] -= 3
-    limit = RP.bound(w)
-    for _ in range(200):
+    w = np.clip(r.normal(0, 0.3, 2 * RP.BINS), -RP.CLIP, RP.CLIP)
+    w[RP.BINS :] -= 2
+    low, high = RP.bounds(w)
+    for _ in range(300):
         n = r.integers(20, 100)
-        k = int(np.ceil(RP.SHARE * n))
+        k = r.integers(0, n + 1)
         score = (w[r.integers(RP.BINS, 2 * RP.BINS, k)].sum() + w[r.integers(0, RP.BINS, n - k)].sum()) / n
-        assert score <= limit
+        assert score <= high if k >= RP.SHARE * n else score >= low
+
+
+def test_the_ratio_decides(spark, monkeypatch):
+    monkeypatch.setattr(RP, "CLIP", 1.0)
+    r = random.Random(3)
+    word = lambda: f"w{r.randint(0, 60)}"
+    rows = []
+    for i in range(1500):
+        t = [word() for _ in range(60)]
+        rows.append((i, " ".join(t + t[: r.choice([0, 0, 5, 10, 30, 50, 60])] if i % 4 == 0 else t)))
+    rows += [(9000 + i, " ".join([word() for _ in range(40)] * 2)) for i in range(50)]
+    got = RP.scores(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    assert (got.repetitive == ((got.n_words >= 20) & (got.share >= 0.35))).all() and got.repetitive.any()
+    assert got.checked.mean() < 0.5 and (got.repetitive & ~got.checked).any()
 
 
 @pytest.mark.parametrize("seed", range(6))
