@@ -119,7 +119,7 @@ def test_the_ratio_decides(spark, monkeypatch):
     for i in range(1500):
         t = [word() for _ in range(60)]
         rows.append((i, " ".join(t + t[: r.choice([0, 0, 5, 10, 30, 50, 60])] if i % 4 == 0 else t)))
-    rows += [(9000 + i, " ".join([word() for _ in range(40)] * 2)) for i in range(50)]
+    rows += [(9000 + i, " ".join([word() for _ in range(40)] * 6)) for i in range(50)]
     got = RP.scores(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
     assert (got.repetitive == ((got.n_words >= 20) & (got.share >= 0.35))).all() and got.repetitive.any()
     assert got.checked.mean() < 0.5 and (got.repetitive & ~got.checked).any()
