@@ -2,28 +2,116 @@
 
 Each object is canonicalised bottom-up: its scalar fields as sorted JSON, each object below it replaced by that object's
 hash. Equal hashes mean equal subtrees, so an object is stored once however often it occurs; bridge rows (parent hash,
-field, ordinal, child hash) rebuild every tree, and occurrence rows keep every place of every object with its parent.
+field, ordinal, child hash) rebuild every tree; a record is the hashes of its roots. The elements of each record come
+from these tables: its root hash is followed through the bridge, which keeps every occurrence with its place and parent.
 
-Defined results: null, blank, cut-off or otherwise invalid bodies, bodies that are no object and bodies nested too deep
-for a JSON reader give no rows; of a repeated field name the last counts; repeated records keep their own occurrences;
-an unknown field is kept like any other; an array that is not named in ARRAYS is walked through, but its elements are
+A task counts equal objects and links before they are shuffled (HELD of them at a time), so an object that a third of all
+records share is a row for each task.
+
+Defined results: null, blank, cut-off or otherwise invalid bodies (NaN and Infinity are no JSON) and bodies that are no
+object give no rows, bodies of any depth are read; rows without an id are left out, repeated ids are records of their own;
+of a repeated field name the last counts; 1 and 1.0 are two values; an unknown field is kept like any other; an array that is not named in ARRAYS is walked through, but its elements are
 no elements in the sense of the result.
 """
 
 import hashlib
 import json
+import re
+from json.decoder import scanstring
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sangam.session import written
+from sangam.session import few, written
 
 # The fields that hold arrays of objects, and the roots that are flattened.
 ARRAYS = ("rules", "examples", "layers", "entries", "schemes", "fallbacks", "stages", "steps", "checks", "history", "notes")
 ROOTS = ("pipeline_config", "status")
 
-NODE = "rec_id long, root string, path string, parent_path string, owner_path string, field string, ordinal int, is_element boolean, hash string, owner_hash string, body string"
+#: kind 0: a record (a: hash of its configuration, b: of its status); 1: an object (a: hash, body); 2: a link (a: parent,
+#: b: child). n: how often a task met it.
+STORE = "kind int, rec_id long, job_id string, a string, b string, step string, field string, ordinal int, is_element boolean, body string, n long"
+#: Objects and links that a task holds before it writes them; links that are broadcast, beyond which they are joined.
+HELD, MAX_LINKS = 50_000, 200_000
+
+_blank = re.compile(r"[ \t\n\r]*")
+_number = re.compile(r"-?(?:0|[1-9]\d*)(?P<rest>(?:\.\d+)?(?:[eE][-+]?\d+)?)")
+_names = {"true": True, "false": False, "null": None}
+
+
+def _refuse(name):
+    raise ValueError(name)
+
+
+def read_json(text: str):
+    """The value of a JSON text of any depth; ValueError where it is none."""
+    try:
+        return json.loads(text, parse_constant=_refuse)
+    except RecursionError:
+        return _read_deep(text)
+    except ValueError as e:
+        if "Exceeds the limit" in str(e):  # of digits that Python makes a number of
+            return _read_deep(text)
+        raise
+
+
+def _read_deep(t: str):
+    """A reader with a stack of its own: [container, name of the field to come] of every open object and array."""
+    top: list = []
+    stack, want, i = [[top, None]], "value", 0
+    while True:
+        i = _blank.match(t, i).end()
+        c = t[i : i + 1]
+        box = stack[-1]
+        if want in ("first value", "value"):
+            if c == "]" and want == "first value":
+                stack.pop()
+                want, i = "next", i + 1
+                continue
+            new = None
+            if c in ("{", "["):
+                new, i = ({} if c == "{" else []), i + 1
+                value = new
+            elif c == '"':
+                value, i = scanstring(t, i + 1, True)
+            elif m := _number.match(t, i):
+                value, i = float(m.group()) if m["rest"] else int(m.group()) if len(m.group()) < 4000 else m.group(), m.end()
+            else:
+                name = next((n for n in _names if t.startswith(n, i)), None)
+                if name is None:
+                    raise ValueError(f"no value at {i}")
+                value, i = _names[name], i + len(name)
+            if isinstance(box[0], dict):
+                box[0][box[1]] = value
+            else:
+                box[0].append(value)
+            if new is not None:
+                stack.append([new, None])
+            want = "next" if new is None else "first name" if c == "{" else "first value"
+        elif want in ("first name", "name"):
+            if c == "}" and want == "first name":
+                stack.pop()
+                want, i = "next", i + 1
+                continue
+            if c != '"':
+                raise ValueError(f"no name at {i}")
+            box[1], i = scanstring(t, i + 1, True)
+            i = _blank.match(t, i).end()
+            if t[i : i + 1] != ":":
+                raise ValueError(f"no colon at {i}")
+            want, i = "value", i + 1
+        elif box[0] is top:
+            if i < len(t):
+                raise ValueError(f"more text at {i}")
+            return top[0]
+        elif c == ",":
+            want, i = ("name" if isinstance(box[0], dict) else "value"), i + 1
+        elif c == ("}" if isinstance(box[0], dict) else "]"):
+            stack.pop()
+            i += 1
+        else:
+            raise ValueError(f"no end at {i}")
 
 
 def locate_config(body: dict):
@@ -34,27 +122,26 @@ def locate_config(body: dict):
             if (c := o.get("pipeline_config")) is not None:
                 if isinstance(c, str):
                     try:
-                        c = json.loads(c)
-                    except (ValueError, RecursionError):
+                        c = read_json(c)
+                    except ValueError:
                         return None
                 return c if isinstance(c, dict) else None
         level = [v for o in level for v in o.values() if isinstance(v, dict)]
     return None
 
 
-def flatten(root: str, top: dict):
-    """Nodes of a tree, parents first: [owner index, path, element path, field, ordinal, is_element, object, children]."""
-    nodes = [[None, root, "$", root, 0, False, top, []]]
+def flatten(top: dict):
+    """Nodes of a tree, parents first: [owner index, step from the owner, field, ordinal, is_element, object, children]."""
+    nodes = [[None, "", "", 0, False, top, []]]
     k = 0
     while k < len(nodes):
-        _, path, above, _, _, is_element, obj, children = nodes[k]
-        inside = path if is_element else above
+        obj, children = nodes[k][5:]
         for name, value in obj.items():
             if isinstance(value, dict):
                 listed = name in ARRAYS
-                found = [(f"{path}.{name}[0]" if listed else f"{path}.{name}", 0, listed, value)]
+                found = [(f".{name}[0]" if listed else f".{name}", 0, listed, value)]
             elif isinstance(value, list):
-                found, todo = [], [(f"{path}.{name}", value, True)]
+                found, todo = [], [(f".{name}", value, True)]
                 while todo:
                     at, values, direct = todo.pop()
                     for i, x in enumerate(values):
@@ -64,92 +151,184 @@ def flatten(root: str, top: dict):
                             todo.append((f"{at}[{i}]", x, False))
             else:
                 continue
-            for p, i, e, x in found:
+            for step, i, e, x in found:
                 children.append(len(nodes))
-                nodes.append([k, p, inside, name, i, e, x, []])
+                nodes.append([k, step, name, i, e, x, []])
         k += 1
     return nodes
 
 
+def _dump(value, refs: dict) -> str:
+    """JSON of one object, {"$ref": hash} in the place of each object below it; own names that begin with $ get another $."""
+    out: list[str] = []
+    todo = [(False, value)]
+    while todo:
+        done, v = todo.pop()
+        if done:
+            out.append(v)
+        elif isinstance(v, dict) and v is not value:
+            out.append(f'{{"$ref":"{refs[id(v)]}"}}')
+        elif isinstance(v, (dict, list)):
+            parts = []
+            for n in sorted(v) if isinstance(v, dict) else range(len(v)):
+                parts += [(True, "," if parts else ""), (True, json.dumps("$" + n if n[:1] == "$" else n, ensure_ascii=False) + ":" if isinstance(v, dict) else ""), (False, v[n])]
+            todo += [(True, "]}"[isinstance(v, dict)]), *reversed(parts), (True, "[{"[isinstance(v, dict)])]
+        else:
+            out.append(json.dumps(v, ensure_ascii=False))
+    return "".join(out)
+
+
 def hashes(nodes) -> list[tuple[str, str]]:
     """(hash, canonical body) of each node; a body holds its children's hashes in their places."""
     out: list = [None] * len(nodes)
+    refs: dict[int, str] = {}
     for k in range(len(nodes) - 1, -1, -1):
-        obj, children = nodes[k][6], iter(nodes[k][7])
-        below: dict[int, list[str]] = {}
-        for c in children:
-            below.setdefault(id(nodes[c][6]), []).append(out[c][0])
-
-        def put(v):
-            if isinstance(v, dict):
-                return {"$ref": below[id(v)][0]}
-            return [put(x) for x in v] if isinstance(v, list) else v
-
-        body = json.dumps({n: put(v) for n, v in obj.items()}, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
-        out[k] = hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest(), body.encode("utf-8", "replace").decode()
+        obj = nodes[k][5]
+        if nodes[k][6] or any(isinstance(v, (dict, list)) or n[:1] == "$" for n, v in obj.items()):
+            body = _dump(obj, refs)
+        else:
+            body = json.dumps(obj, sort_keys=True, ensure_ascii=False, separators=(",", ":"))
+        refs[id(obj)] = h = hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+        out[k] = h, body
     return out
 
 
-def _rows(rec_id, text):
+def _plain(s: str) -> str:
+    """A text that Arrow takes: halves of surrogate pairs become ?."""
+    return s if s.isascii() else s.encode("utf-8", "replace").decode()
+
+
+def _rows(rec_id, job_id, text, objects: dict, links: dict):
+    """The record's row; its objects and links are counted in the two dicts."""
     try:
-        body = json.loads(text)
-    except (ValueError, RecursionError, TypeError):
-        return
+        body = read_json(text)
+    except ValueError:
+        return None
     if not isinstance(body, dict):
-        return
-    try:
-        for root, top in (("pipeline_config", locate_config(body)), ("status", body.get("status"))):
-            if isinstance(top, dict):
-                nodes = flatten(root, top)
-                hs = hashes(nodes)
-                for (owner, path, above, field, ordinal, element, _, _), (h, canon) in zip(nodes, hs):
-                    yield rec_id, root, path, above, nodes[owner][1] if owner is not None else None, field, ordinal, element, h, hs[owner][0] if owner is not None else None, canon
-    except RecursionError:
-        return
+        return None
+    roots = []
+    for top in (locate_config(body), body.get("status")):
+        if not isinstance(top, dict):
+            roots.append(None)
+            continue
+        nodes = flatten(top)
+        hs = hashes(nodes)
+        roots.append(hs[0][0])
+        for (owner, step, field, ordinal, element, _, _), (h, canon) in zip(nodes, hs):
+            o = objects.get(h)
+            if o is None:
+                o = objects[h] = [_plain(canon), 0]
+            o[1] += 1
+            if owner is not None:
+                key = hs[owner][0], h, step, field, ordinal, element
+                links[key] = links.get(key, 0) + 1
+    return (0, rec_id, job_id, *roots, None, None, None, None, None, 1) if any(roots) else None
 
 
-def occurrences(df: DataFrame, id_col: str = "rec_id", body_col: str = "body") -> DataFrame:
-    """One row per object of each record, with its path, its nearest enclosing element, its owner and its hash."""
+def occurrences(df: DataFrame, id_col: str = "rec_id", body_col: str = "body", job_col: str = "job_id") -> DataFrame:
+    """STORE rows of all records, written: every record, the objects and the links that its task met, each once with a count."""
+    types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
+    fields = [n.split() for n in STORE.split(", ")]
 
     def walk(batches):
+        objects: dict = {}
+        links: dict = {}
+
+        def batch(rows):
+            return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(list(zip(*rows)) or [[] for _ in fields], fields)], names=[n for n, _ in fields])
+
+        def held():
+            rows = [(1, None, None, h, None, None, None, None, None, b, n) for h, (b, n) in objects.items()]
+            rows += [(2, None, None, p, c, _plain(step), _plain(field), i, e, None, n) for (p, c, step, field, i, e), n in links.items()]
+            objects.clear()
+            links.clear()
+            return batch(rows)
+
         for b in batches:
-            rows = [r for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if t for r in _rows(i, t)]
-            cols = list(zip(*rows)) or [[] for _ in NODE.split(", ")]
-            types = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
-            yield pa.RecordBatch.from_arrays([pa.array(c, types[n.split()[1]]) for c, n in zip(cols, NODE.split(", "))], names=[n.split()[0] for n in NODE.split(", ")])
+            rows = []
+            for i, j, t in zip(*(b.column(k).to_pylist() for k in range(3))):
+                if t and (r := _rows(i, j, t, objects, links)):
+                    rows.append(r)
+                if len(objects) + len(links) > HELD:
+                    yield held()
+            yield batch(rows)
+        yield held()
 
-    return df.select(F.col(id_col).cast("long").alias("rec_id"), F.col(body_col).alias("body")).mapInArrow(walk, NODE)
+    job = F.col(job_col).cast("string") if job_col in df.columns else F.lit(None).cast("string")
+    return written(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rec_id"), job.alias("job_id"), F.col(body_col).alias("body")).mapInArrow(walk, STORE), "p2-store")
 
 
-def elements(occ: DataFrame) -> DataFrame:
+def elements(store: DataFrame) -> DataFrame:
     """(rec_id, path, parent_path) of the elements of arrays of objects.
 
-    Each record's root hash is expanded through the links between different objects, one level of nesting a round, so
-    the rows are as many rounds away as the deepest object lies; the walk gives no row by itself."""
-    step = F.expr("substring(path, length(owner_path) + 1)").alias("step")
-    met = written(occ.select(F.when(F.col("owner_hash").isNull(), F.col("rec_id")).alias("rec_id"), "root", F.col("owner_hash").alias("parent_hash"), step, "is_element", F.col("hash").alias("child_hash")), "p2-met")
-    links = written(met.where("parent_hash is not null").select("parent_hash", "step", "is_element", "child_hash").distinct(), "p2-links")
-    level = met.where("parent_hash is null").select("rec_id", F.col("root").alias("path"), F.lit("$").alias("inside"), F.col("child_hash").alias("hash"))
-    found = level.select("rec_id", "path", F.col("inside").alias("parent_path")).limit(0)
-    while True:
+    Each root hash is followed through the links. While the different links are few, which is counted, every task has them
+    all; beyond, the different roots are expanded by joins, a level of nesting a round, and then joined to their records.
+    """
+    links = store.where("kind = 2").groupBy("a", "b", "step").agg(F.max("is_element").alias("is_element"))
+    links = written(links, "p2-links")
+    each = F.explode(F.array(*[F.struct(F.lit(r).alias("root"), F.col(c).alias("hash")) for r, c in zip(ROOTS, "ab")])).alias("x")
+    roots = store.where("kind = 0").select("rec_id", each).select("rec_id", "x.root", "x.hash").where("hash is not null")
+    return _by_map(roots, links) if few(links, MAX_LINKS) else _by_levels(roots, links)
+
+
+def _by_map(roots: DataFrame, links: DataFrame) -> DataFrame:
+    below: dict[str, list] = {}
+    for parent, child, step, element in zip(*(c.to_pylist() for c in links.toArrow().columns)):
+        below.setdefault(parent, []).append((step, element, child))
+
+    def expand(batches):
+        size, rows = 0, []
+
+        def batch():
+            cols = list(zip(*rows)) or [[], [], []]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["rec_id", "path", "parent_path"])
+
+        for b in batches:
+            for rec, root, top in zip(*(b.column(k).to_pylist() for k in range(3))):
+                todo = [(root, "$", top)]
+                while todo:
+                    path, inside, h = todo.pop()
+                    for step, element, child in below.get(h, ()):
+                        at = path + step
+                        if element:
+                            rows.append((rec, at, inside))
+                            size += len(at)
+                        todo.append((at, at if element else inside, child))
+                    if size > 1 << 23:
+                        yield batch()
+                        size, rows = 0, []
+        yield batch()
+
+    return roots.select("rec_id", "root", "hash").mapInArrow(expand, "rec_id long, path string, parent_path string")
+
+
+def _by_levels(roots: DataFrame, links: DataFrame) -> DataFrame:
+    tops = roots.select("root", "hash").distinct()
+    level = tops.select(F.col("root"), F.col("hash").alias("top"), F.col("root").alias("path"), F.lit("$").alias("inside"), "hash")
+    found = []
+    while not level.isEmpty():
         path = F.concat("path", "step")
-        level = written(level.select("rec_id", "path", "inside", "hash").join(links, F.col("hash") == F.col("parent_hash")).select("rec_id", path.alias("path"), F.col("inside").alias("parent_path"), "is_element", F.when(F.col("is_element"), path).otherwise(F.col("inside")).alias("inside"), F.col("child_hash").alias("hash")), "p2-level")
-        if level.isEmpty():
-            return found
-        found = found.unionByName(level.where("is_element").select("rec_id", "path", "parent_path"))
+        level = level.select("root", "top", "path", "inside", "hash").join(links, F.col("hash") == F.col("a")).select("root", "top", path.alias("path"), F.col("inside").alias("parent_path"), F.when(F.col("is_element"), path).otherwise(F.col("inside")).alias("inside"), "is_element", F.col("b").alias("hash"))
+        level = written(level, "p2-level")
+        found.append(level.where("is_element").select("root", F.col("top").alias("hash"), "path", "parent_path"))
+    if not found:
+        return roots.select("rec_id", F.col("root").alias("path"), F.col("root").alias("parent_path")).limit(0)
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return roots.join(every, ["root", "hash"]).select("rec_id", "path", "parent_path")
 
 
-def objects(occ: DataFrame) -> DataFrame:
+def objects(store: DataFrame) -> DataFrame:
     """(hash, body, n_occurrences): each different object once."""
-    return occ.groupBy("hash").agg(F.first("body").alias("body"), F.count("*").alias("n_occurrences"))
+    return store.where("kind = 1").groupBy(F.col("a").alias("hash")).agg(F.max("body").alias("body"), F.sum("n").alias("n_occurrences"))
 
 
-def bridge(occ: DataFrame) -> DataFrame:
-    """(parent_hash, field, ordinal, child_hash, n_occurrences): the links between different objects."""
-    return occ.where("owner_hash is not null").groupBy(F.col("owner_hash").alias("parent_hash"), "field", "ordinal", F.col("hash").alias("child_hash")).agg(F.count("*").alias("n_occurrences"))
+def bridge(store: DataFrame) -> DataFrame:
+    """(parent_hash, step, field, ordinal, child_hash, n_occurrences): the links between different objects."""
+    return store.where("kind = 2").groupBy(F.col("a").alias("parent_hash"), "step", "field", "ordinal", F.col("b").alias("child_hash")).agg(F.sum("n").alias("n_occurrences"))
 
 
-def records(df: DataFrame, occ: DataFrame) -> DataFrame:
+def records(store: DataFrame) -> DataFrame:
     """(rec_id, job_id, config_hash, status_hash): one row per record that has either tree."""
-    roots = occ.where("owner_hash is null").groupBy("rec_id").agg(F.max(F.when(F.col("root") == "pipeline_config", F.col("hash"))).alias("config_hash"), F.max(F.when(F.col("root") == "status", F.col("hash"))).alias("status_hash"))
-    return df.select(F.col("rec_id").cast("long").alias("rec_id"), "job_id").join(roots, "rec_id")
+    return store.where("kind = 0").select("rec_id", "job_id", F.col("a").alias("config_hash"), F.col("b").alias("status_hash"))

@@ -523,4 +523,4 @@ def queries():
 
 
 def oracle_sql():
-    return {k: s for k, (_, s) in CATALOGUE.items() if s}
+    return {k: s for k, (_, s) in CATALOGUE.items() if s} | problems.oracle_sql()

@@ -231,10 +231,11 @@ def test_nested_round_trip(spark):
             return build(bodies[v["$ref"]]) if set(v) == {"$ref"} else {k: build(x) for k, x in v.items()}
         return [build(x) for x in v] if isinstance(v, list) else v
 
-    rec = {r.rec_id: r for r in nested.records(df, occ).collect()}
+    rec = {r.rec_id: r for r in nested.records(occ).collect()}
     assert build(bodies[rec[1].config_hash]) == body["config"]["pipeline_config"] and rec[1].config_hash == rec[7].config_hash
-    assert set(rec) == {1, 6, 7}
-    assert nested.occurrences(df.limit(0)).count() == 0
+    assert set(rec) == {1, 6, 7} and rec[1].job_id == "j"
+    empty = nested.occurrences(df.limit(0))
+    assert empty.count() == 0 and nested.elements(empty).count() == 0 and nested.objects(empty).count() == 0
 
 
 def test_small_statistics(spark):
@@ -293,16 +294,68 @@ def test_whole_composite_and_comparison(spark):
     assert abs(c["entropy"].change - two.entropy_change) < 1e-4 and abs(c["vocab_size"].change - two.vocab_change) < 1e-4
 
 
-def test_elements_come_from_the_objects(spark, monkeypatch):
+def plain_elements(rec_id, body):
+    """Elements by a plain walk, without hashes."""
+    out = []
+
+    def go(v, path, inside):
+        for name, x in v.items():
+            todo = [(f"{path}.{name}", x, True)] if isinstance(x, list) else [(f"{path}.{name}", [x], True)] if isinstance(x, dict) and name in nested.ARRAYS else []
+            if isinstance(x, dict) and not todo:
+                go(x, f"{path}.{name}", inside)
+            while todo:
+                at, xs, direct = todo.pop()
+                for i, y in enumerate(xs):
+                    if isinstance(y, list):
+                        todo.append((f"{at}[{i}]", y, False))
+                    elif isinstance(y, dict):
+                        element = direct and name in nested.ARRAYS
+                        if element:
+                            out.append((rec_id, f"{at}[{i}]", inside))
+                        go(y, f"{at}[{i}]", f"{at}[{i}]" if element else inside)
+
+    for root in nested.ROOTS:
+        if isinstance(body.get(root), dict):
+            go(body[root], root, "$")
+    return out
+
+
+@pytest.mark.parametrize("most", [0, nested.MAX_LINKS])
+def test_elements_come_from_the_objects(spark, monkeypatch, most):
+    import json
+
+    monkeypatch.setattr(nested, "MAX_LINKS", most)
     body = '{"pipeline_config": {"rules": [{"name": "a", "steps": [{"x": 1}, 5, {"x": 1}]}, {"name": "a", "steps": [{"x": 1}, 5, {"x": 1}]}], "grid": [[{"notes": {"y": 1}}], [{"notes": {"y": 1}}]]}, "status": {"history": [{"k": {"checks": [{}, {}]}}]}}'
-    df = spark.createDataFrame([(1, body), (2, body), (2, body), (3, "{"), (4, '{"status": {}}')], "rec_id long, body string")
+    rows = [(1, body), (2, body), (2, body), (3, "{"), (4, '{"status": {}}'), (5, '{"status": {"notes": [{"x": NaN}]}}'), (None, body)]
+    df = spark.createDataFrame(rows, "rec_id long, body string").withColumn("hash", F.lit("clash"))
     occ = nested.occurrences(df)
-    walked = occ.where("is_element").select("rec_id", "path", "parent_path")
-    got = nested.elements(occ)
-    assert got.count() == 33 and not got.exceptAll(walked).count() and not walked.exceptAll(got).count()
+    got = sorted(map(tuple, nested.elements(occ).collect()))
+    assert got == sorted(x for i in (1, 2, 2) for x in plain_elements(i, json.loads(body))) and len(got) == 33
+    assert {r.n_occurrences for r in nested.objects(occ).collect()} == {3, 6, 12} | {r.n_occurrences for r in nested.objects(occ).collect()}
     # without hashes that tell objects apart the rows are others
-    monkeypatch.setattr(nested, "written", lambda df, name: df.withColumn("parent_hash", F.lit("none")) if name == "p2-links" else df)
-    assert nested.elements(nested.occurrences(df)).count() == 0
+    assert nested.elements(occ.withColumn("a", F.when(F.col("kind") == 2, "none").otherwise(F.col("a")))).count() == 0
+
+
+def test_bodies_of_any_depth(spark):
+    deep = 12_000
+    body = '{"status": ' + '{"a": [' * deep + '{"steps": [{"x": "' + "9" * 10 + '"}]}' + "]}" * deep + ', "n": ' + "7" * 5000 + "}"
+    lists = '{"status": {"notes": [' + "[" * 50_000 + "]" * 50_000 + ', {"k": 1}]}}'
+    df = spark.createDataFrame([(1, body), (2, body[:-1]), (3, lists), (4, '{"status": {"notes": [{"\\ud800": 1}]}}')], "rec_id long, body string")
+    got = {(r.rec_id, r.path[-9:], r.parent_path) for r in nested.elements(nested.occurrences(df)).collect()}
+    assert got == {(1, ".steps[0]", "$"), (3, ".notes[1]", "$"), (4, ".notes[0]", "$")}
+
+
+@pytest.mark.parametrize("text", ['{"a": [1, -2.5e3, "x\\u0041\\"", true, null, {}, []], "a": {"b": "ü"}}', "[]", "  3 ", '"x"', '{"a" : [ ] , "b":[[1],[2,{"c":[]}]]}'])
+def test_the_deep_reader_reads_what_the_plain_one_does(text):
+    import json
+
+    assert nested._read_deep(text) == json.loads(text)
+    for cut in range(len(text.strip()) - 1):
+        with pytest.raises(ValueError):
+            json.loads(text[: cut + 1]) if text.strip()[:1] != "3" and json.loads(text) is not None else nested._read_deep("")
+        if text.strip()[:1] in '[{"':
+            with pytest.raises(ValueError):
+                nested._read_deep(text.strip()[: cut + 1])
 
 
 def test_pieces_from_asks_for_all_candidates(monkeypatch):
