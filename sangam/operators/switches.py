@@ -23,15 +23,39 @@ def labelled(text: Column, lex: Lexicons = DEFAULT, parity: bool = False) -> Col
     return F.transform(T.tokenize(text, parity), lambda t: F.struct(t.alias("tok"), F.when(T.is_content(t), T.language4(t, lex)).alias("lang")))
 
 
+def let(x: Column, body) -> Column:
+    """body(x), with x computed once however often it is named."""
+    return F.element_at(F.transform(F.array(x), body), 1)
+
+
+def _shifted(xs: Column, first: Column) -> Column:
+    """The elements one place later; the first place takes `first`."""
+    return F.concat(F.array(first), F.slice(xs, 1, F.greatest(F.size(xs) - 1, F.lit(0))))
+
+
+def _gaps(counting: Column, total: Column) -> Column:
+    """How many elements stand between each counting one and the next (or the end); counting: structs with their place `at`."""
+    ends = F.concat(F.slice(F.transform(counting, lambda k: k["at"]), 2, F.greatest(F.size(counting), F.lit(1))), F.array(total))
+    return F.zip_with(counting, F.slice(ends, 1, F.size(counting)), lambda k, e: e - k["at"] - 1)
+
+
 def _walk(items: Column, counts_as: Column | None, emit) -> Column:
-    """Fold over labelled tokens with the last label that counts; emit(token, last) gives an array of output tokens."""
-    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"))
+    """Output tokens of labelled tokens. emit(token, last) gives the array of output tokens of one that counts, from the label
+    of the one before it; all others pass. Each token is copied once, whatever the text's length."""
+    counts = lambda x: x["lang"].isNotNull() if counts_as is None else x["lang"].isNotNull() & (x["lang"] != counts_as)
 
-    def step(s, x):
-        counts = x["lang"].isNotNull() if counts_as is None else x["lang"].isNotNull() & (x["lang"] != counts_as)
-        return F.struct(F.concat(s["out"], emit(x, s["last"], counts)).alias("out"), F.when(counts, x["lang"]).otherwise(s["last"]).alias("last"))
+    def body(v):
+        plain = lambda a, n: F.transform(F.slice(v, a, n), lambda x: x["tok"])
+        placed = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("at"), x["tok"].alias("tok"), x["lang"].alias("lang"))), counts)
 
-    return F.aggregate(items, start, step, lambda s: s["out"])
+        def known(k):
+            last = _shifted(F.transform(k, lambda x: x["lang"]), F.lit(None).cast("string"))
+            each = F.zip_with(F.zip_with(k, last, lambda x, l: F.struct(x.alias("x"), l.alias("last"))), _gaps(k, F.size(v)), lambda x, g: F.concat(emit(x["x"], x["last"]), plain(x["x"]["at"] + 2, g)))
+            return F.when(F.size(k) > 0, F.concat(plain(F.lit(1), F.element_at(k, 1)["at"]), F.flatten(each))).otherwise(F.transform(v, lambda x: x["tok"]))
+
+        return let(placed, known)
+
+    return let(items, body)
 
 
 def _marker(form: tuple[str, str, str], a: Column, b: Column) -> Column:
@@ -50,11 +74,11 @@ def tag_tokens(text: Column, lex: Lexicons = DEFAULT, tag_unknown=True, tag_form
         a, _, b = form.partition("%s")
         return F.concat(F.lit(a), lang, F.lit(b)) if "%s" in form else F.lit("")
 
-    def emit(x, last, counts):
+    def emit(x, last):
         tagged = F.when(x["lang"].isNull() | ((x["lang"] == "UNK") & F.lit(not tag_unknown)), x["tok"]).otherwise(F.concat(side(before, x["lang"]), x["tok"], side(after, x["lang"])))
         if not insert_boundary_markers:
             return F.array(tagged)
-        return F.when(counts & last.isNotNull() & (last != x["lang"]), F.array(_marker(BOUNDARIES[boundary_format], last, x["lang"]), tagged)).otherwise(F.array(tagged))
+        return F.when(last.isNotNull() & (last != x["lang"]), F.array(_marker(BOUNDARIES[boundary_format], last, x["lang"]), tagged)).otherwise(F.array(tagged))
 
     return _walk(labelled(text, lex, parity), None, emit)
 
@@ -64,9 +88,9 @@ def encode_tokens(text: Column, lex: Lexicons = DEFAULT, strategy="special_token
     if strategy not in (*MARKERS, "generic"):
         raise ValueError(f"strategy {strategy!r} is none of {sorted([*MARKERS, 'generic'])}")
 
-    def emit(x, last, counts):
+    def emit(x, last):
         mark = _marker(MARKERS[strategy], last, x["lang"]) if directional_markers and strategy in MARKERS else F.lit(switch_marker)
-        return F.when(counts & last.isNotNull() & (last != x["lang"]), F.array(mark, x["tok"])).otherwise(F.array(x["tok"]))
+        return F.when(last.isNotNull() & (last != x["lang"]), F.array(mark, x["tok"])).otherwise(F.array(x["tok"]))
 
     clean = text if parity else F.regexp_replace(text, r"\s*(?:" + P.SWITCH_MARKER + ")", "")
     return _walk(labelled(clean, lex, parity), None if mark_unknown else F.lit("UNK"), emit)
@@ -84,29 +108,28 @@ def positions(df: DataFrame, id_col: str, text_col: str, lex: Lexicons = DEFAULT
     a change between content neighbours; run: length so far of the stretch in one label, which SKIP inherits.
     """
     skip = lambda t: T.is_punctuation(t) | t.rlike(P.DIGITS) | t.rlike("^(?:" + P.PROTECTED + ")$") | t.rlike(P.PROPER)
-    items = F.transform(T.tokenize(F.col(text_col)), lambda t: F.struct(t.alias("tok"), T.language4(t, lex).alias("lang4"), skip(t).alias("skip")))
-    start = F.struct(F.array().cast("array<struct<tok:string,lang:string,lang4:string,run:int>>").alias("out"), F.array().cast("array<int>").alias("edges"), F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(-1).alias("at"), F.lit(0).alias("n"), F.lit(0).alias("content"))
-
-    def step(s, x):
-        content = ~x["skip"]
-        change = F.coalesce(content & (s["last"] != x["lang4"]), F.lit(False))
-        run = F.when(~content, s["run"]).when(change | s["last"].isNull(), 1).otherwise(s["run"] + 1).cast("int")
-        row = F.struct(x["tok"].alias("tok"), F.when(content, x["lang4"]).otherwise("SKIP").alias("lang"), x["lang4"].alias("lang4"), run.alias("run"))
-        here = F.size(s["out"])
-        return F.struct(
-            F.concat(s["out"], F.array(row)).alias("out"),
-            F.when(change, F.concat(s["edges"], F.array(s["at"], here))).otherwise(s["edges"]).alias("edges"),
-            F.when(content, x["lang4"]).otherwise(s["last"]).alias("last"),
-            run.alias("run"),
-            F.when(content, here).otherwise(s["at"]).alias("at"),
-            (s["n"] + F.when(change, 1).otherwise(0)).alias("n"),
-            (s["content"] + F.when(content, 1).otherwise(0)).alias("content"),
-        )
-
-    walked = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.aggregate(items, start, step).alias("s"))
-    rows = walked.select("id", F.col("s.edges").alias("edges"), F.col("s.n").alias("switches"), F.col("s.content").alias("content"), F.posexplode("s.out").alias("pos", "x"))
-    near = F.exists("edges", lambda e: F.abs(e - F.col("pos")) <= window)
-    return rows.select("id", "pos", "x.tok", "x.lang", "x.lang4", near.alias("near"), "x.run", "switches", "content")
+    rows = df.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(T.tokenize(F.col(text_col)), lambda t: F.struct(t.alias("tok"), T.language4(t, lex).alias("lang4"), skip(t).alias("skip"))).alias("v"))
+    rows = rows.select("id", "v", F.filter(F.transform("v", lambda x, i: F.struct(i.alias("at"), x["lang4"].alias("lang"), x["skip"].alias("skip"))), lambda x: ~x["skip"]).alias("k"))
+    # each content token with the one before it; a change of label between them
+    before = _shifted(F.col("k"), F.lit(None))
+    rows = rows.select("id", "v", "k", F.zip_with("k", before, lambda x, b: F.struct(x["at"].alias("at"), b["at"].alias("prev"), F.coalesce(b["lang"] != x["lang"], F.lit(False)).alias("change"))).alias("c"))
+    starts = F.filter(F.transform("c", lambda x, j: F.when(x["change"] | (j == 0), j)), lambda j: j.isNotNull())
+    edges = F.array_distinct(F.flatten(F.transform(F.filter("c", lambda x: x["change"]), lambda x: F.array(x["prev"], x["at"]))))
+    rows = rows.select("id", "v", "k", starts.alias("s"), edges.alias("e"), F.size(F.filter("c", lambda x: x["change"])).alias("switches"), F.size("k").alias("content"))
+    # content tokens count up within their stretch, and what follows each of them has its count
+    lengths = F.zip_with("s", F.concat(F.slice("s", 2, F.greatest(F.size("s"), F.lit(1))), F.array(F.size("k"))), lambda a, b: b - a)
+    ups = F.flatten(F.transform(F.slice(lengths, 1, F.size("s")), lambda n: F.sequence(F.lit(1), n)))
+    runs = F.flatten(F.zip_with(ups, _gaps(F.col("k"), F.size("v")), lambda r, g: F.array_repeat(r, g + 1)))
+    lead = F.when(F.size("k") > 0, F.element_at("k", 1)["at"]).otherwise(F.size("v"))
+    # places between two edges are near if either edge is
+    to = lambda a, b, f: F.when(b > a, F.transform(F.sequence(a, F.greatest(b - 1, a)), f)).otherwise(F.array().cast("array<boolean>"))
+    n, m = F.size("v"), F.size("e")
+    inner = F.flatten(F.zip_with(F.slice("e", 1, F.greatest(m - 1, F.lit(0))), F.slice("e", 2, F.greatest(m, F.lit(1))), lambda a, b: to(a, b, lambda p: (p - a <= window) | (b - p <= window))))
+    near = F.when(m > 0, F.concat(to(F.lit(0), F.element_at("e", 1), lambda p: F.element_at("e", 1) - p <= window), inner, to(F.element_at("e", -1), n, lambda p: p - F.element_at("e", -1) <= window))).otherwise(F.array_repeat(F.lit(False), n))
+    rows = rows.select("id", "v", "switches", "content", F.concat(F.array_repeat(F.lit(0), lead), runs).alias("run"), near.alias("near"))
+    rows = rows.select("id", "switches", "content", F.posexplode(F.arrays_zip("v", "run", "near")).alias("pos", "x"))
+    v = F.col("x.v")
+    return rows.select("id", "pos", v["tok"].alias("tok"), F.when(v["skip"], "SKIP").otherwise(v["lang4"]).alias("lang"), v["lang4"].alias("lang4"), F.col("x.near").alias("near"), F.col("x.run").alias("run"), "switches", "content")
 
 
 def document_switches(df: DataFrame, id_col: str, text_col: str, lex: Lexicons = DEFAULT) -> DataFrame:
@@ -134,18 +157,25 @@ def context_multiplier(langs: Column, boundary=1.5, stable=0.7, unknown=1.0) ->
     """X-6a for an array of labels: the nearest known label on either side differs (boundary), both agree (stable), or
     there is none to tell; unknown tokens themselves take `unknown`."""
 
-    def known_before(items):
-        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(None).cast("string").alias("last"))
-        step = lambda s, x: F.struct(F.concat(s["out"], F.array(s["last"])).alias("out"), F.when(x != "UNK", x).otherwise(s["last"]).alias("last"))
-        return F.aggregate(items, start, step, lambda s: s["out"])
 
-    sides = F.zip_with(known_before(langs), F.reverse(known_before(F.reverse(langs))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    def known(v):
+        placed = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("at"), x.alias("lang"))), lambda x: x["lang"] != "UNK")
+
+        def sides(k):
+            langs = F.transform(k, lambda x: x["lang"])
+            after = F.concat(F.slice(langs, 2, F.greatest(F.size(k), F.lit(1))), F.array(F.lit(None).cast("string")))
+            pairs = F.zip_with(_shifted(langs, F.lit(None).cast("string")), F.slice(after, 1, F.size(k)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+
+            def one(x, s):
+                a, b = s["a"], s["b"]
+                return F.when((a.isNotNull() & (a != x)) | (b.isNotNull() & (b != x)), boundary).when((a == x) & (b == x), stable).otherwise(unknown)
+
+            each = F.zip_with(F.zip_with(langs, pairs, one), _gaps(k, F.size(v)), lambda m, g: F.concat(F.array(m), F.array_repeat(F.lit(unknown), g)))
+            return F.when(F.size(k) > 0, F.concat(F.array_repeat(F.lit(unknown), F.element_at(k, 1)["at"]), F.flatten(each))).otherwise(F.array_repeat(F.lit(unknown), F.size(v)))
 
-    def one(x, s):
-        a, b = s["a"], s["b"]
-        return F.when(x == "UNK", unknown).when((a.isNotNull() & (a != x)) | (b.isNotNull() & (b != x)), boundary).when((a == x) & (b == x), stable).otherwise(unknown)
+        return let(placed, sides)
 
-    return F.zip_with(langs, sides, one)
+    return let(langs, known)
 
 
 def transitions(df: DataFrame, text_col: str, lex: Lexicons = DEFAULT) -> DataFrame:
