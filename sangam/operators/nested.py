@@ -3,10 +3,12 @@
 Each object is canonicalised bottom-up: its scalar fields as sorted JSON, each object below it replaced by that object's
 hash. Equal hashes mean equal subtrees, so an object is stored once however often it occurs; bridge rows (parent hash,
 field, ordinal, child hash) rebuild every tree; a record is the hashes of its roots. The elements of each record come
-from these tables: its root hash is followed through the bridge, which keeps every occurrence with its place and parent.
+from the bridge: its root hash is followed through the links, which keep every occurrence with its place and parent.
 
-A task counts equal objects and links before they are shuffled (HELD of them at a time), so an object that a third of all
-records share is a row for each task.
+A task stores what its records hold, HELD objects and links at a time, and `found` follows their root hashes through that
+store, so nothing is shuffled. `occurrences` writes the stores of all tasks, each object and link once for a task and with
+its count, so that one that a third of all records share is a row for each task; `objects`, `bridge` and `records` are the
+tables of the whole, and `elements` has the elements from them, where the bodies are no longer at hand.
 
 Defined results: null, blank, cut-off or otherwise invalid bodies (NaN and Infinity are no JSON) and bodies that are no
 object give no rows, bodies of any depth are read; rows without an id are left out, repeated ids are records of their own;
@@ -34,6 +36,7 @@ ROOTS = ("pipeline_config", "status")
 STORE = "kind int, rec_id long, job_id string, a string, b string, step string, field string, ordinal int, is_element boolean, body string, n long"
 #: Objects and links that a task holds before it writes them; links that are broadcast, beyond which they are joined.
 HELD, MAX_LINKS = 50_000, 200_000
+FOUND = "rec_id long, path string, parent_path string"
 
 _blank = re.compile(r"[ \t\n\r]*")
 _number = re.compile(r"-?(?:0|[1-9]\d*)(?P<rest>(?:\.\d+)?(?:[eE][-+]?\d+)?)")
@@ -258,6 +261,58 @@ def occurrences(df: DataFrame, id_col: str = "rec_id", body_col: str = "body", j
     return written(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rec_id"), job.alias("job_id"), F.col(body_col).alias("body")).mapInArrow(walk, STORE), "p2-store")
 
 
+def expanded(roots, below: dict, limit: int = 1 << 23):
+    """FOUND batches of (record, root, hash) rows, followed through below: hash to (step, is_element, child hash)."""
+    size, rows = 0, []
+
+    def batch():
+        cols = list(zip(*rows)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["rec_id", "path", "parent_path"])
+
+    for rec, root, top in roots:
+        todo = [(root, "$", top)]
+        while todo:
+            path, inside, h = todo.pop()
+            for step, element, child in below.get(h, ()):
+                at = path + step
+                if element:
+                    rows.append((rec, at, inside))
+                    size += len(at)
+                if child in below:
+                    todo.append((at, at if element else inside, child))
+            if size > limit:
+                yield batch()
+                size, rows = 0, []
+    yield batch()
+
+
+def found(df: DataFrame, id_col: str = "rec_id", body_col: str = "body") -> DataFrame:
+    """(rec_id, path, parent_path) of the elements of arrays of objects of each record, through the store of its task."""
+
+    def walk(batches):
+        objects: dict = {}
+        links: dict = {}
+        tops: list = []
+
+        def held():
+            below: dict = {}
+            for parent, child, step, _, _, element in links:
+                below.setdefault(parent, []).append((_plain(step), element, child))
+            yield from expanded(tops, below)
+            for x in (objects, links, tops):
+                x.clear()
+
+        for b in batches:
+            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if t and (r := _rows(i, None, t, objects, links)):
+                    tops += [(i, root, h) for root, h in zip(ROOTS, r[3:5]) if h]
+                if len(objects) + len(links) + len(tops) > HELD:
+                    yield from held()
+        yield from held()
+
+    return df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("rec_id"), F.col(body_col).alias("body")).mapInArrow(walk, FOUND)
+
+
 def elements(store: DataFrame) -> DataFrame:
     """(rec_id, path, parent_path) of the elements of arrays of objects.
 
@@ -277,29 +332,10 @@ def _by_map(roots: DataFrame, links: DataFrame) -> DataFrame:
         below.setdefault(parent, []).append((step, element, child))
 
     def expand(batches):
-        size, rows = 0, []
-
-        def batch():
-            cols = list(zip(*rows)) or [[], [], []]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["rec_id", "path", "parent_path"])
-
         for b in batches:
-            for rec, root, top in zip(*(b.column(k).to_pylist() for k in range(3))):
-                todo = [(root, "$", top)]
-                while todo:
-                    path, inside, h = todo.pop()
-                    for step, element, child in below.get(h, ()):
-                        at = path + step
-                        if element:
-                            rows.append((rec, at, inside))
-                            size += len(at)
-                        todo.append((at, at if element else inside, child))
-                    if size > 1 << 23:
-                        yield batch()
-                        size, rows = 0, []
-        yield batch()
-
-    return roots.select("rec_id", "root", "hash").mapInArrow(expand, "rec_id long, path string, parent_path string")
+            yield from expanded(zip(*(b.column(k).to_pylist() for k in range(3))), below)
+
+    return roots.select("rec_id", "root", "hash").mapInArrow(expand, FOUND)
 
 
 def _by_levels(roots: DataFrame, links: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from sangam.session import table
 
 
 def p2_found(spark, sf):
-    return nested.elements(nested.occurrences(table(spark, sf, "job_records")))
+    return nested.found(table(spark, sf, "job_records"))
 
 
 def p2_objects(spark, sf):
