@@ -1,10 +1,10 @@
 """Model-side metrics without a model: labels, nearest centroids, classification reports (C-1, C-6, C-7, C-9)."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .metrics import dot, norm
+from .metrics import norm
 
 # Label names and ids.
 LABELS = {"negative": 0, "neutral": 1, "positive": 2}
@@ -51,21 +51,38 @@ MAX_LABELS = 10_000
 def leave_one_out(df: DataFrame, id_col: str, vec_col: str, label_col: str) -> DataFrame:
     """C-7: (id, true_label, pred_label): the nearest class centroid by cosine, a row's own vector taken out of its class.
 
-    Class sums are one row per label; ties go to the lower label; a class left empty is skipped; without any class the
-    prediction is null.
+    Class sums are one row per label, bounded by MAX_LABELS, and go to the tasks as one matrix; every row keeps its own result,
+    also where ids repeat. Ties go to the lower label; a class left empty is skipped; without any class the prediction is null.
     """
-    rows = df.where(F.col(label_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("y"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
-    per = rows.select("y", F.posexplode("v").alias("d", "x")).groupBy("y", "d").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
-    sums = per.groupBy("y").agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("s"), F.max("n").alias("n")).select(F.col("y").alias("c"), F.transform("s", lambda x: x["s"]).alias("s"), "n")
-    if sums.limit(MAX_LABELS + 1).count() > MAX_LABELS:
+    rows = df.where(F.col(label_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(label_col).alias("true_label"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    per = rows.select("true_label", F.posexplode("v").alias("d", "x")).groupBy("true_label", "d").agg(F.sum("x").alias("s"), F.count("*").alias("n"))
+    sums = per.groupBy("true_label").agg(F.array_sort(F.collect_list(F.struct("d", "s"))).alias("s"), F.max("n").alias("n")).limit(MAX_LABELS + 1).collect()
+    if len(sums) > MAX_LABELS:
         raise ValueError(f"more than {MAX_LABELS} labels")
-    own = F.col("y") == F.col("c")
-    k = F.col("n") - F.when(own, 1).otherwise(0)
-    proto = F.when(own, F.zip_with("s", "v", lambda a, b: a - b)).otherwise(F.col("s"))
-    scored = rows.join(F.broadcast(sums)).where(k > 0).withColumn("p", F.transform(proto, lambda x: x)).withColumn("k", k)
-    cos = (dot("v", "p") / F.col("k")) / (norm("v") * norm("p") / F.col("k") + 1e-8)
-    best = scored.select("id", "y", "c", cos.alias("score")).groupBy("id", "y").agg(F.max_by("c", F.struct(F.col("score"), (-F.col("c")).alias("low"))).alias("pred_label"))
-    return best.select("id", F.col("y").alias("true_label"), "pred_label")
+    sums.sort(key=lambda r: r.true_label)
+    names, count = [r.true_label for r in sums], np.array([r.n for r in sums], float)
+    total = np.array([[x.s for x in r.s] for r in sums])
+    place = {y: k for k, y in enumerate(names)}
+
+    def nearest(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            y = np.array([place[v] for v in b.column(1).to_pylist()])
+            x = np.array(b.column(2).to_pylist())
+            at, length = np.arange(len(y)), np.sqrt((x * x).sum(1))
+            scores = (x @ total.T / count) / (length[:, None] * np.sqrt((total * total).sum(1)) / count + 1e-8)
+            p, k = total[y] - x, count[y] - 1
+            with np.errstate(invalid="ignore", divide="ignore"):
+                scores[at, y] = np.where(k > 0, ((x * p).sum(1) / k) / (length * np.sqrt((p * p).sum(1)) / k + 1e-8), -np.inf)
+            best = scores.argmax(1)
+            pred = [names[c] if scores[i, c] > -np.inf else None for i, c in enumerate(best)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(pred, b.schema.field(1).type)], names=["id", "true_label", "pred_label"])
+
+    kind = rows.schema["true_label"].dataType.simpleString()
+    return rows.mapInArrow(nearest, f"id {rows.schema['id'].dataType.simpleString()}, true_label {kind}, pred_label {kind}")
 
 
 def top_rows(df: DataFrame, id_col: str, k: int) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sangam.functions import tokens as T
 from sangam.functions.lexicon import DEFAULT, Lexicons
+from sangam.session import written
 
 EPS = 1e-12
 
@@ -51,13 +52,52 @@ def fertility(df: DataFrame, id_col: str, text_col: str, lex: Lexicons = DEFAULT
     return rows.select(id_col, *keep, n("EN").alias("n_en"), n("HI").alias("n_hi")).withColumn("h_f", balance_entropy(F.col("n_en"), F.col("n_hi")))
 
 
-def distribution(x: str) -> list[Column]:
-    """M-14: count, mean, median, deviation and variance of the population, corrected skewness and kurtosis."""
+def quantiles(values: DataFrame, x: str, at: list[float], most: int = 100_000, bins: int = 4096) -> list[float | None]:
+    """Exact quantiles with linear interpolation, without gathering the values: each pass counts `bins` ranges between two
+    values that the wanted one lies between, until at most `most` rows are left there, which are then sorted.
+
+    values: a written table; null and NaN do not count."""
+    x_ = F.col(x).cast("double")
+    rows = values.select(x_.alias("x")).where("x is not null and not isnan(x)")
+    total = rows.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not total.n:
+        return [None] * len(at)
+
+    def nth(k: int) -> float:
+        lo, hi, n = total.lo, total.hi, total.n
+        while lo < hi and n > most:
+            part = rows.where(F.col("x").between(lo, hi))
+            step = (hi - lo) / bins
+            # where doubles are too close for ranges there are few of them
+            key = F.least(F.floor((F.col("x") - lo) / step), F.lit(bins - 1)) if step > 1e-300 else F.col("x")
+            got = sorted((r.a, r.b, r.n) for r in part.groupBy(key.alias("k")).agg(F.min("x").alias("a"), F.max("x").alias("b"), F.count("*").alias("n")).collect())
+            for a, b, c in got:
+                if k < c:
+                    break
+                k -= c
+            if len(got) == 1 and (a, b) == (lo, hi):
+                return float(lo if k == 0 else hi) if n == 2 else sorted(r.x for r in part.groupBy("x").count().collect())[0]
+            lo, hi, n = a, b, c
+        return float(lo) if lo == hi else sorted(r.x for r in rows.where(F.col("x").between(lo, hi)).collect())[k]
+
+    out = []
+    for q in at:
+        place = q * (total.n - 1)
+        k = math.floor(place)
+        a = nth(k)
+        out.append(a if place == k else a + (nth(k + 1) - a) * (place - k))
+    return out
+
+
+def describe(df: DataFrame, x: str) -> DataFrame:
+    """M-14, one row: count, mean, median, deviation and variance of the population, corrected skewness and kurtosis."""
+    rows = written(df.select(F.col(x).cast("double").alias(x)), "m14-values")
     n, c = F.count(x), F.col(x)
     g1, g2 = F.skewness(c), F.kurtosis(c)
     skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1.0)) / (n - 2.0))
     kurt = F.when(n > 3, (n - 1.0) / ((n - 2.0) * (n - 3.0)) * ((n + 1.0) * g2 + 6.0))
-    return [n.alias("n"), F.avg(c).alias("mean"), F.percentile(c, F.lit(0.5)).alias("median"), F.stddev_pop(c).alias("std"), F.var_pop(c).alias("var"), skew.alias("skew"), kurt.alias("kurtosis")]
+    (median,) = quantiles(rows, x, [0.5])
+    return rows.agg(n.alias("n"), F.avg(c).alias("mean"), F.lit(median).cast("double").alias("median"), F.stddev_pop(c).alias("std"), F.var_pop(c).alias("var"), skew.alias("skew"), kurt.alias("kurtosis"))
 
 
 def histogram(df: DataFrame, x: str, lo: float, hi: float, bins: int) -> DataFrame:
@@ -135,7 +175,9 @@ def stability(df: DataFrame, a: str, b: str) -> DataFrame:
     """M-8 over pairs of vectors: cosine, euclidean and angular distance."""
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (norm(a) * norm(b) + EPS)))
     pairs = df.select(cos.alias("c"), F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x)).alias("e"))
-    return pairs.agg(F.count("*").alias("n"), F.avg("c").alias("mean_cosine"), F.percentile("c", F.lit(0.5)).alias("median_cosine"), F.stddev_pop("c").alias("std_cosine"), F.min("c").alias("min_cosine"), F.max("c").alias("max_cosine"), F.avg("e").alias("mean_euclidean"), F.avg(F.acos("c")).alias("mean_angular"))
+    pairs = written(pairs, "m8-pairs")
+    (median,) = quantiles(pairs, "c", [0.5])
+    return pairs.agg(F.count("*").alias("n"), F.avg("c").alias("mean_cosine"), F.lit(median).cast("double").alias("median_cosine"), F.stddev_pop("c").alias("std_cosine"), F.min("c").alias("min_cosine"), F.max("c").alias("max_cosine"), F.avg("e").alias("mean_euclidean"), F.avg(F.acos("c")).alias("mean_angular"))
 
 
 def centroids(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
@@ -160,6 +202,32 @@ def cohesion(df: DataFrame, vec_col: str, label_col: str) -> DataFrame:
     return s.select("label", "n", F.when(F.col("n") > 1, (F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1.0))).alias("cohesion"))
 
 
+def sum_arrays(df: DataFrame, by: list[str], col: str, salts: int = 32) -> DataFrame:
+    """Element-wise sums of equally long arrays; a row per partition and group goes in, an array per group comes out.
+
+    Two rounds, the first by salted groups; each adds up as rows come and holds one array for each group."""
+
+    def add(batches):
+        import pyarrow as pa
+
+        totals: dict = {}
+        types = None
+        for b in batches:
+            types = [b.schema.field(i).type for i in range(len(by))]
+            values = b.column(len(by))
+            flat, off = values.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(np.diff(values.offsets.to_numpy())))
+            for i, k in enumerate(zip(*(b.column(j).to_pylist() for j in range(len(by))))):
+                v = flat[off[i] : off[i + 1]]
+                totals[k] = totals[k] + v if k in totals else v.copy()
+        if totals:
+            yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*totals), types)), pa.array([v.tolist() for v in totals.values()], pa.list_(pa.float64()))], names=[*by, col])
+
+    rows = df.select(*by, col)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    salted = rows.withColumn("salt", F.pmod(F.spark_partition_id(), F.lit(salts))).repartition("salt", *by).select(*by, col)
+    return salted.mapInArrow(add, schema).repartition(*by).mapInArrow(add, schema)
+
+
 def covariance(df: DataFrame, vec_col: str) -> tuple[np.ndarray, int]:
     """Covariance (ddof 1) by partial sums in the tasks: one d x d matrix per partition reaches the final sum."""
 
@@ -176,14 +244,14 @@ def covariance(df: DataFrame, vec_col: str) -> tuple[np.ndarray, int]:
             g = x1.T @ x1 if g is None else g + x1.T @ x1
         if g is not None:
             n = g.shape[0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(n), n), pa.int32()), pa.array(np.tile(np.arange(n), n), pa.int32()), pa.array(g.ravel())], names=["i", "j", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(n), pa.int32()), pa.ListArray.from_arrays(pa.array(np.arange(0, n * n + 1, n), pa.int32()), pa.array(g.ravel()))], names=["i", "v"])
 
-    got = df.where(F.col(vec_col).isNotNull()).select(vec_col).mapInArrow(sums, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+    rows = df.where(F.col(vec_col).isNotNull()).select(vec_col).mapInArrow(sums, "i int, v array<double>")
+    got = sum_arrays(rows, ["i"], "v").toArrow()
     if not got.num_rows:
         return np.zeros((0, 0)), 0
-    n = int(max(got.column("i").to_pylist())) + 1
-    g = np.zeros((n, n))
-    g[got.column("i").to_numpy(), got.column("j").to_numpy()] = got.column("v").to_numpy()
+    g = np.zeros((got.num_rows, got.num_rows))
+    g[got.column("i").to_numpy()] = np.array(got.column("v").to_pylist())
     rows, total = int(round(g[-1, -1])), g[-1, :-1]
     c = (g[:-1, :-1] - np.outer(total, total) / rows) / max(rows - 1, 1)
     return (c + c.T) / 2, rows
@@ -210,10 +278,10 @@ def tfidf_terms(df: DataFrame, text_col: str, max_features: int = 20000, pattern
     """(term, df, n, idf): the max_features most frequent terms with smoothed idf."""
     toks = F.regexp_extract_all(F.lower(F.col(text_col)), F.lit(pattern), F.lit(0))
     docs = df.select(F.coalesce(toks, F.array().cast("array<string>")).alias("w"))
-    n = docs.agg(F.count("*").alias("n_docs"))
-    per = docs.select(F.monotonically_increasing_id().alias("d"), "w").select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    all_ = docs.select(F.explode("w").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    terms = all_.orderBy(F.desc("n"), "term").limit(max_features).join(per, "term")
+    n = df.agg(F.count("*").alias("n_docs"))
+    # one pass: each occurrence, and each different term of a text once more
+    each = F.concat(F.transform("w", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("df"))), F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("df"))))
+    terms = docs.select(F.explode(each).alias("x")).groupBy("x.term").agg(F.sum("x.n").alias("n"), F.sum("x.df").alias("df")).orderBy(F.desc("n"), "term").limit(max_features)
     return terms.join(F.broadcast(n)).select("term", "df", "n", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
 
 
@@ -266,79 +334,117 @@ def compare(old: dict, new: dict) -> dict:
     return {k: (new[k] - old[k]) / abs(old[k]) * 100 if old.get(k) and new.get(k) is not None else None for k in old}
 
 
-def bootstrap_mean(df: DataFrame, x: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """M-16: mean with a 95 % interval by the Poisson bootstrap: each row draws its own weights, so nothing is gathered."""
+_POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(16)])
+
+
+def _weights(ids: np.ndarray, rounds: int, seed: int) -> np.ndarray:
+    """(rounds, rows): Poisson(1) weights that follow from each row's id alone, however the rows are partitioned."""
+    mix, k = np.uint64(0x9E3779B97F4A7C15), np.arange(1, rounds + 1, dtype=np.uint64)[:, None]
+    with np.errstate(over="ignore"):
+        h = ids.view(np.uint64)[None] * np.uint64(0xD6E8FEB86659FD93) + k * mix + np.uint64(seed)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+    return np.searchsorted(_POISSON, (h >> np.uint64(11)).astype(float) * 2.0**-53, "right")
+
+
+def bootstrap_mean(df: DataFrame, x: str, rounds: int = 1000, seed: int = 0, id_col: str | None = None) -> DataFrame:
+    """M-16: mean with a 95 % interval by the Poisson bootstrap: each row draws its own weights, so nothing is gathered.
+
+    The weights follow from the row's id; without id_col, from its place in the table as it is read."""
+    own = F.xxhash64(id_col) if id_col else F.monotonically_increasing_id()
 
     def sums(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        r = np.random.default_rng([seed, TaskContext.get().partitionId()])
         s, n = np.zeros(rounds), np.zeros(rounds)
         for b in batches:
-            v = b.column(0).to_numpy(zero_copy_only=False).astype(float)
-            v = v[~np.isnan(v)]
-            for part in np.array_split(v, max(1, len(v) // 1000)):
-                w = r.poisson(1.0, (rounds, len(part)))
-                s += w @ part
+            v, ids = b.column(0).to_numpy(zero_copy_only=False).astype(float), b.column(1).to_numpy(zero_copy_only=False)
+            ok = ~np.isnan(v)
+            v, ids = v[ok], ids[ok]
+            for i in range(0, len(v), 1000):
+                w = _weights(ids[i : i + 1000], rounds, seed)
+                s += w @ v[i : i + 1000]
                 n += w.sum(1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(rounds), pa.int32()), pa.array(s), pa.array(n)], names=["k", "s", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([np.concatenate([s, n]).tolist()], pa.list_(pa.float64()))], names=["k", "v"])
 
-    m = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double")).mapInArrow(sums, "k int, s double, n double").groupBy("k").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
+    rows = df.where(F.col(x).isNotNull()).select(F.col(x).cast("double"), own.alias("id")).mapInArrow(sums, "k int, v array<double>")
+    halves = F.transform(F.sequence(F.lit(1), F.lit(rounds)), lambda i: F.try_divide(F.get("v", i - 1), F.get("v", i + rounds - 1)))
+    m = sum_arrays(rows, ["k"], "v").select(F.explode(halves).alias("m"))
     point = df.agg(F.avg(x).alias("mean"), F.count(x).alias("n"))
     return m.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high")).join(point).select("mean", "low", "high", "n")
 
 
-def silhouette(df: DataFrame, vec_col: str, label_col: str, block: int = 2000, most: int = 20_000) -> float | None:
-    """M-11, euclidean and exact: every vector against all vectors in blocks. Refuses more than `most` vectors, for which
-    the squared form of ML's evaluator is meant. None where labels are fewer than two."""
-    rows = df.where(F.col(label_col).isNotNull() & F.col(vec_col).isNotNull()).select(vec_col, label_col).limit(most + 1).toPandas()
-    if len(rows) > most:
-        raise ValueError(f"more than {most} vectors")
-    y = rows[label_col].to_numpy()
-    names, code = np.unique(y, return_inverse=True)
-    if len(names) < 2 or len(rows) <= len(names):
+def silhouette(df: DataFrame, vec_col: str, label_col: str, block: int = 4000) -> float | None:
+    """M-11, euclidean and exact: every vector against all vectors. These are sent to the tasks in blocks of about `block`
+    vectors, one pass over the table for each, in which every row adds up its distances by label; so memory is bounded for
+    any table, while the work is quadratic by nature. None where labels are fewer than two, or none has two vectors."""
+    rows = df.where(F.col(label_col).isNotNull() & F.col(vec_col).isNotNull()).select(F.col(label_col).alias("y"), F.transform(vec_col, lambda x: x.cast("double")).alias("v"))
+    size = {r.y: r.n for r in rows.groupBy("y").agg(F.count("*").alias("n")).limit(10_001).collect()}
+    n = sum(size.values())
+    if len(size) > 10_000:
+        raise ValueError("more than 10,000 labels")
+    if len(size) < 2 or n <= len(size):
         return None
-    x = np.array(rows[vec_col].tolist(), float)
-    size = np.bincount(code)
-    onehot = np.eye(len(names))[code]
-    total = []
-    for i in range(0, len(x), block):
-        d = np.sqrt(np.maximum(((x[i : i + block, None] - x[None]) ** 2).sum(-1), 0)) if len(x) <= 500 else np.sqrt(np.maximum((x[i : i + block] ** 2).sum(1)[:, None] + (x**2).sum(1) - 2 * x[i : i + block] @ x.T, 0))
-        s = d @ onehot
-        own = code[i : i + block]
-        k = np.arange(len(own))
-        a = s[k, own] / np.maximum(size[own] - 1, 1)
-        s = s / size
-        s[k, own] = np.inf
-        b = s.min(1)
-        total.append(np.where(size[own] > 1, (b - a) / np.maximum(a, b), 0.0))
-    return float(np.concatenate(total).mean())
-
-
-def centroid_bootstrap(df: DataFrame, vec_col: str, label_col: str, a, b, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """M-10: the distance between the centroids of two labels with a 95 % interval, by the Poisson bootstrap."""
+    names = sorted(size)
+    code = F.create_map(*[F.lit(x) for k, y in enumerate(names) for x in (y, k)])
+    blocks = -(-n // block)
+    start = F.array_repeat(F.lit(0.0), len(names))
+    state = written(rows.select(code[F.col("y")].alias("c"), "v", F.pmod(F.xxhash64("v", F.monotonically_increasing_id()), F.lit(blocks)).alias("b"), start.alias("s")), "m11-rows")
+    first = state
+    for k in range(blocks):
+        part = first.where(F.col("b") == k).select("c", "v").toArrow()
+        if not part.num_rows:
+            continue
+        x, onehot = np.array(part.column("v").to_pylist()), np.eye(len(names))[part.column("c").to_numpy()]
+
+        def add(batches, x=x, onehot=onehot):
+            import pyarrow as pa
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                v, s = np.array(b.column(1).to_pylist()), np.array(b.column(3).to_pylist())
+                for i in range(0, len(v), 500):
+                    own = v[i : i + 500]
+                    d = np.sqrt(np.maximum((own**2).sum(1)[:, None] + (x**2).sum(1) - 2 * own @ x.T, 0))
+                    near = d < 1e-6 * (1 + np.abs(own).max())  # cancellation: these few are computed as they are defined
+                    for r, c in zip(*np.nonzero(near)):
+                        d[r, c] = np.sqrt(((own[r] - x[c]) ** 2).sum())
+                    s[i : i + 500] += d @ onehot
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(s.tolist(), pa.list_(pa.float64()))], names=["c", "v", "b", "s"])
+
+        state = written(state.mapInArrow(add, "c int, v array<double>, b long, s array<double>"), "m11-rows")
+    counts = F.array(*[F.lit(size[y]) for y in names])
+    mine = F.get(counts, F.col("c"))
+    a = F.get("s", F.col("c")) / (mine - 1)
+    other = F.array_min(F.transform("s", lambda t, i: F.when(i != F.col("c"), t / F.get(counts, i))))
+    score = F.when(mine > 1, F.try_divide(F.col("o") - F.col("a"), F.greatest("a", "o"))).otherwise(0.0)
+    return state.select("c", F.when(mine > 1, a).alias("a"), other.alias("o")).select(F.coalesce(score, F.lit(0.0)).alias("x")).agg(F.avg("x")).first()[0]
+
+
+def centroid_bootstrap(df: DataFrame, vec_col: str, label_col: str, a, b, rounds: int = 1000, seed: int = 0, id_col: str | None = None) -> DataFrame:
+    """M-10: the distance between the centroids of two labels with a 95 % interval, by the Poisson bootstrap (weights as in
+    bootstrap_mean). Each task gives one array for each label and round."""
+    own = F.xxhash64(id_col) if id_col else F.monotonically_increasing_id()
 
     def sums(batches):
         import pyarrow as pa
-        from pyspark import TaskContext
 
-        r = np.random.default_rng([seed, TaskContext.get().partitionId()])
-        s, n = {}, {}
+        total: dict = {}
         for batch in batches:
-            x, y = np.array(batch.column(0).to_pylist(), float), np.array(batch.column(1).to_pylist())
+            x, y, ids = np.array(batch.column(0).to_pylist(), float), np.array(batch.column(1).to_pylist()), batch.column(2).to_numpy(zero_copy_only=False)
             for side, label in enumerate((a, b)):
-                own = x[y == label] if len(x) else x
-                for part in np.array_split(own, max(1, len(own) // 1000)) if len(own) else ():
-                    w = r.poisson(1.0, (rounds, len(part)))
-                    s[side] = s.get(side, 0) + w @ part
-                    n[side] = n.get(side, 0) + w.sum(1)
-        for side in s:
-            d = s[side].shape[1]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(rounds * d, side), pa.int32()), pa.array(np.repeat(np.arange(rounds), d), pa.int32()), pa.array(np.tile(np.arange(d), rounds), pa.int32()), pa.array(s[side].ravel()), pa.array(np.repeat(n[side].astype(float), d))], names=["side", "k", "d", "s", "n"])
-
-    rows = df.where(F.col(vec_col).isNotNull() & F.col(label_col).isin(a, b)).select(vec_col, label_col)
-    g = rows.mapInArrow(sums, "side int, k int, d int, s double, n double").groupBy("side", "k", "d").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("v"))
-    both = g.groupBy("k", "d").agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("a"), F.max(F.when(F.col("side") == 1, F.col("v"))).alias("b"))
-    dist = both.groupBy("k").agg(F.sqrt(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))).alias("crd"))
+                at = np.flatnonzero(y == label) if len(x) else ()
+                for i in range(0, len(at), 1000):
+                    w = _weights(ids[at[i : i + 1000]], rounds, seed)
+                    total[side] = total.get(side, 0) + np.hstack([w @ x[at[i : i + 1000]], w.sum(1)[:, None]])
+        for side, t in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(rounds, side), pa.int32()), pa.array(np.arange(rounds), pa.int32()), pa.array(t.tolist(), pa.list_(pa.float64()))], names=["side", "k", "v"])
+
+    rows = df.where(F.col(vec_col).isNotNull() & F.col(label_col).isin(a, b)).select(vec_col, label_col, own.alias("id"))
+    g = sum_arrays(rows.mapInArrow(sums, "side int, k int, v array<double>"), ["side", "k"], "v")
+    g = g.select("side", "k", F.transform(F.slice("v", 1, F.size("v") - 1), lambda x: F.try_divide(x, F.element_at("v", -1))).alias("m"))
+    both = g.where("side = 0").select("k", F.col("m").alias("p")).join(g.where("side = 1").select("k", F.col("m").alias("q")), "k")
+    dist = both.select(norm(F.zip_with("p", "q", lambda x, y: x - y)).alias("crd"))
     return dist.agg(F.percentile("crd", F.lit(0.025)).alias("low"), F.percentile("crd", F.lit(0.975)).alias("high"), F.avg("crd").alias("mean"))

@@ -158,24 +158,24 @@ def context_multiplier(langs: Column, boundary=1.5, stable=0.7, unknown=1.0) ->
     there is none to tell; unknown tokens themselves take `unknown`."""
 
 
-    def known(v):
-        placed = F.filter(F.transform(v, lambda x, i: F.struct(i.alias("at"), x.alias("lang"))), lambda x: x["lang"] != "UNK")
+    def placed(v):
+        return F.struct(F.size(v).alias("n"), F.filter(F.transform(v, lambda x, i: F.struct(i.alias("at"), x.alias("lang"))), lambda x: x["lang"] != "UNK").alias("k"))
 
-        def sides(k):
-            langs = F.transform(k, lambda x: x["lang"])
-            after = F.concat(F.slice(langs, 2, F.greatest(F.size(k), F.lit(1))), F.array(F.lit(None).cast("string")))
-            pairs = F.zip_with(_shifted(langs, F.lit(None).cast("string")), F.slice(after, 1, F.size(k)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    # one after the other, not one inside the other: Spark takes no Python function out of nested functions
+    def sides(s):
+        n, k = s["n"], s["k"]
+        langs = F.transform(k, lambda x: x["lang"])
+        after = F.concat(F.slice(langs, 2, F.greatest(F.size(k), F.lit(1))), F.array(F.lit(None).cast("string")))
+        pairs = F.zip_with(_shifted(langs, F.lit(None).cast("string")), F.slice(after, 1, F.size(k)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
 
-            def one(x, s):
-                a, b = s["a"], s["b"]
-                return F.when((a.isNotNull() & (a != x)) | (b.isNotNull() & (b != x)), boundary).when((a == x) & (b == x), stable).otherwise(unknown)
+        def one(x, p):
+            a, b = p["a"], p["b"]
+            return F.when((a.isNotNull() & (a != x)) | (b.isNotNull() & (b != x)), boundary).when((a == x) & (b == x), stable).otherwise(unknown)
 
-            each = F.zip_with(F.zip_with(langs, pairs, one), _gaps(k, F.size(v)), lambda m, g: F.concat(F.array(m), F.array_repeat(F.lit(unknown), g)))
-            return F.when(F.size(k) > 0, F.concat(F.array_repeat(F.lit(unknown), F.element_at(k, 1)["at"]), F.flatten(each))).otherwise(F.array_repeat(F.lit(unknown), F.size(v)))
+        each = F.zip_with(F.zip_with(langs, pairs, one), _gaps(k, n), lambda m, g: F.concat(F.array(m), F.array_repeat(F.lit(unknown), g)))
+        return F.when(F.size(k) > 0, F.concat(F.array_repeat(F.lit(unknown), F.element_at(k, 1)["at"]), F.flatten(each))).when(k.isNotNull(), F.array_repeat(F.lit(unknown), n))
 
-        return let(placed, sides)
-
-    return let(langs, known)
+    return let(let(langs, placed), sides)
 
 
 def transitions(df: DataFrame, text_col: str, lex: Lexicons = DEFAULT) -> DataFrame:

@@ -51,7 +51,7 @@ def r6(c, name=None):
 
 @query(f"WITH {Q.FERTILITY} SELECT count(h_f) AS n, round(avg(h_f), 6) AS mean, round(median(h_f), 6) AS median, round(stddev_pop(h_f), 6) AS std, round(var_pop(h_f), 6) AS var, round(skewness(h_f), 6) AS skew, round(kurtosis(h_f), 6) AS kurtosis FROM hf")
 def fertility_entropy_mean(spark, sf):
-    d = M.fertility(docs(spark, sf), "doc_id", "text").agg(*M.distribution("h_f"))
+    d = M.describe(M.fertility(docs(spark, sf), "doc_id", "text"), "h_f")
     return d.select("n", *[r6(c) for c in d.columns[1:]])
 
 
@@ -432,7 +432,7 @@ def _measured(pairs, v, out_col, vec_col):
     mi = lambda c: one(M.term_label_mi(pairs, c, "y").agg(F.avg("mi").alias("m")))["m"]
     before, after = mi("text"), mi(out_col)
     x = {"entropy": one(M.token_entropy(pairs, out_col))["entropy"], "vocab_size": one(M.vocabulary_size(pairs, out_col))["vocab_size"], "mi": after}
-    x |= {f"fertility_{k}": n for k, n in one(M.fertility(pairs, "out_id", out_col).agg(*M.distribution("h_f"))).items()}
+    x |= {f"fertility_{k}": n for k, n in one(M.describe(M.fertility(pairs, "out_id", out_col), "h_f")).items()}
     x |= one(M.retention_corpus(pairs, "text", out_col).select("mean_ratio", "spri"))
     spectral = one(M.spectrum(v, vec_col))
     x |= {k: spectral.get(k) for k in ("spectral_entropy", "condition_number", "decay")}
@@ -500,12 +500,12 @@ def switch_stats(spark, sf):
 @query()
 def centroid_bootstrap(spark, sf):
     """All vectors, on two sides as in composite_score."""
-    return M.centroid_bootstrap(vectors(spark, sf).withColumn("k", F.col("label") % 2), "embedding", "k", 0, 1)
+    return M.centroid_bootstrap(vectors(spark, sf).withColumn("k", F.col("label") % 2), "embedding", "k", 0, 1, id_col="vec_id")
 
 
 @query()
 def bootstrap_h_f(spark, sf):
-    return M.bootstrap_mean(M.fertility(docs(spark, sf), "doc_id", "text"), "h_f")
+    return M.bootstrap_mean(M.fertility(docs(spark, sf), "doc_id", "text"), "h_f", id_col="doc_id")
 
 
 @query()

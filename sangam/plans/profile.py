@@ -43,8 +43,8 @@ def profile(df: DataFrame, id_col: str, orig_col: str, proc_col: str, label_col:
         for k, c in (("before", orig_col), ("after", proc_col)):
             h = M.fertility(df, id_col, c, lex)
             words = df.select(F.explode(F.transform(T.split_words(F.col(c), lower=False), lambda t: T.language3(t, lex))).alias("lang"))
-            r[k] = _one(h.agg(*M.distribution("h_f"))) | {"histogram": [x.n for x in M.histogram(h, "h_f", 0.0, 1.0, 10).orderBy("bin").collect()], "languages": {x.lang: x["count"] for x in words.groupBy("lang").count().collect()}}
-        return r | {"bootstrap": _one(M.bootstrap_mean(h, "h_f"))}
+            r[k] = _one(M.describe(h, "h_f")) | {"histogram": [x.n for x in M.histogram(h, "h_f", 0.0, 1.0, 10).orderBy("bin").collect()], "languages": {x.lang: x["count"] for x in words.groupBy("lang").count().collect()}}
+        return r | {"bootstrap": _one(M.bootstrap_mean(h, "h_f", id_col=id_col))}
 
     def retention():
         return _one(M.retention_corpus(df, orig_col, proc_col, lex)) | {"bootstrap": _one(M.bootstrap_mean(M.retention(df, orig_col, proc_col, lex), "ratio"))}

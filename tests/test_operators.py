@@ -259,6 +259,46 @@ def test_summary_with_an_encoder(spark):
     assert r["accuracy"] == 1.0 and r["n"] == 10 and r["macro_f1"] == 1.0
 
 
+def test_quantiles_are_exact_however_few_rows_are_sorted(spark):
+    r = np.random.default_rng(5)
+    for x in (r.normal(size=3000), np.repeat([1.0, 2.0, 3.0], 700), np.append(r.integers(0, 5, 999), 1e300), np.array([4.0]), np.array([1.0, np.nextafter(1.0, 2)] * 30)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "x double").repartition(3)
+        for most in (1, 100_000):
+            got = M.quantiles(df, "x", [0.0, 0.25, 0.5, 0.999, 1.0], most, 7)
+            assert np.allclose(got, np.quantile(x, [0.0, 0.25, 0.5, 0.999, 1.0]), rtol=1e-12)
+    assert M.quantiles(df.limit(0), "x", [0.5]) == [None]
+
+
+def test_silhouette_in_blocks(spark):
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(120, 3)) + 1.5 * (np.arange(120) % 3)[:, None], np.arange(120) % 3
+    x[3], y[3] = x[0], y[0]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    want = []
+    for i in range(120):
+        same = (y == y[i]) & (np.arange(120) != i)
+        a, b = d[i, same].mean(), min(d[i, y == c].mean() for c in set(y) - {y[i]})
+        want.append((b - a) / max(a, b))
+    df = spark.createDataFrame([([float(v) for v in a], int(b)) for a, b in zip(x, y)], "v array<double>, y int").repartition(3)
+    for block in (17, 4000):
+        assert abs(M.silhouette(df, "v", "y", block) - np.mean(want)) < 1e-9
+    assert M.silhouette(df.where("y = 1"), "v", "y") is None and M.silhouette(df.limit(0), "v", "y") is None
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    df = spark.createDataFrame([(i, float(i % 7)) for i in range(500)], "i long, x double")
+    a, b = (M.bootstrap_mean(df.repartition(n), "x", 200, id_col="i").first() for n in (1, 5))
+    assert np.allclose(a, b) and a.low < 3 < a.high and abs(a.high - a.low - 4 * 2 / 500**0.5) < 0.15
+
+
+def test_leave_one_out_keeps_repeated_ids(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0], 0), (1, [0.9, 0.1], 0), (1, [0.0, 1.0], 1), (2, [1.0, 0.1], 1)], "i long, v array<double>, y int")
+    got = sorted(tuple(r) for r in C.leave_one_out(df, "i", "v", "y").collect())
+    assert len(got) == 4 and [t for i, t, _ in got if i == 1] == [0, 0, 1]
+    assert C.leave_one_out(df.limit(1), "i", "v", "y").first().pred_label is None
+    assert C.leave_one_out(df.limit(0), "i", "v", "y").count() == 0
+
+
 def test_centroid_bootstrap(spark):
     x = np.random.default_rng(1).normal(size=(60, 3)) + np.repeat([[0, 0, 0], [2, 0, 0]], 30, axis=0)
     df = spark.createDataFrame([([float(v) for v in r], i // 30) for i, r in enumerate(x)], "v array<double>, y int")
@@ -274,7 +314,7 @@ def test_centroid_bootstrap_covers_the_table(spark):
     crd = M.centroid_distance(v, "embedding", "k").first().euclidean
     b = catalogue.queries()["centroid_bootstrap"](spark, sf).first()
     assert b.low < b.mean < b.high
-    want = M.centroid_bootstrap(v, "embedding", "k", 0, 1).first()
+    want = M.centroid_bootstrap(v, "embedding", "k", 0, 1, id_col="vec_id").first()
     assert abs(b.mean - want.mean) < 1e-6 and b.low < crd * 1.5 and b.high > crd
 
 
@@ -331,9 +371,22 @@ def test_elements_come_from_the_objects(spark, monkeypatch, most):
     occ = nested.occurrences(df)
     got = sorted(map(tuple, nested.elements(occ).collect()))
     assert got == sorted(x for i in (1, 2, 2) for x in plain_elements(i, json.loads(body))) and len(got) == 33
+    assert sorted(map(tuple, nested.found(df).collect())) == got
     assert {r.n_occurrences for r in nested.objects(occ).collect()} == {3, 6, 12} | {r.n_occurrences for r in nested.objects(occ).collect()}
     # without hashes that tell objects apart the rows are others
     assert nested.elements(occ.withColumn("a", F.when(F.col("kind") == 2, "none").otherwise(F.col("a")))).count() == 0
+    nodes = nested.flatten(json.loads(body)["status"])
+    hs = [h for h, _ in nested.hashes(nodes)]
+    assert len(set(hs)) == 4 and hs[-1] == hs[-2]  # the two empty checks are one object
+
+
+def test_elements_are_the_same_whatever_a_task_holds(spark, monkeypatch):
+    monkeypatch.setattr(nested, "HELD", 3)
+    rows = [(i, '{"status": {"history": [{"k": %d}, {"notes": {"x": 1}}]}}' % (i % 3)) for i in range(20)]
+    df = spark.createDataFrame(rows, "rec_id long, body string")
+    got = sorted(map(tuple, nested.found(df).collect()))
+    assert len(got) == 60 and got == sorted(map(tuple, nested.elements(nested.occurrences(df)).collect()))
+    assert nested.found(df.limit(0)).count() == 0
 
 
 def test_bodies_of_any_depth(spark):
@@ -341,7 +394,7 @@ def test_bodies_of_any_depth(spark):
     body = '{"status": ' + '{"a": [' * deep + '{"steps": [{"x": "' + "9" * 10 + '"}]}' + "]}" * deep + ', "n": ' + "7" * 5000 + "}"
     lists = '{"status": {"notes": [' + "[" * 50_000 + "]" * 50_000 + ', {"k": 1}]}}'
     df = spark.createDataFrame([(1, body), (2, body[:-1]), (3, lists), (4, '{"status": {"notes": [{"\\ud800": 1}]}}')], "rec_id long, body string")
-    got = {(r.rec_id, r.path[-9:], r.parent_path) for r in nested.elements(nested.occurrences(df)).collect()}
+    got = {(r.rec_id, r.path[-9:], r.parent_path) for r in nested.found(df).collect()}
     assert got == {(1, ".steps[0]", "$"), (3, ".notes[1]", "$"), (4, ".notes[0]", "$")}
 
 
