@@ -77,6 +77,11 @@ def language3(tok: Column, lex: Lexicons = DEFAULT) -> Column:
     return F.when(has_devanagari(t), "HI").when(t.isin(sorted(lex.hindi)), "HI").when(t.isin(sorted(lex.english)), "EN").when(t.rlike(P.ALPHA) & t.rlike("|".join(CLUES)), "HI").otherwise("UNK")
 
 
+def is_hindi(t: Column, lex: Lexicons = DEFAULT) -> Column:
+    """T-5: whether a token is Hindi in either script; false for null."""
+    return F.coalesce(language4(t, lex).isin("HI_DEV", "HI_ROM"), F.lit(False))
+
+
 def reconstruct(tokens: Column) -> Column:
     """Tokens as a text: closing signs and quotes attach to the left, opening brackets to the right."""
     before = F.concat(F.array(F.lit(None).cast("string")), F.slice(tokens, 1, F.greatest(F.size(tokens) - 1, F.lit(0))))

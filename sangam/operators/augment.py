@@ -14,7 +14,7 @@ from sangam.functions import patterns as P
 from sangam.functions import tokens as T
 from sangam.functions.lexicon import DEFAULT, REPLACEMENTS, Lexicons
 
-from .switches import context_multiplier
+from .switches import context_multiplier, density as switch_rate, document_switches
 
 
 def switch_density(labels) -> float:
@@ -109,6 +109,29 @@ def augmentation_stats(out: DataFrame, text_col: str = "text") -> DataFrame:
     return a.withColumn("augmentation_yield", F.when(F.col("originals") > 0, F.col("variants") / F.col("originals")).otherwise(0.0))
 
 
+def replacement_stats(df: DataFrame, out: DataFrame, id_col: str, text_col: str = "text", output_col: str = "processed_text", n_augments: int = 1, lex: Lexicons = DEFAULT, replacement_lexicon: dict | None = None) -> DataFrame:
+    """G-9 whole, one row: eligible texts and tokens, generated and skipped variants, replaced tokens, mean densities of
+    switches before and after, and the rates. out: what augment gave for df."""
+    words = sorted(k.lower() for k in (REPLACEMENTS if replacement_lexicon is None else replacement_lexicon))
+    skip = lambda t: T.is_punctuation(t) | t.rlike(P.DIGITS) | t.rlike("^(?:" + P.PROTECTED + ")$") | t.rlike(P.PROPER)
+    toks = T.tokenize(T.nfkc(F.col(text_col)))
+    n = F.size(F.filter("t", lambda t: ~skip(t) & (T.language4(t, lex) == "EN") & F.lower(t).isin(words)))
+    texts = df.select(toks.alias("t")).select(F.coalesce(F.when(n >= 0, n), F.lit(0)).alias("n"))
+    a = texts.agg(F.count_if(F.col("n") > 0).alias("eligible_texts"), F.coalesce(F.sum("n"), F.lit(0)).alias("eligible_tokens"))
+    made = out.where("is_augmented").select(toks.alias("t"), T.tokenize(F.col(output_col)).alias("u"))
+    changed = F.size(F.filter(F.zip_with("t", "u", lambda x, y: ~x.eqNullSafe(y)), lambda x: x))
+    b = made.select(changed.alias("c")).agg(F.count("*").alias("generated"), F.coalesce(F.sum("c"), F.lit(0)).alias("replaced_tokens"))
+
+    def dens(rows, col, name):
+        d = document_switches(rows.withColumn("__n", F.monotonically_increasing_id()), "__n", col, lex)
+        return d.agg(F.avg(switch_rate(F.col("switches"), F.col("content"))).alias(name))
+
+    r = a.join(b).join(dens(out.where("is_augmented"), text_col, "density_before")).join(dens(out.where("is_augmented"), output_col, "density_after"))
+    r = r.withColumn("skipped", F.col("eligible_texts") * n_augments - F.col("generated"))
+    rate = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    return r.withColumn("replacement_rate", rate(F.col("replaced_tokens"), F.col("eligible_tokens") * n_augments)).withColumn("augmentation_yield", rate(F.col("generated"), F.col("eligible_texts") * n_augments))
+
+
 def split_by_hash(word: str, r: random.Random) -> list[str]:
     """A piece sampler that needs no model: cuts at random places. A SentencePiece model gives its own (see pieces_from)."""
     cuts = sorted(r.sample(range(1, len(word)), min(len(word) - 1, 1 + r.randrange(2)))) if len(word) > 1 else []
@@ -195,3 +218,12 @@ def proxy_sprc(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
     per = tokens.groupBy(id_col).applyInPandas(group, "n_sp long, s_sp double, n_other long, s_other double")
     a = per.agg(F.count("*").alias("n_texts"), F.sum("n_sp").alias("n_switch"), F.sum("n_other").alias("n_other"), (F.sum("s_sp") / F.sum("n_sp")).alias("at_switch"), (F.sum("s_other") / F.sum("n_other")).alias("elsewhere"))
     return a.withColumn("proxy_sprc", F.col("at_switch") - F.col("elsewhere"))
+
+
+def spac(tokens: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """M-19: the former name of proxy_sprc, with its value once more as spac_score."""
+    import warnings
+
+    warnings.warn("spac is proxy_sprc now", DeprecationWarning, stacklevel=2)
+    r = proxy_sprc(tokens, id_col)
+    return r.withColumn("spac_score", F.col("proxy_sprc"))

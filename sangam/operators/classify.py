@@ -122,6 +122,61 @@ def encode(df: DataFrame, text_col: str, encoder, output_col: str = "vector") ->
     return df.withColumn(output_col, run(F.col(text_col)))
 
 
+# The encoders that results are reported for, by key: display name and model name.
+ENCODERS = {
+    "xlmr": ("XLM-R", "xlm-roberta-base"),
+    "muril": ("MuRIL", "google/muril-base-cased"),
+    "nllb": ("NLLB", "facebook/nllb-200-distilled-600M"),
+    "indicbert": ("IndicBERT", "ai4bharat/indic-bert"),
+    "mbert": ("mBERT", "bert-base-multilingual-cased"),
+}
+
+
+class Encoders:
+    """C-10, C-11, P-12: encoders by key, loaded when first asked for and once per process. loader: (model name) to an encoder, a
+    function from texts to vectors; nothing is fetched by itself. It may be sent to workers, each of which loads its own."""
+
+    _loaded: dict = {}
+
+    def __init__(self, loader, registry: dict | None = None):
+        self.loader, self.registry = loader, dict(registry or ENCODERS)
+
+    def _key(self, key: str):
+        if key not in self.registry:
+            raise KeyError(f"{key!r} is none of {sorted(self.registry)}")
+        return self.registry[key][1], getattr(self.loader, "__qualname__", repr(self.loader))
+
+    def get(self, key: str):
+        k = self._key(key)
+        if k not in Encoders._loaded:
+            Encoders._loaded[k] = self.loader(k[0])
+        return Encoders._loaded[k]
+
+    def unload(self, key: str | None = None) -> None:
+        for k in [self._key(key)] if key else [self._key(x) for x in self.registry]:
+            Encoders._loaded.pop(k, None)
+
+    def status(self) -> dict[str, bool]:
+        return {x: self._key(x) in Encoders._loaded for x in self.registry}
+
+    def encoder(self, key: str):
+        """The encoder as a function that loads itself where it runs, for encode() and EmbeddingCache."""
+        self._key(key)
+        return lambda texts: self.get(key)(texts)
+
+
+def evaluate_texts(df: DataFrame, text_col: str, encoder) -> DataFrame:
+    """C-8: each row with n_tokens, n_chars, has_switch_marker, vector, its norm, mean and deviation; a null text has 0 tokens and no vector."""
+    from sangam.functions import tokens as T
+
+    t = F.col(text_col)
+    toks = T.split_words(F.coalesce(t, F.lit("")), lower=False)
+    rows = encode(df, text_col, encoder).withColumn("n_tokens", F.size(toks)).withColumn("n_chars", F.coalesce(F.length(t), F.lit(0))).withColumn("has_switch_marker", has_switch_marker(toks))
+    mean = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x) / F.size("vector")
+    rows = rows.withColumn("norm", norm("vector")).withColumn("mean", F.when(F.size("vector") > 0, mean))
+    return rows.withColumn("std", F.when(F.size("vector") > 0, F.sqrt(F.aggregate("vector", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean"))) / F.size("vector"))))
+
+
 def summarize(df: DataFrame, id_col: str, text_col: str, encoder, sample_limit: int = 1000) -> dict:
     """C-9: averages over the first sample_limit rows by id, and the report of leave-one-out centroids on coerced labels."""
     rows = encode(top_rows(df, id_col, sample_limit), text_col, encoder)

@@ -1,5 +1,7 @@
 """All queries of the core, by the name under which they are run, and their SQL. A dict entry is (query, SQL or none)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from sangam.functions import patterns as P
@@ -15,8 +17,9 @@ from sangam.plans import pipeline as PL
 from sangam.plans import problems
 from sangam.plans import sqltext as Q
 from sangam.plans.profile import profile  # noqa: F401  (part of the surface)
-from sangam.session import shuffle_width, spread, table, written
+from sangam.session import shared_dir, shuffle_width, spread, table, written
 from sangam.sources import cache, corpora, lexicons
+from sangam.streaming import texts as ST
 
 CATALOGUE: dict = {}
 
@@ -198,10 +201,39 @@ def balanced_map(spark, sf):
     return distinct_tokens(spark, sf).select("tok", N.balanced(F.col("tok"), targets).alias("canonical"))
 
 
-@query(f"SELECT doc_id, {Q.cap_runs('text')} AS capped FROM documents WHERE text IS NOT NULL")
+@query(f"SELECT doc_id, {Q.cap_all_runs('text')} AS capped FROM documents WHERE text IS NOT NULL")
 def repetition_cap(spark, sf):
-    capped = F.regexp_replace("text", r"([A-Za-z])\1{2,}", "$1$1")
-    return docs(spark, sf).where("text is not null").select("doc_id", capped.alias("capped"))
+    return docs(spark, sf).where("text is not null").select("doc_id", N.cap_runs(F.col("text")).alias("capped"))
+
+
+@query(f"WITH {Q.spelled(Q.PHONETIC)}")
+def phonetic_texts(spark, sf):
+    return N.process(docs(spark, sf).where("text is not null").select("doc_id", "text"), N.phonetic, normalized=True).select("doc_id", "processed_text")
+
+
+@query(f"WITH {Q.spelled(Q.LANGUAGE_AWARE)}")
+def language_aware_texts(spark, sf):
+    return N.process(docs(spark, sf).where("text is not null").select("doc_id", "text"), N.language_aware, normalized=True).select("doc_id", "processed_text")
+
+
+@query(f"WITH {Q.spelled(Q.BALANCED)}")
+def balanced_texts(spark, sf):
+    """The spelling of the lexicon by joins, as for a lexicon of any size."""
+    return lexicons.balanced_texts(docs(spark, sf).where("text is not null").select("doc_id", "text"), "doc_id", table(spark, sf, "lexicon")).select("doc_id", "processed_text")
+
+
+@query(f"WITH {Q.hier()} SELECT doc_id, count(*) FILTER (lang4 IN ('HI_DEV', 'HI_ROM')) AS n_hindi FROM hier GROUP BY doc_id")
+def hindi_tokens(spark, sf):
+    t = docs(spark, sf).select("doc_id", F.explode(T.tokenize(F.col("text"))).alias("tok"))
+    return t.groupBy("doc_id").agg(F.count_if(T.is_hindi(F.col("tok"))).alias("n_hindi"))
+
+
+@query(f"WITH {Q.hier()}, e AS (SELECT DISTINCT lower(trim(roman)) AS word FROM lexicon WHERE trim(roman) <> '') SELECT (lower(tok) IN (SELECT word FROM e) AND length(tok) >= 2) AS is_english, count(*) AS n FROM hier GROUP BY 1")
+def word_list_join(spark, sf):
+    """The join with a word list that is a table; here the keys of the lexicon stand for it."""
+    words = table(spark, sf, "lexicon").select(F.lower(F.trim("roman")).alias("word")).where("word <> ''").distinct()
+    t = docs(spark, sf).select(F.explode(T.tokenize(F.col("text"))).alias("tok"))
+    return lexicons.english_flags(t, "tok", words, 2).groupBy("is_english").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {Q.hier()}, o AS (SELECT doc_id, pos, CASE WHEN content THEN '<' || lang4 || '>' || tok || '</' || lang4 || '>' ELSE tok END AS o FROM hier), {Q.rebuilt('o')} SELECT d.doc_id, coalesce(t, '') AS tagged FROM documents d LEFT JOIN rebuilt USING (doc_id) WHERE d.text IS NOT NULL")
@@ -289,6 +321,25 @@ for _n in PL.PRESETS:
     _preset(_n)
 
 
+@query("""SELECT * FROM (VALUES ('balanced_tokenization', 'TRANSFORMATION'), ('phonetic_normalization', 'TRANSFORMATION'), ('language_aware_normalization', 'TRANSFORMATION'), ('script_unification', 'TRANSFORMATION'), ('transliteration', 'TRANSFORMATION'),
+ ('context_aware_subword_sampling', 'TRANSFORMATION'), ('language_identification_tagging', 'ANALYSIS'), ('switch_point_encoding', 'ANALYSIS'), ('code_switch_augmentation', 'AUGMENTATION')) AS t(key, category)""")
+def module_categories(spark, sf):
+    return PL.modules_table(spark).select("key", "category")
+
+
+@query()
+def pipeline_statistics(spark, sf):
+    """Statistics of all modules of a pipeline of two transformations and both annotations."""
+    p = PL.Pipeline([*PL.PRESETS["P2"], *PL.PRESETS["P4"]], enable_analysis=True, output_mode="both")
+    return p.collect_statistics(docs(spark, sf).select("doc_id", "text"))
+
+
+@query()
+def augmentation_statistics(spark, sf):
+    d = docs(spark, sf).select("doc_id", "text")
+    return A.replacement_stats(d, A.augment(d, "doc_id", n_augments=2), "doc_id", n_augments=2)
+
+
 @query()
 def module_registry(spark, sf):
     return PL.modules_table(spark)
@@ -334,6 +385,19 @@ def covariance_spectrum(spark, sf):
     return M.spectrum(vectors(spark, sf), "embedding")
 
 
+@query(f"WITH {VEC}, m AS (SELECT d, avg(x) AS m FROM vecs GROUP BY d), c AS (SELECT vec_id, d, x - m AS x FROM vecs JOIN m USING (d)) SELECT (a.d - 1)::INT AS i, (b.d - 1)::INT AS j, round(sum(a.x * b.x) / (count(*) - 1), 6) AS covariance FROM c a JOIN c b USING (vec_id) GROUP BY 1, 2")
+def covariance_matrix(spark, sf):
+    c, _ = M.covariance(vectors(spark, sf), "embedding")
+    return spark.createDataFrame([(i, j, round(float(c[i, j]), 6)) for i in range(len(c)) for j in range(len(c))], "i int, j int, covariance double")
+
+
+@query(f"""WITH {VEC}, dist AS (SELECT a.vec_id, a.label AS y, b.label AS c, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM vecs a JOIN vecs b ON a.d = b.d AND a.vec_id <> b.vec_id GROUP BY a.vec_id, b.vec_id, a.label, b.label),
+ per AS (SELECT vec_id, y, c, avg(d) AS d FROM dist GROUP BY 1, 2, 3), s AS (SELECT vec_id, max(d) FILTER (c = y) AS a, min(d) FILTER (c <> y) AS b FROM per GROUP BY vec_id)
+ SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
+def silhouette(spark, sf):
+    return spark.createDataFrame([(M.silhouette(vectors(spark, sf), "embedding", "label"),)], "x double").select(r6("x", "silhouette"))
+
+
 LOO = f"""{VEC}, s AS (SELECT label, d, sum(x) AS s, count(*) AS n FROM vecs GROUP BY label, d),
  p AS (SELECT v.vec_id, v.label AS y, s.label AS c, v.x, CASE WHEN v.label = s.label THEN (s.s - v.x) / nullif(s.n - 1, 0) ELSE s.s / s.n END AS p FROM vecs v JOIN s USING (d)),
  g AS (SELECT vec_id, y, c, sum(x * p) / (sqrt(sum(x * x)) * sqrt(sum(p * p)) + 1e-8) AS score FROM p GROUP BY 1, 2, 3),
@@ -392,8 +456,10 @@ def label_coercion(spark, sf):
 @query("WITH known AS (SELECT DISTINCT sha256('encoder' || chr(0) || text) AS k FROM documents d WHERE text IS NOT NULL AND source LIKE 'chat%') SELECT DISTINCT sha256('encoder' || chr(0) || text) AS cache_key FROM documents WHERE text IS NOT NULL AND sha256('encoder' || chr(0) || text) NOT IN (SELECT k FROM known)")
 def embedding_cache_misses(spark, sf):
     """Texts that a cache holding those of the chats has no vector for."""
-    d = docs(spark, sf).where("text is not null").withColumn("cache_key", cache.key("encoder", F.col("text")))
-    return d.select("cache_key").distinct().join(d.where("source like 'chat%'").select("cache_key").distinct(), "cache_key", "left_anti")
+    d = docs(spark, sf).select("text", "source")
+    known = cache.EmbeddingCache(spark, f"{shared_dir(spark)}/cache-{uuid.uuid4().hex}")
+    known.put(d.where("source like 'chat%'").select("text", F.array(F.lit(0.0)).alias("vector")).distinct(), "encoder")
+    return known.misses(d, "encoder").select(cache.key("encoder", F.col("text")).alias("cache_key"))
 
 
 @query("SELECT lower(trim(roman)) AS roman, arg_max(target, layer) AS target FROM lexicon WHERE trim(roman) <> '' AND target IS NOT NULL GROUP BY 1")
@@ -422,8 +488,11 @@ def _sides(spark, sf):
 @query(f"WITH {PAIR} SELECT round(eb, 6) AS entropy_before, round(ea, 6) AS entropy_after, round((ea - eb) / abs(eb) * 100, 6) AS entropy_change, vb AS vocab_before, va AS vocab_after, round((va - vb) / abs(vb) * 100, 6) AS vocab_change FROM m")
 def compare_profiles(spark, sf):
     """The two metrics that have SQL. All sections with the composite: compare_sections."""
-    pct = lambda a, b: r6((F.col(b) - F.col(a)) / F.abs(F.col(a)) * 100, "x")
-    return _sides(spark, sf).select(r6("eb", "entropy_before"), r6("ea", "entropy_after"), pct("eb", "ea").alias("entropy_change"), F.col("vb").alias("vocab_before"), F.col("va").alias("vocab_after"), pct("vb", "va").alias("vocab_change"))
+    x = _sides(spark, sf).first()
+    change = M.compare({"entropy": x.eb, "vocab": x.vb}, {"entropy": x.ea, "vocab": x.va})
+    row = (x.eb, x.ea, change["entropy"], x.vb, x.va, change["vocab"])
+    names = ["entropy_before", "entropy_after", "entropy_change", "vocab_before", "vocab_after", "vocab_change"]
+    return spark.createDataFrame([row], ", ".join(f"{n} double" for n in names)).select(*[r6(n) for n in names])
 
 
 def _measured(pairs, v, out_col, vec_col):
@@ -480,8 +549,9 @@ def composite_score(spark, sf):
     crd = M.centroid_distance(v, "embedding", "k").select("euclidean")
     nxt = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("after"))
     st = M.stability(v.join(nxt, "vec_id"), "embedding", "after").select("mean_cosine")
-    clip = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
-    return h.join(crd).join(st).select(r6((clip(F.col("h")) + 1 - clip(F.col("euclidean") / 2) + clip((F.col("mean_cosine") + 1) / 2)) / 3, "score"))
+    x = h.join(crd).join(st).first()
+    mpp = M.composite({"fertility_entropy": x.h, "crd": x.euclidean, "stability": x.mean_cosine})
+    return spark.createDataFrame([(mpp["score"],)], "score double").select(r6("score"))
 
 
 @query(f"""WITH {Q.hier()}, k AS (SELECT doc_id, lang4, lag(lang4) OVER (PARTITION BY doc_id ORDER BY pos) AS last FROM hier WHERE content),
@@ -518,6 +588,33 @@ def proxy_sprc(spark, sf):
     return A.proxy_sprc(t.join(v, "vec_id").select("doc_id", "pos", "switch", F.col("embedding").alias("vector")))
 
 
+# --- streams ---------------------------------------------------------------------------------------------------------
+
+
+def _streamed(spark, sf, name, make, mode):
+    """The rows that a stream over a table's files leaves in a table, batch by batch until there is no more to read."""
+    source = table(spark, sf, name)
+    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    # a table is a folder of files, or one file, which a stream reads as the only one of its folder that is named so
+    folder = len(source.inputFiles()) != 1 or not source.inputFiles()[0].endswith(f"/{name}.parquet")
+    read = spark.readStream.schema(source.schema)
+    stream = make(read.parquet(f"{sf}/{name}.parquet") if folder else read.option("pathGlobFilter", f"{name}.parquet").parquet(sf))
+    spark.createDataFrame([], stream.schema).write.parquet(out)
+    write = lambda rows, _: rows.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", out + "-state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
+
+
+@query(f"WITH {Q.LABELLED3} SELECT date_trunc('hour', received_at) AS hour, lab3.lang, count(*) AS n FROM lab3 JOIN documents USING (doc_id) WHERE received_at IS NOT NULL GROUP BY 1, 2")
+def stream_language_rates(spark, sf):
+    return _streamed(spark, sf, "documents", ST.language_rates, "complete").select(F.col("window.start").alias("hour"), "lang", "n")
+
+
+@query("SELECT job_id, count(DISTINCT row_no) AS n FROM uploads WHERE received_at IS NOT NULL GROUP BY job_id")
+def stream_first_deliveries(spark, sf):
+    return _streamed(spark, sf, "uploads", ST.first_deliveries, "append").groupBy("job_id").agg(F.count("*").alias("n"))
+
+
 def queries():
     return {k: f for k, (f, _) in CATALOGUE.items()} | problems.queries()
 

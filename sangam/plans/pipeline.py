@@ -15,6 +15,7 @@ from sangam.operators import augment as A
 from sangam.operators import convert as C
 from sangam.operators import normalize as N
 from sangam.operators import switches as S
+from sangam.session import written
 from sangam.sources.corpora import read_csv, write_csv, write_manifest
 
 TRANSFORMATION, ANALYSIS, AUGMENTATION = "TRANSFORMATION", "ANALYSIS", "AUGMENTATION"
@@ -148,6 +149,33 @@ class Pipeline:
         trace = F.array(*steps) if steps else F.array().cast("array<struct<module:string,before:string,after:string>>")
         return out.withColumn("trace", trace).drop(*[f"__before_{i}{s}" for i in range(len(steps)) for s in ("", "a")])
 
+    def collect_statistics(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        """P-9: (module, statistic, value) of every enabled module, from the texts that come to it, and of the pipeline itself:
+        rows, and for each transformation the rows that it changed."""
+        from sangam.operators import convert as V
+
+        def rows(name, stats):
+            return stats.select(F.explode(F.map_from_arrays(F.array(*[F.lit(c) for c in stats.columns]), F.array(*[F.col(c).cast("double") for c in stats.columns]))).alias("statistic", "value")).select(F.lit(name).alias("module"), "statistic", "value")
+
+        out = written(df.withColumn("processed_text", T.nfkc(F.col(text_col))), "p9-rows")  # several statistics read each state
+        every = rows("pipeline", out.agg(F.count("*").alias("rows"), F.count(text_col).alias("texts")))
+        for m in self.sequence:
+            before = out
+            config = self.configs.get(m, {})
+            if MODULES[m][0] == TRANSFORMATION:
+                out = written(self._transform(before.withColumn("__before", F.col("processed_text")), m, "processed_text"), "p9-rows")
+                every = every.unionByName(rows(m, out.agg(F.count_if(~F.col("__before").eqNullSafe(F.col("processed_text"))).alias("changed_rows"))))
+                out = out.drop("__before")
+            if m == "transliteration":
+                every = every.unionByName(rows(m, V.transliteration_stats(before, "processed_text", self.lexicons)))
+            elif m == "language_identification_tagging":
+                every = every.unionByName(rows(m, S.tagging_stats(before, "processed_text", self.lexicons, config.get("tag_unknown", True))))
+            elif m == "switch_point_encoding":
+                every = every.unionByName(rows(m, S.switch_stats(before, "processed_text", self.lexicons)))
+        if "code_switch_augmentation" in self.enabled:
+            every = every.unionByName(rows("code_switch_augmentation", A.augmentation_stats(self.augment(df, text_col))))
+        return every
+
     def augment(self, df: DataFrame, text_col: str = "text") -> DataFrame:
         """P-10."""
         if "code_switch_augmentation" not in self.enabled:
@@ -172,9 +200,6 @@ def preset(name: str, **kw) -> Pipeline:
 def experiment_suite(df: DataFrame, base: Pipeline, out: str, text_col: str = "text") -> list[str]:
     """P-11: baseline, each enabled module alone, the presets that are enabled, and all together, each written to
     experiment=<name>, from one cached input; a manifest lies beside them. Sub-pipelines keep the base's switches."""
-    import json
-    import os
-
     runs = {"baseline": []} | {m: [m] for m in base.sequence} | {k: v for k, v in PRESETS.items() if set(v) <= set(base.enabled)} | {"full_pipeline": list(base.sequence)}
     names = []
     cached = df.persist()
@@ -187,9 +212,7 @@ def experiment_suite(df: DataFrame, base: Pipeline, out: str, text_col: str = "t
             names.append(name)
     finally:
         cached.unpersist()
-    root = out.removeprefix("file://")
-    if os.path.isdir(root):
-        write_manifest(os.path.join(root, "manifest.json"), experiments=names, **base.describe())
+    write_manifest(f"{out}/manifest.json", df.sparkSession, experiments=names, **base.describe())
     return names
 
 

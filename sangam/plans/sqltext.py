@@ -72,6 +72,16 @@ def cap_runs(x: str) -> str:
     return each_letter(x, LETTERS, 3, 2)
 
 
+def cap_all_runs(x: str) -> str:
+    """Runs of any character cut to two, character by character."""
+    return f"array_to_string(list_filter(string_split({x}, ''), lambda c, i: i < 3 OR c <> string_split({x}, '')[i - 1] OR c <> string_split({x}, '')[i - 2]), '')"
+
+
+def spelled(done: str) -> str:
+    """Every text with its tokens as in done (tok, canonical)."""
+    return f"{done}, o AS (SELECT doc_id, pos, coalesce(canonical, tok) AS o FROM hier LEFT JOIN (SELECT DISTINCT tok, canonical FROM done) USING (tok)), {rebuilt('o')} SELECT d.doc_id, coalesce(t, '') AS processed_text FROM documents d LEFT JOIN rebuilt USING (doc_id) WHERE d.text IS NOT NULL"
+
+
 DISTINCT = f"{hier()}, distinct_toks AS (SELECT DISTINCT tok, lang4 FROM hier WHERE content)"
 PHONETIC = f"""{DISTINCT}, m AS (SELECT *, {case_map('lower(tok)', CANONICAL, 'tok')} AS m FROM distinct_toks), c AS (SELECT *, {cap_runs('m')} AS c FROM m),
  done AS (SELECT tok, CASE WHEN NOT (lang4 = 'HI_ROM' OR lower(tok) IN {among(CANONICAL)}) THEN tok WHEN lower(m) IN {among(PROTECTED)} THEN m WHEN lower(c) IN {among(PROTECTED)} THEN c

@@ -3,6 +3,12 @@
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def _at(spark: SparkSession, path: str):
+    """(file system, path) of a folder, wherever it lies."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 SCHEMA = "cache_key string, model_name string, vector array<float>, created_at timestamp"
 
 
@@ -18,11 +24,10 @@ class EmbeddingCache:
         self.spark, self.path = spark, path
 
     def table(self) -> DataFrame:
-        try:
-            raw = self.spark.read.schema(SCHEMA).parquet(self.path)
-            raw.schema
-        except Exception:
+        fs, p = _at(self.spark, self.path)
+        if not fs.exists(p):  # nothing was put yet; any other failure to read is one
             return self.spark.createDataFrame([], SCHEMA)
+        raw = self.spark.read.schema(SCHEMA).parquet(self.path)
         return raw.groupBy("model_name", "cache_key").agg(F.max_by("vector", "created_at").alias("vector"), F.max("created_at").alias("created_at"))
 
     def put(self, texts: DataFrame, model: str) -> None:
@@ -60,8 +65,5 @@ class EmbeddingCache:
 
     def clear(self, model: str | None = None) -> None:
         """Drop all vectors, or those of one model."""
-        import os
-        import shutil
-
-        root = self.path.removeprefix("file://")
-        shutil.rmtree(os.path.join(root, f"model_name={model}") if model else root, ignore_errors=True)
+        fs, p = _at(self.spark, f"{self.path}/model_name={model}" if model else self.path)
+        fs.delete(p, True)

@@ -34,10 +34,31 @@ def latest_status(jobs: DataFrame) -> DataFrame:
     return job_status(jobs).groupBy("job_id").agg(F.max_by("status", F.struct("saved_at", "rec_id")).alias("status"), F.count("*").alias("n_records"))
 
 
-def write_manifest(path: str, **facts) -> None:
-    """The description of an experiment as JSON beside its output."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(facts, f, ensure_ascii=False, indent=1, default=str)
+def write_manifest(path: str, spark: SparkSession | None = None, **facts) -> None:
+    """The description of an experiment as JSON beside its output; with a session, on any file system."""
+    text = json.dumps(facts, ensure_ascii=False, indent=1, default=str)
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_records(jobs: DataFrame, path: str) -> None:
+    """S-10, the sink: the latest record of each job, one JSON line per job, in a folder of its own."""
+    last = jobs.where("job_id is not null").groupBy("job_id").agg(F.max_by("body", F.struct("saved_at", "rec_id")).alias("value"))
+    last.select("job_id", F.regexp_replace("value", r"[\r\n]+", " ").alias("value")).where("value is not null").write.mode("overwrite").partitionBy("job_id").text(path)
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """S-10, recovery: (job_id, body) of every record that a sink wrote and that is JSON; blank and broken ones are left out."""
+    rows = spark.read.text(path).where("trim(value) <> ''")
+    return rows.where("try_parse_json(value) is not null").select(F.col("job_id").cast("string").alias("job_id"), F.col("value").alias("body"))
 
 
 def flatten_metrics(profile: dict, prefix: str = "") -> dict[str, float]:

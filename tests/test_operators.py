@@ -435,3 +435,39 @@ def test_profile_has_its_sections(spark):
     assert sum(r["fertility"]["before"]["languages"].values()) == 8 and sum(r["fertility"]["after"]["histogram"]) == r["fertility"]["after"]["n"]
     assert {"low", "high"} <= set(r["fertility"]["bootstrap"]) & set(r["retention"]["bootstrap"]) & set(r["crd"]["bootstrap"])
     assert set(r["crd"]["cohesion"]) == {0, 1} and r["composite"]["terms"]["crd"] is not None
+
+
+def test_encoders_load_once(spark):
+    loaded = []
+
+    def loader(name):
+        loaded.append(name)
+        return lambda texts: [[float(len(t)), 1.0] for t in texts]
+
+    e = C.Encoders(loader)
+    with pytest.raises(KeyError):
+        e.get("none")
+    assert e.get("xlmr")(["ab"]) == [[2.0, 1.0]] and e.get("xlmr") and loaded == ["xlm-roberta-base"]
+    assert e.status()["xlmr"] and not e.status()["mbert"]
+    e.unload()
+    assert not any(e.status().values())
+    df = spark.createDataFrame([("abc [SWITCH] d",), (None,), ("",)], "text string")
+    got = C.evaluate_texts(df, "text", lambda ts: [[float(len(t)), 1.0] for t in ts]).collect()
+    assert (got[0].n_tokens, got[0].n_chars, got[0].has_switch_marker, got[0].mean) == (3, 14, True, 7.5)
+    assert got[1].vector is None and got[1].n_tokens == 0 and got[1].norm is None and got[2].vector == [0.0, 1.0]
+
+
+def test_statistics_of_pipelines_and_variants(spark):
+    df = texts(spark, "please check this good food yaar", "bahot acha yaar", None, "")
+    p = PL.Pipeline(["phonetic_normalization", "language_identification_tagging", "code_switch_augmentation"], enable_analysis=True, output_mode="both", lexicons=LEX)
+    got = {(r.module, r.statistic): r.value for r in p.collect_statistics(df).collect()}
+    assert got["pipeline", "rows"] == 4 and got["pipeline", "texts"] == 3 and got["phonetic_normalization", "changed_rows"] == 1
+    assert got["language_identification_tagging", "content_tokens"] == 9 and got["code_switch_augmentation", "originals"] == 4
+    out = A.augment(df, "doc_id", lex=LEX, n_augments=2, augmentation_probability=1.0)
+    s = A.replacement_stats(df, out, "doc_id", n_augments=2, lex=LEX).first()
+    assert s.eligible_texts == 1 and s.generated + s.skipped == 2 and s.replaced_tokens == s.eligible_tokens * s.generated and 0 < s.density_before <= 1 and 0 < s.density_after <= 1
+    assert A.replacement_stats(df.limit(0), out.limit(0), "doc_id").first().augmentation_yield == 0.0
+
+
+def test_is_hindi(spark):
+    assert [r[0] for r in texts(spark, "घर", "yaar", "movie", None, "").select(T.is_hindi(F.col("text"), LEX)).collect()] == [True, True, False, False, False]

@@ -78,3 +78,39 @@ def test_tracking(spark, tmp_path):
     t.end("r1", "failed")
     assert [tuple(r) for r in t.runs().collect()] == [("r1", "failed", "profile")]
     assert {(r.kind, r.key) for r in t.facts().collect()} == {("param", "modules"), ("metric", "a.b"), ("artifact", "config")}
+
+
+def test_english_word_list(spark, tmp_path):
+    from sangam.sources import lexicons
+
+    with pytest.raises(LookupError):
+        lexicons.english(spark, str(tmp_path / "none.txt"))
+    (tmp_path / "words.txt").write_text("The\n\n movie \nthe\n")
+    words = lexicons.english(spark, str(tmp_path / "words.txt"))
+    assert sorted(r.word for r in words.collect()) == ["movie", "the"]
+    toks = spark.createDataFrame([("THE", 1), ("ghar", 2), (None, 3), ("the", 4)], "tok string, word int")
+    assert {r.word: r.is_english for r in lexicons.english_flags(toks, "tok", words).collect()} == {1: True, 2: False, 3: False, 4: True}
+
+
+@pytest.mark.parametrize("most", [100_000, 0])
+def test_a_lexicon_that_is_joined(spark, monkeypatch, most):
+    from sangam.operators import normalize as N
+    from sangam.sources import lexicons
+
+    lex = spark.createDataFrame([("ghar", "घर", 1), ("Ghar ", "गृह", 2), ("yaar", "यार", 1), ("x", None, 1)], "roman string, target string, layer int")
+    df = spark.createDataFrame([(1, "Ghaaar GHAR, yar the 42! xyz"), (2, None), (3, ""), (4, "the ghar " * 2000)], "doc_id long, text string").withColumn("__x", F.lit(1))
+    want = N.process(df, lambda toks: F.transform(toks, lambda t: N.balanced(t, lexicons.as_map(lex))), normalized=True)
+    monkeypatch.setattr(lexicons, "MAX_ENTRIES", most)
+    got = {r.doc_id: r.processed_text for r in lexicons.balanced_texts(df, "doc_id", lex).collect()}
+    assert "गृह" in got[1] and "यार" in got[1] and got[2] is None and got[3] == "" and got[4].count("गृह") == 2000
+    assert got == {r.doc_id: r.processed_text for r in want.collect()}
+
+
+def test_records_are_written_and_recovered(spark, tmp_path):
+    from sangam.sources import corpora
+
+    jobs = spark.createDataFrame([(1, "a", '{"status":\n"x"}', "2024-01-01 00:00:00"), (2, "a", '{"status": "y"}', "2024-01-02 00:00:00"), (3, "b", "{cut", "2024-01-01 00:00:00"), (4, "c", None, "2024-01-01 00:00:00")], "rec_id long, job_id string, body string, saved_at string")
+    corpora.write_records(jobs, str(tmp_path / "jobs"))
+    assert [tuple(r) for r in corpora.read_records(spark, str(tmp_path / "jobs")).collect()] == [("a", '{"status": "y"}')]
+    corpora.write_manifest(str(tmp_path / "m.json"), spark, names=["x"])
+    assert "names" in (tmp_path / "m.json").read_text()
