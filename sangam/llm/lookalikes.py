@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sangam.session import written
+from sangam.session import few, written
 
 # Fixed values (letters whose usual glyphs are the same; Unicode confusables).
 TWINS = {
@@ -49,6 +49,8 @@ _token = re.compile(r"[^\W\d_]+")
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 _anchor = {"grek": re.compile("[Ͱ-Ͽἀ-῿]"), "cyrl": re.compile("[Ѐ-ԯ]")}
 BINS = 27 * 27
+#: Digests of texts (16 bytes) that are broadcast up to this number, and joined beyond.
+BROADCAST_TEXTS = 500_000
 
 
 def fold(text: str) -> str:
@@ -75,9 +77,11 @@ def bigram_counts(df: DataFrame, text_col: str = "text") -> np.ndarray:
             code[ord(c)] = code[ord(c.upper())] = i
         for b in batches:
             col = b.column(0)
-            col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
-            raw = np.frombuffer(col.buffers()[2] or b"", np.uint8)
-            c = code[raw]
+            col = (col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col).cast(pa.large_string())
+            off = np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]
+            raw = np.frombuffer(col.buffers()[2] or b"", np.uint8)[off[0] : off[-1]]
+            # a blank before each text and one at the end, so that no bigram spans two texts
+            c = np.insert(code[raw], np.append(off[:-1] - off[0], len(raw)), 0)
             total += np.bincount(c[:-1] * 27 + c[1:], minlength=BINS) if len(c) > 1 else 0
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS), pa.int32()), pa.array(total, pa.int64())], names=["bin", "n"])
 
@@ -183,10 +187,13 @@ def identical_pairs(df: DataFrame, id_col: str = "row_id", text_col: str = "text
     t = F.col(text_col)
     rows = df.where(t.isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("row_id"), F.unhex(F.md5(form_col(t, counts))).alias("f"), F.unhex(F.md5(t)).alias("t"))
     rows = written(rows, "p5-forms")
-    several = rows.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo <> hi").select("f")
-    members = written(rows.join(several, "f", "left_semi"), "p5-members")
-    texts = members.select("f", "t").distinct()
+    # copies of a text are put together before texts meet, so that a text of a third of all rows is one row here
+    texts = written(rows.groupBy("f", "t").agg(F.count("*").alias("n")), "p5-texts")
+    several = texts.groupBy("f").agg(F.count("*").alias("k")).where("k > 1").select("f")
+    texts = written(texts.join(several, "f", "left_semi").select("f", "t"), "p5-several")
     pairs = texts.select("f", F.col("t").alias("ta")).join(texts.select("f", F.col("t").alias("tb")), "f").where("ta < tb").select("ta", "tb")
+    wanted = texts.select("t")
+    members = rows.join(F.broadcast(wanted) if few(wanted, BROADCAST_TEXTS) else wanted, "t", "left_semi")
     a = members.select(F.col("t").alias("ta"), F.col("row_id").alias("a"))
     b = members.select(F.col("t").alias("tb"), F.col("row_id").alias("b"))
     return pairs.join(a, "ta").join(b, "tb").select(F.least("a", "b").alias("row_id_a"), F.greatest("a", "b").alias("row_id_b"))

@@ -186,3 +186,11 @@ def test_names_of_fields_have_any_length(spark, n):
     rows = [(1, f"{name}: x; b: y"), (2, f"b: y; {name}: x"), (3, f"b: z; {name}: x")]
     got = {r.row_id: r.first_row_id for r in FD.copies(spark.createDataFrame(rows, "row_id long, text string")).collect()}
     assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_bigrams_stay_within_texts(spark):
+    df = spark.createDataFrame([("ab",), ("",), (None,), ("xy z",), ("Б c",)], "text string").coalesce(1)
+    m = LA.bigram_counts(df).reshape(27, 27)
+    at = lambda p: m[tuple(LA.LETTERS.find(c) + 1 for c in p)]
+    assert at("ab") == at("xy") == at(" a") == at("b ") == at(" z") == at(" c") == 1 and at("bx") == 0 and at("zc") == 0
+    assert LA.bigram_counts(df.limit(0)).sum() == 0
