@@ -261,7 +261,9 @@ def test_language_units():
 
 def test_language_held_out(spark):
     u = spark.read.parquet(f"{SF}/uploads.parquet").select("row_id", "text", "lang")
-    net = LG.train(u)
+    held = F.pmod(F.xxhash64("row_id"), F.lit(3)) == 0
+    net = LG.train(u.where(~held))
+    u = u.where(held)  # rows that the network has not seen
     extra = spark.createDataFrame([(-1, None, "en"), (-2, "", None), (-3, "12 #x", "en"), (None, "the book is here", "en"), (-4, "the weather is nice and we are going out today. " * 3000, None)], "row_id long, text string, lang string")
     got = LG.languages(u.unionByName(extra), net=net).collect()
     by = {}
@@ -281,3 +283,17 @@ def test_language_held_out(spark):
         assert [r.seg_no for r in segs] == list(range(1, len(segs) + 1)) and (bool(segs) == (min(rs, key=lambda r: r.seg_no).lang == "mul"))
         assert all(a.lang != b.lang for a, b in zip(segs, segs[1:]))
     assert LG.found(u.limit(0)).count() == 0
+
+
+def test_held_out_verdicts(spark):
+    r = random.Random(4)
+    word = lambda k: f"{k}{r.randint(0, 150)}"
+    rows, labels = [], []
+    for i in range(3000):
+        bad = i % 20 == 0
+        rows.append((i, " ".join([word("plain") for _ in range(12)] + ([f"vile{r.choice('abcdef')}", f"nasty{r.choice('abcdef')}", f"foul{r.choice('abcdef')}"] if bad else [])), "s"))
+        if bad or i % 9 == 0:
+            labels.append((i, "abuse" if bad else "ok"))
+    df, lab = spark.createDataFrame(rows, "row_id long, text string, source string"), spark.createDataFrame(labels, "row_id long, verdict string")
+    got = TX.held_out(df, lab, 3).toPandas()
+    assert got.toxic.sum() == 150 and got.neutral.sum() == len(labels) - 150 and got.found.sum() > 135 and got.flagged.sum() < 3
