@@ -150,10 +150,50 @@ def _grams(key: str, n: int, source: str) -> str:
     return f"SELECT {key}, i, array_to_string(w[i:i + {n - 1}], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - {n - 2})) AS i FROM (SELECT {key}, {words} AS w FROM {source} WHERE text IS NOT NULL))"
 
 
+# Look-alikes without a lattice: every letter that has a Latin twin takes it, whatever stands around it.
+CYRILLIC, CYRILLIC_TWINS = "асԁеһіјӏорԛѕуүѵԝхАВСЕԌНІЈКМОРЅТѴԜХУҮӀктмнвпг", "acdehijlopqsyyvwxABCEGHIJKMOPSTVWXYYIktmhbnr"
+GREEK, GREEK_TWINS = "οϲϳνΑΒϹΕΖΗΙΚΜΝΟΡΤΥΧͿαικρυχγητ", "ocjvABCEZHIKMNOPTYXJaikpuxynt"
+VOWELS = [
+    ("अॆ", "ऄ"), ("र्इ", "ई"), ("उु", "ऊ"), ("एॅ", "ऍ"), ("एॆ", "ऎ"), ("एे", "ऐ"), ("अॉ", "ऑ"), ("आॅ", "ऑ"), ("अॊ", "ऒ"), ("आॆ", "ऒ"), ("अो", "ओ"), ("आे", "ओ"), ("अौ", "औ"), ("आै", "औ"), ("अा", "आ"), ("अॅ", "ॲ"),
+    ("ाॅ", "ॉ"), ("ाॆ", "ॊ"), ("ाे", "ो"), ("ाै", "ौ"), ("অা", "আ"), ("ঋৃ", "ৠ"), ("ত্\u200d", "ৎ"), ("அா", "ஆ"), ("ஒள", "ஔ"), ("ெள", "ௌ"), ("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"),
+]
+
+
+def _form(x: str) -> str:
+    """The one form of a text."""
+    x = f"nfc_normalize({x})"
+    for a, b in VOWELS:
+        x = f"replace({x}, '{a}', '{b}')"
+    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+    plain = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)).replace("'", "''")
+    x = f"translate({x}, '{wide}', '{plain}')"
+    x = f"regexp_replace({x}, '[\\x{{ad}}\\x{{34f}}\\x{{61c}}\\x{{180b}}-\\x{{180f}}\\x{{200b}}-\\x{{200f}}\\x{{202a}}-\\x{{202e}}\\x{{2060}}-\\x{{206f}}\\x{{fe00}}-\\x{{fe0f}}\\x{{feff}}]', '', 'g')"
+    x = f"regexp_replace({x}, '[\\x{{a0}}\\x{{1680}}\\x{{2000}}-\\x{{200a}}\\x{{202f}}\\x{{205f}}\\x{{3000}}]', ' ', 'g')"
+    return f"nfc_normalize(translate(translate({x}, '{CYRILLIC}', '{CYRILLIC_TWINS}'), '{GREEK}', '{GREEK_TWINS}'))"
+
+
+P5 = f"form AS (SELECT row_id, text, {_form('text')} AS f FROM uploads WHERE text IS NOT NULL)"
+# Sets by their rarest words: two sets over the threshold share one of the first n - ceil(3 n / 4) + 1.
+P3 = f"""{P6}, {P5}, w AS (SELECT row_id, list_distinct(list_filter(string_split({_words('text')}, ' '), lambda x: x <> '')) AS w FROM uploads WHERE text IS NOT NULL),
+ s AS (SELECT * FROM w WHERE len(w) >= 12), freq AS (SELECT x, count(*) AS n FROM (SELECT unnest(w) AS x FROM s) GROUP BY x),
+ o AS (SELECT row_id, x, row_number() OVER (PARTITION BY row_id ORDER BY n, x) AS r, count(*) OVER (PARTITION BY row_id) AS size FROM (SELECT row_id, unnest(w) AS x FROM s) JOIN freq USING (x)),
+ pre AS (SELECT row_id, x FROM o WHERE r <= size - ceil(0.75 * size) + 1), cand AS (SELECT DISTINCT a.row_id AS a, b.row_id AS b FROM pre a JOIN pre b ON a.x = b.x AND a.row_id < b.row_id),
+ near AS (SELECT a, b FROM (SELECT cand.a, cand.b, len(list_intersect(x.w, y.w)) AS common, len(x.w) + len(y.w) AS total FROM cand JOIN s x ON x.row_id = cand.a JOIN s y ON y.row_id = cand.b) WHERE common >= 0.75 * (total - common))
+ SELECT a AS row_id_a, b AS row_id_b FROM near JOIN k ka ON ka.row_id = a JOIN k kb ON kb.row_id = b JOIN form fa ON fa.row_id = a JOIN form fb ON fb.row_id = b WHERE ka.k <> kb.k AND fa.f <> fb.f"""
+
+
+def _units(pattern: str) -> str:
+    u = f"list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '{pattern}'), lambda p: {_words('p')}), lambda p: p <> '')"
+    return f"(CASE WHEN len({u}) > 0 THEN 1 - len(list_distinct({u})) / len({u}) ELSE 0 END)::DOUBLE"
+
+
 def oracle_sql():
     eight = f"WITH d AS ({_grams('doc_id', 12, 'documents')}), e AS ({_grams('item_id', 12, 'eval_items')}), leak AS (SELECT DISTINCT doc_id, item_id FROM d JOIN e USING (g))"
     nine = f"WITH r AS ({_grams('doc_id', 4, 'documents')}), s AS (SELECT doc_id, count(*) AS n, count(DISTINCT g) AS d FROM r GROUP BY doc_id)"
     return {
+        "p3_found": f"{P3}",
+        "p5_found": f"WITH {P5} SELECT a.row_id AS row_id_a, b.row_id AS row_id_b FROM form a JOIN form b ON a.f = b.f AND a.row_id < b.row_id AND a.text <> b.text",
+        "p9_unit_shares": f"SELECT doc_id, {_units('[.!?।॥' + chr(92) + 'n' + chr(92) + 'r]+')} AS sentence_share, {_units('[' + chr(92) + 'n' + chr(92) + 'r]+')} AS line_share FROM documents",
         "p6_found": f"{P6} SELECT first_row_id, row_id FROM g WHERE row_id <> first_row_id",
         "p6_collapsed": f"{P6} SELECT first_row_id, count(*) AS copies FROM g GROUP BY first_row_id",
         "p8_found": f"{eight} SELECT doc_id, item_id FROM leak",
