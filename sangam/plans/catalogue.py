@@ -133,9 +133,21 @@ def substitution_probability(spark, sf):
     return p.select(F.col("id").alias("doc_id"), "pos", r6(prob, "probability"))
 
 
-@query()
+def _places(side, col):
+    """(out_id, side): the relative places of the switches of a text, in order."""
+    return f"""(SELECT out_id, list(place ORDER BY pos) FILTER (place IS NOT NULL) AS {side} FROM (SELECT out_id, pos, CASE WHEN lang <> last AND lang <> 'UNK' AND last <> 'UNK' THEN (pos - 1) / n END AS place
+  FROM (SELECT *, lag(lang) OVER (PARTITION BY out_id ORDER BY pos) AS last, count(*) OVER (PARTITION BY out_id) AS n FROM (SELECT *, {Q.LANG3} AS lang FROM (SELECT out_id, generate_subscripts(l, 1) AS pos, unnest(l) AS tok
+   FROM (SELECT out_id, list_filter(string_split_regex(coalesce({col}, ''), {Q.q(P.SPLIT)}), lambda x: x <> '') AS l FROM pr))))) GROUP BY out_id)"""
+
+
+@query(f"""WITH RECURSIVE pr AS (SELECT o.out_id, u.text, o.processed_text FROM pipeline_output o JOIN uploads u USING (row_id)),
+ ab AS (SELECT pr.out_id, coalesce(a, []) AS a, coalesce(b, []) AS b FROM pr LEFT JOIN {_places('a', 'text')} x USING (out_id) LEFT JOIN {_places('b', 'processed_text')} y USING (out_id)),
+ step AS (SELECT out_id, a, b AS free, 0 AS i, 0 AS hit FROM ab WHERE len(a) > 0
+  UNION ALL SELECT out_id, a, CASE WHEN k > 0 THEN list_concat(free[:k - 1], free[k + 1:]) ELSE free END, i + 1, hit + (k > 0)::INT FROM (SELECT *, coalesce(list_position(list_transform(free, lambda y: abs(y - a[i + 1]) <= 0.15), true), 0) AS k FROM step WHERE i < len(a))),
+ r AS (SELECT len(a) AS n, hit FROM step WHERE i = len(a))
+ SELECT count(*) AS n_rows, sum(n)::BIGINT AS n_orig, sum(hit)::BIGINT AS n_matched, round(avg(hit / n), 6) AS mean_ratio, round(sum(hit) / sum(n), 6) AS spri FROM r""")
 def spri_corpus(spark, sf):
-    return M.retention_corpus(paired(spark, sf), "text", "processed_text")
+    return M.retention_corpus(paired(spark, sf), "text", "processed_text").select("n_rows", "n_orig", "n_matched", r6("mean_ratio"), r6("spri"))
 
 
 @query("""WITH u AS (SELECT job_id, row_no, max(lower(trim(lang))) AS lang FROM uploads WHERE lang <> '' GROUP BY 1, 2) SELECT a.lang AS from_lang, b.lang AS to_lang, count(*) AS n FROM u a JOIN u b ON a.job_id = b.job_id AND b.row_no = a.row_no + 1 GROUP BY 1, 2""")
@@ -308,8 +320,16 @@ def subword_sampling(spark, sf):
     return A.subword_sampling(docs(spark, sf).select("doc_id", "text"), "doc_id")
 
 
+# Composition as far as these texts need it: SQL has no compatibility forms.
+COMPOSED = "zero AS (SELECT doc_id, replace(replace(nfc_normalize(text), '…', '...'), chr(160), ' ') AS text FROM documents)"
+PRESET_SQL = {
+    "P2": f"WITH {COMPOSED}, one AS (SELECT doc_id, processed_text AS text FROM (WITH {Q.spelled(Q.PHONETIC).replace('documents', 'zero')})), two AS (WITH {Q.spelled(Q.LANGUAGE_AWARE).replace('documents', 'one')}) SELECT d.doc_id, d.text, two.processed_text FROM documents d LEFT JOIN two USING (doc_id)",
+    "P4": f"WITH {COMPOSED}, tags AS ({CATALOGUE['lang_tagging'][1].replace('documents', 'zero')}), marks AS ({CATALOGUE['switch_encoding'][1].replace('documents', 'zero')}) SELECT d.doc_id, d.text, zero.text AS processed_text, tagged AS analysis_language_identification_tagging, encoded AS analysis_switch_point_encoding FROM documents d JOIN zero USING (doc_id) LEFT JOIN tags USING (doc_id) LEFT JOIN marks USING (doc_id)",
+}
+
+
 def _preset(name):
-    @query()
+    @query(PRESET_SQL.get(name))
     def run(spark, sf):
         targets = lexicons.as_map(table(spark, sf, "lexicon")) if name == "P1" else None
         return PL.preset(name, targets=targets).process(docs(spark, sf).select("doc_id", "text"))
