@@ -1,4 +1,4 @@
-"""Corpus metrics (M-1 to M-23; M-18 and its alias M-19 are in augment; without the histogram of M-8) as aggregations. Each works from per-row arrays or one token count, so the largest shuffle
+"""Corpus metrics (M-1 to M-23; M-18 and its alias M-19 are in augment) as aggregations. Each works from per-row arrays or one token count, so the largest shuffle
 is that of distinct tokens; results that leave Spark are of fixed size."""
 
 import math
@@ -171,11 +171,16 @@ def vector_stats(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return rows.select(id_col, "norm", "mean", dev.alias("std"))
 
 
-def stability(df: DataFrame, a: str, b: str) -> DataFrame:
-    """M-8 over pairs of vectors: cosine, euclidean and angular distance."""
+def stability_pairs(df: DataFrame, a: str, b: str) -> DataFrame:
+    """(c, e), written: cosine and euclidean distance of each pair of vectors; a pair that lacks one does not count."""
     cos = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / (norm(a) * norm(b) + EPS)))
-    pairs = df.select(cos.alias("c"), F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x)).alias("e"))
-    pairs = written(pairs, "m8-pairs")
+    pairs = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(cos.alias("c"), F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") - y.cast("double")), F.lit(0.0), lambda s, x: s + x * x)).alias("e"))
+    return written(pairs, "m8-pairs")
+
+
+def stability(df: DataFrame, a: str, b: str, pairs: DataFrame | None = None) -> DataFrame:
+    """M-8 over pairs of vectors: cosine, euclidean and angular distance. The histogram of the cosines: histogram() of the pairs."""
+    pairs = pairs if pairs is not None else stability_pairs(df, a, b)
     (median,) = quantiles(pairs, "c", [0.5])
     return pairs.agg(F.count("*").alias("n"), F.avg("c").alias("mean_cosine"), F.lit(median).cast("double").alias("median_cosine"), F.stddev_pop("c").alias("std_cosine"), F.min("c").alias("min_cosine"), F.max("c").alias("max_cosine"), F.avg("e").alias("mean_euclidean"), F.avg(F.acos("c")).alias("mean_angular"))
 

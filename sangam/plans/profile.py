@@ -1,5 +1,5 @@
 """The profile of an (original, processed) corpus (M-24): one driver dict of fixed size, each section kept apart from the
-others' failures. Without silhouette (M-11), Proxy-SPRC (M-18) and the histogram of M-8."""
+others' failures. Without Proxy-SPRC (M-18), which needs vectors of tokens."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sangam.functions import tokens as T
 from sangam.functions.lexicon import DEFAULT, Lexicons
 from sangam.operators import metrics as M
+from sangam.session import written
 
 
 def _one(df: DataFrame) -> dict:
@@ -51,7 +52,11 @@ def profile(df: DataFrame, id_col: str, orig_col: str, proc_col: str, label_col:
 
     def crd():
         r = _one(M.centroid_distance(sides, "vector", "label").select("euclidean", "cosine"))
-        return r | {"bootstrap": _one(M.centroid_bootstrap(sides, "vector", "label", 0, 1)), "cohesion": {x.label: x.cohesion for x in M.cohesion(sides, "vector", "label").collect()}}
+        return r | {"bootstrap": _one(M.centroid_bootstrap(sides, "vector", "label", 0, 1)), "cohesion": {x.label: x.cohesion for x in M.cohesion(sides, "vector", "label").collect()}, "silhouette": M.silhouette(sides, "vector", "label")}
+
+    def stability():
+        pairs = M.stability_pairs(df, orig_vec, proc_vec)
+        return _one(M.stability(df, orig_vec, proc_vec, pairs)) | {"histogram": [x.n for x in M.histogram(pairs, "c", -1.0, 1.0, 20).orderBy("bin").collect()]}
 
     section("information", 20, information)
     section("fertility", 35, fertility)
@@ -59,10 +64,23 @@ def profile(df: DataFrame, id_col: str, orig_col: str, proc_col: str, label_col:
     if proc_vec:
         section("spectral", 70, lambda: _one(M.spectrum(df, proc_vec)))
     if orig_vec and proc_vec:
-        section("stability", 82, lambda: _one(M.stability(df, orig_vec, proc_vec)))
+        section("stability", 82, stability)
     if sides is not None:
         section("crd", 90, crd)
     got = lambda s, k: out.get(s, {}).get(k)
     values = {"delta_mi": got("information", "delta_mi"), "fertility_entropy": (got("fertility", "after") or {}).get("mean"), "crd": got("crd", "euclidean"), "stability": got("stability", "mean_cosine"), "spectral_entropy": got("spectral", "spectral_entropy"), "spri": got("retention", "spri")}
     section("composite", 100, lambda: M.composite(values, weights, got("spectral", "embedding_dim")))
     return out
+
+
+def profile_through_cache(df: DataFrame, id_col: str, orig_col: str, proc_col: str, cache, model: str, encode_fn, dim: int, model_col: str = "model_input_text", **kw) -> dict:
+    """M-25: the profile with vectors through an EmbeddingCache. The spectral and stability sections read the text that goes
+    into the model where there is one (model_col), all others the processed text. Null texts have no vector."""
+    text = model_col if model_col in df.columns else proc_col
+
+    def vectors(rows, col, name):
+        v = cache.encode(rows, model, encode_fn, dim, col)
+        return v.withColumn(name, F.when(F.col(col).isNotNull(), F.col("vector"))).drop("vector")
+
+    rows = vectors(vectors(df.drop("vector"), orig_col, "__orig"), text, "__proc")
+    return profile(written(rows, "m25-rows"), id_col, orig_col, proc_col, orig_vec="__orig", proc_vec="__proc", **kw)

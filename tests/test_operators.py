@@ -471,3 +471,30 @@ def test_statistics_of_pipelines_and_variants(spark):
 
 def test_is_hindi(spark):
     assert [r[0] for r in texts(spark, "घर", "yaar", "movie", None, "").select(T.is_hindi(F.col("text"), LEX)).collect()] == [True, True, False, False, False]
+
+
+def test_profile_through_the_cache(spark, tmp_path):
+    from sangam.plans.profile import profile_through_cache
+    from sangam.sources.cache import EmbeddingCache
+
+    rows = [(i, f"the ghar {i}", f"the ghar {i}", f"<EN> the ghar {i}" if i else None) for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, proc string, model_input_text string")
+    cache = EmbeddingCache(spark, str(tmp_path / "cache"))
+    encoder = lambda ts: [[float(len(t)), float(sum(map(ord, t)) % 7), 1.0] for t in ts]
+    r = profile_through_cache(df, "doc_id", "text", "proc", cache, "m", encoder, 3, lex=LEX)
+    assert not [s for s in r.values() if "error" in s], r
+    assert r["stability"]["n"] == 5 and sum(r["stability"]["histogram"]) == 5 and r["spectral"]["n_rows"] == 5  # the null text has no vector
+    assert cache.stats().first().n == 11
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import types
+
+    from sangam.session import shared_dir
+
+    def fake(master, d):
+        return types.SimpleNamespace(conf=types.SimpleNamespace(get=lambda k, x: d), sparkContext=types.SimpleNamespace(master=master))
+
+    with pytest.raises(RuntimeError):
+        shared_dir(fake("spark://host:7077", None))
+    assert shared_dir(fake("spark://host:7077", "hdfs://x/y")) == "hdfs://x/y"
