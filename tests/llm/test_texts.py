@@ -297,3 +297,22 @@ def test_held_out_verdicts(spark):
     df, lab = spark.createDataFrame(rows, "row_id long, text string, source string"), spark.createDataFrame(labels, "row_id long, verdict string")
     got = TX.held_out(df, lab, 3).toPandas()
     assert got.toxic.sum() == 150 and got.neutral.sum() == len(labels) - 150 and got.found.sum() > 135 and got.flagged.sum() < 3
+
+
+def test_lengths_compete_in_joint_packing():
+    r = random.Random(7)
+    hist = {k: r.randint(1, 200) for k in range(1, 400)}
+    used = sum(k * n for k, n in hist.items())
+    allowed = [64, 256, 512, 2048]
+    cost = lambda gs: sum(g.count * (g.length + PK.OVERHEAD + g.length**2 / PK.ATTENTION) for g in gs)
+    joint, one = PK.plan(hist, allowed, quadratic=1 / PK.ATTENTION), PK.plan(hist, [2048])
+    for gs in (joint, one):
+        packed = {}
+        for g in gs:
+            assert 0 <= g.left < g.length and g.length in allowed and sum(k * n for k, n in g.items) == g.length - g.left
+            for k, n in g.items:
+                packed[k] = packed.get(k, 0) + n * g.count
+        assert packed == hist
+    assert len({g.length for g in joint}) >= 2 and cost(joint) < 0.95 * cost(one)
+    # the least cost is not the least unused room, but little stays unused
+    assert sum(g.left * g.count for g in joint) <= 0.005 * used
